@@ -31,9 +31,13 @@ SUFFIXES = (
 )
 
 
+DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: doc_id, path, content, modified_ms."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spark.read.schema(DOCUMENTS_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
     doc_id = F.col("doc_id")
     suffix = F.element_at(F.array(*(F.lit(s) for s in SUFFIXES)), (doc_id % 10 + 1).cast("int"))
     name = F.concat(F.lit("doc_"), doc_id.cast("string"), suffix)
@@ -63,7 +67,7 @@ def stored_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The web pages as files; no two are alike."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+    return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet").select(
         F.concat(F.lit(f"{ROOT}/page_"), F.col("page_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("html").alias("content"),
         F.lit(1704067200000).alias("modified_ms"),

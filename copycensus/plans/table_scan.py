@@ -16,7 +16,7 @@ from ..sources.content import table_fingerprints
 
 @dataclass
 class TableScan:
-    """Results of a scan; ``fingerprints`` and ``groups`` are cheap to read repeatedly."""
+    """Results of a scan. Both tables are stored and narrow, so they may be read repeatedly."""
 
     fingerprints: DataFrame
     groups: DataFrame
@@ -31,7 +31,7 @@ class TableScan:
 def scan_groups(files: DataFrame, root: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> DataFrame:
     """Numbered duplicate groups of ``files`` (path, content, modified_ms).
 
-    One pass over the content. Only the groups are stored, as numbering them reads them twice.
+    One pass over the content. Only the groups are stored, as numbering reads them twice.
     """
     found = g.duplicate_groups(table_fingerprints(files, extensions), root)
     return g.number_groups(workspace.snapshot(found, "groups"))
@@ -45,4 +45,4 @@ def scan_table(files: DataFrame, root: str, extensions: Sequence[str] = DEFAULT_
     """
     fingerprints = workspace.snapshot(table_fingerprints(files, extensions), "fingerprints")
     found = workspace.snapshot(g.duplicate_groups(fingerprints, root), "groups")
-    return TableScan(fingerprints, g.number_groups(found))
+    return TableScan(fingerprints, workspace.snapshot(g.number_groups(found), "numbered"))

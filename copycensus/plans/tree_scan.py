@@ -32,6 +32,9 @@ COMMIT_BYTES = 4 << 40
 
 REVIEW_TABLES = ("summary", "review", "high_priority", "suspicious")
 
+CANDIDATE_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, is_symlink BOOLEAN"
+WALK_STATS_SCHEMA = "files_found BIGINT, candidates BIGINT, skipped_unique_size BIGINT"
+
 
 @dataclass
 class TreeScan:
@@ -62,11 +65,11 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
         files = listed.filter(F.col("error").isNull())
         c.candidate_stats(files).write.mode("overwrite").parquet(path + "-stats")
         c.size_candidates(files).drop("error").write.mode("overwrite").parquet(path)
-    candidates = spark.read.parquet(path)
+    candidates = spark.read.schema(CANDIDATE_SCHEMA).parquet(path)
     if resumed:
         now = F.coalesce("stat_ms", F.lit(0).cast("bigint"))
         candidates = tree.stat_files(candidates).withColumn("modified_ms", now).drop("stat_bytes", "stat_ms")
-    return candidates, spark.read.parquet(path + "-stats")
+    return candidates, spark.read.schema(WALK_STATS_SCHEMA).parquet(path + "-stats")
 
 
 def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes: int = COMMIT_BYTES) -> DataFrame:
@@ -113,7 +116,8 @@ def scan_tree(
     cache = HashCache(spark, f"{out}/hash_cache")
     fingerprints = fingerprint_candidates(candidates, cache, commit_bytes)
 
-    found = g.number_groups(workspace.snapshot(g.duplicate_groups(fingerprints, root), "groups"))
+    found = workspace.snapshot(g.duplicate_groups(fingerprints, root), "groups")
+    found = workspace.snapshot(g.number_groups(found), "numbered")
     members = g.attach_groups(fingerprints.select("path", "sha256"), found)
     # Size and time as they are now: the walk may have been hours ago, or in an earlier run.
     report = report_rows(tree.stat_files(members.select("group_id", "sha256", "path", "is_original")))

@@ -30,11 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder that is dropped when the session ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    return path
+    """A new path below the shared folder, in a folder of this application that its end removes."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    fs, p = _file_system(spark, folder)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def snapshot(df: DataFrame, label: str) -> DataFrame:
