@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,8 +40,11 @@ def is_supported(path: Column, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -
 
     The suffixes are taken as given: ``.VCF`` matches nothing and an empty one matches every file.
     """
-    name = F.lower(file_name(path))
-    return reduce(lambda a, b: a | b, (name.endswith(e) for e in extensions), F.lit(False))
+    if not extensions:
+        return F.lit(False)
+    # One pattern, so the name is worked out once per row and not once per suffix.
+    suffixes = "|".join(re.escape(e) for e in extensions)
+    return F.lower(file_name(path)).rlike(f"(?:{suffixes})\\z")
 
 
 def short_hash(sha256: Column) -> Column:

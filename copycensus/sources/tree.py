@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import workspace
 from ..functions.scalars import DEFAULT_EXTENSIONS
@@ -166,7 +167,8 @@ def stat_files(files: DataFrame) -> DataFrame:
 
     Links are followed, as they are when content is read.
     """
-    schema = files.schema.add("stat_bytes", "bigint").add("stat_ms", "bigint")
+    added = [T.StructField("stat_bytes", T.LongType()), T.StructField("stat_ms", T.LongType())]
+    schema = T.StructType(files.schema.fields + added)
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
