@@ -68,7 +68,7 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
     candidates = spark.read.schema(CANDIDATE_SCHEMA).parquet(path)
     if resumed:
         now = F.coalesce("stat_ms", F.lit(0).cast("bigint"))
-        candidates = tree.stat_files(candidates).withColumn("modified_ms", now).drop("stat_bytes", "stat_ms")
+        candidates = tree.stat_files(candidates, candidates.count()).withColumn("modified_ms", now).drop("stat_bytes", "stat_ms")
     return candidates, spark.read.schema(WALK_STATS_SCHEMA).parquet(path + "-stats")
 
 
@@ -79,6 +79,7 @@ def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes
     its own, so a run that breaks off resumes after its last full round.
     """
     spark = cache.spark
+    # Both parts of the result are stored tables, so it may be read repeatedly.
     looked_up = workspace.snapshot(cache_lookup(candidates, cache.load()), "lookup")
     misses = looked_up.filter("NOT cache_hit")
     todo = misses.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).first()
@@ -94,7 +95,7 @@ def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes
     if written:
         fresh = spark.read.schema(tree.HASHED_SCHEMA).parquet(*written)
         hashed = hashed.union(fresh.withColumn("cache_hit", F.lit(False)))
-    return workspace.snapshot(hashed, "fingerprints")
+    return hashed
 
 
 def scan_tree(
@@ -115,13 +116,17 @@ def scan_tree(
     walk_stats = workspace.snapshot(walk_stats, "walk-stats")
     cache = HashCache(spark, f"{out}/hash_cache")
     fingerprints = fingerprint_candidates(candidates, cache, commit_bytes)
+    counters = workspace.snapshot(hash_stats(fingerprints), "hash-stats")
 
     found = workspace.snapshot(g.duplicate_groups(fingerprints, root), "groups")
     found = workspace.snapshot(g.number_groups(found), "numbered")
     members = g.attach_groups(fingerprints.select("path", "sha256"), found)
-    # Size and time as they are now: the walk may have been hours ago, or in an earlier run.
-    report = report_rows(tree.stat_files(members.select("group_id", "sha256", "path", "is_original")))
-    write_report(report, f"{out}/report")
+    # Size and time as they are now: the walk may have been hours ago, or in an earlier run. The
+    # rows are stored before they are sorted, as sorting samples its input first and would run the
+    # join and the file calls twice.
+    paths = found.agg(F.coalesce(F.sum("file_count"), F.lit(0))).first()[0]
+    rows = tree.stat_files(members.select("group_id", "sha256", "path", "is_original"), paths)
+    write_report(workspace.snapshot(report_rows(rows), "report-rows"), f"{out}/report")
 
     workspace.delete(spark, f"{out}/candidates")
     cache.compact()
@@ -130,7 +135,7 @@ def scan_tree(
         read_report(spark, f"{out}/report"),
         spark.read.parquet(f"{out}/review/summary"),
         walk_stats,
-        hash_stats(fingerprints),
+        counters,
     )
 
 

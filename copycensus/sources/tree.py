@@ -25,11 +25,20 @@ HASHED_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, sha256 STRI
 FIRST_ROUND_DIRS = 64
 ROUND_DIRS = 4096
 
-# Bytes one hashing task aims for, and paths one task takes at most.
+# Bytes one hashing task aims for, and paths one task takes.
 TASK_BYTES = 1 << 30
 TASK_PATHS = 50_000
 
 
+def _path_tasks(spark: SparkSession, paths: int) -> int:
+    """Tasks for file calls on ``paths`` paths: all cores, and more if there are many paths.
+
+    The number is set outright because Spark would size tasks by the few bytes of a path and not
+    by the time that the calls take.
+    """
+    return max(math.ceil(paths / TASK_PATHS), min(paths, spark.sparkContext.defaultParallelism), 1)
+
+
 def _lister(budget: int):
     """Task function: list the subtrees of the given directories, at most ``budget`` directories."""
 
@@ -158,14 +167,14 @@ def inventory(
             out = pd.DataFrame(rows, columns=["path", "size_bytes", "modified_ms", "is_symlink", "error"])
             yield out.astype({"size_bytes": "Int64", "modified_ms": "Int64"})
 
-    spread = wanted.repartition("path")
+    spread = wanted.repartition(_path_tasks(spark, wanted.count()), "path")
     return spread.mapInPandas(attributes, INVENTORY_SCHEMA).union(broken)
 
 
-def stat_files(files: DataFrame) -> DataFrame:
+def stat_files(files: DataFrame, paths: int) -> DataFrame:
     """``files`` plus the present ``stat_bytes`` and ``stat_ms`` of each path; null if unreadable.
 
-    Links are followed, as they are when content is read.
+    Links are followed, as they are when content is read. ``paths`` is the number of rows.
     """
     added = [T.StructField("stat_bytes", T.LongType()), T.StructField("stat_ms", T.LongType())]
     schema = T.StructType(files.schema.fields + added)
@@ -189,10 +198,11 @@ def stat_files(files: DataFrame) -> DataFrame:
                 stat_bytes=pd.array(sizes, dtype="Int64"), stat_ms=pd.array(times, dtype="Int64")
             )
 
-    return files.mapInPandas(attributes, schema)
+    spread = files.repartition(_path_tasks(files.sparkSession, paths), "path")
+    return spread.mapInPandas(attributes, schema)
 
 
-def deal_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES, task_paths: int = TASK_PATHS) -> DataFrame:
+def deal_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Spread ``files`` over tasks of about equal bytes, for reading their content.
 
     Files of at least ``task_bytes`` get a task each, largest first so that they start first. The
@@ -206,13 +216,11 @@ def deal_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES, task_paths: in
         F.count_if(small).alias("small"),
         F.coalesce(F.sum(F.when(small, size)), F.lit(0)).alias("small_bytes"),
     ).first()
-    slots = files.sparkSession.sparkContext.defaultParallelism
     parts = []
     if totals.large:
         parts.append(files.filter(large).repartitionByRange(totals.large, size.desc(), F.col("path")))
     if totals.small or not parts:
-        tasks = max(math.ceil(totals.small_bytes / task_bytes), math.ceil(totals.small / task_paths))
-        tasks = max(tasks, min(totals.small, slots), 1)
+        tasks = max(math.ceil(totals.small_bytes / task_bytes), _path_tasks(files.sparkSession, totals.small))
         parts.append(files.filter(small).repartition(tasks, "path"))
     return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
 

@@ -44,14 +44,10 @@ def listed(spark, root, **options):
     [
         ({}, 0),
         ({"a.vcf": "content1", "b.vcf": "content22", "c.vcf": "content333"}, 0),
-        ({"a.vcf": "same_content", "b.vcf": "same_content"}, 2),
-        ({"a.vcf": "identical", "b.vcf": "identical", "c.vcf": "identical"}, 3),
         ({"a.vcf": "same", "b.vcf": "same", "c.vcf": "unique!"}, 2),
-        ({"data.pdf": "same", "data.png": "same", "data.docx": "same"}, 0),
         ({"a.vcf": "same", "data.pdf": "same"}, 0),
-        ({"a.vcf.gz": "compressed_content", "b.vcf.gz": "compressed_content"}, 2),
-        ({"batch1/a.vcf": "content", "batch2/sub/b.vcf": "content"}, 2),
-        ({"a.vcf": "", "b.vcf": ""}, 2),
+        ({"a.vcf.gz": "identical", "b.vcf.gz": "identical", "c.vcf.gz": "identical"}, 3),
+        ({"batch1/a.vcf": "content", "batch2/sub/b.vcf": "content", "c.vcf": "", "d.vcf": ""}, 4),
     ],
 )
 def test_candidates(spark, tmp_path, contents, candidates):
@@ -143,35 +139,46 @@ def test_deal_by_bytes(spark):
 # ---- whole scan --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "contents, groups, redundant",
-    [
-        ({"a.vcf": "unique content A", "b.vcf": "unique content BB", "c.vcf": "unique content CCC"}, 0, 0),
-        ({"original.vcf": "##fileformat=VCFv4.2\n", "duplicate.vcf": "##fileformat=VCFv4.2\n"}, 1, 1),
-        ({f"{c}.vcf": "##VCF4.2\nCHR1\t100\t.\tA\tT\t100\n" for c in "abc"}, 1, 2),
-        (
-            {
-                "g1a.vcf": "group one content", "g1b.vcf": "group one content",
-                "g2a.vcf": "group two content!", "g2b.vcf": "group two content!",
-                "solo.vcf": "unique solo file",
-            },
-            2,
-            2,
-        ),
-        ({"patients/batch1/sample.vcf": "patient data", "backup/2024/sample.vcf": "patient data"}, 1, 1),
-        ({}, 0, 0),
-        ({"a.vcf": "AAAA", "b.vcf": "BBBB"}, 0, 0),
-        ({"a.vcf": "", "b.vcf": ""}, 1, 1),
-    ],
-)
-def test_scan(spark, tmp_path, contents, groups, redundant):
+# Each case is a directory of one tree: the files, and how many of them form each group.
+CASES = {
+    "none": ({"a.vcf": "unique content A", "b.vcf": "unique content BB", "c.vcf": "unique content CCC"}, []),
+    "pair": ({"original.vcf": "##fileformat=VCFv4.2\n", "duplicate.vcf": "##fileformat=VCFv4.2\n"}, [2]),
+    "three": ({f"{c}.vcf": "##VCF4.2\nCHR1\t100\t.\tA\tT\t100\n" for c in "abc"}, [3]),
+    "two groups": (
+        {
+            "g1a.vcf": "group one content", "g1b.vcf": "group one content",
+            "g2a.vcf": "group two content!", "g2b.vcf": "group two content!",
+            "solo.vcf": "solo file",
+        },
+        [2, 2],
+    ),
+    "nested": ({"patients/batch1/sample.vcf": "patient data", "backup/2024/sample.vcf": "patient data"}, [2]),
+    "same size": ({"a.vcf": "AAAA", "b.vcf": "BBBB"}, []),
+    "zero bytes": ({"a.vcf": "", "b.vcf": ""}, [2]),
+    "unsupported": ({"a.pdf": "portable", "b.pdf": "portable", "c.vcf": "portable"}, []),
+}
+
+
+def test_scan_cases(spark, tmp_path):
+    contents = {f"{case}/{name}": text for case, (files, _) in CASES.items() for name, text in files.items()}
+    root = write(tmp_path / "vcf", contents)
+    scan = scan_tree(spark, str(root), str(tmp_path / "out"))
+    found = {case: [] for case in CASES}
+    for row in scan.report.groupBy("group_id").agg(F.min("file_path").alias("path"), F.count("*").alias("n")).collect():
+        found[os.path.relpath(row.path, root).split("/")[0]].append(row.n)
+    assert found == {case: sizes for case, (_, sizes) in CASES.items()}
+    assert totals(scan) == (6, 7)
+
+
+@pytest.mark.parametrize("contents", [{}, {"a.vcf": "AAAA", "b.vcf": "BBBB"}])
+def test_scan_without_duplicates(spark, tmp_path, contents):
     out = tmp_path / "out"
     scan = scan_tree(spark, str(write(tmp_path / "vcf", contents)), str(out))
-    assert totals(scan) == (groups, redundant)
-    # A report with its header, the cache and the review tables stay; the candidates go.
+    assert totals(scan) == (0, 0) and scan.report.count() == 0
+    # A report with its header and the review tables stay; the candidates go.
     header = "group_id,sha256,file_path,file_size_bytes,last_modified,is_original"
     parts = [p for p in (out / "report").iterdir() if p.name.startswith("part-")]
-    assert parts and all(p.read_text().splitlines()[0] == header for p in parts)
+    assert [p.read_text() for p in parts] == [header + "\n"]
     assert sorted(p.name for p in (out / "review").iterdir()) == ["high_priority", "review", "summary", "suspicious"]
     assert not (out / "candidates").exists()
 
