@@ -25,31 +25,24 @@ from oracle_queries import ORACLE_SQL
 
 ROOT = "/data"
 
-# The suffix of a document is the one at position doc_id % 10.
-SUFFIXES = (
-    ".vcf", ".vcf.gz", ".g.vcf", ".g.vcf.gz", ".bam", ".fastq", ".fastq.gz", ".txt", ".VCF", ".pdf",
-)
-
-
 DOCUMENTS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 PAGES_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
+# The suffix of a document is the one at position doc_id % 10.
+SUFFIX = """element_at(
+  array('.vcf', '.vcf.gz', '.g.vcf', '.g.vcf.gz', '.bam', '.fastq', '.fastq.gz', '.txt', '.VCF', '.pdf'),
+  int(doc_id % 10 + 1))"""
+
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: doc_id, path, content, modified_ms."""
     documents = spark.read.schema(DOCUMENTS_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
-    doc_id = F.col("doc_id")
-    suffix = F.element_at(F.array(*(F.lit(s) for s in SUFFIXES)), (doc_id % 10 + 1).cast("int"))
-    name = F.concat(F.lit("doc_"), doc_id.cast("string"), suffix)
-    volume = (F.substring("source", 4, 10).cast("int") % 3).cast("string")
-    path = F.when(doc_id % 7 == 0, F.concat(F.lit(f"{ROOT}/"), name)).otherwise(
-        F.concat(F.lit(f"{ROOT}/vol"), volume, F.lit("/"), F.col("lang"), F.lit("/"), name)
-    )
-    return documents.select(
+    folder = f"CASE WHEN doc_id % 7 = 0 THEN '{ROOT}/' ELSE concat('{ROOT}/vol', int(substr(source, 4)) % 3, '/', lang, '/') END"
+    return documents.selectExpr(
         "doc_id",
-        path.alias("path"),
-        F.col("text").alias("content"),
-        (F.lit(1704067200000) + doc_id * 61001).alias("modified_ms"),
+        f"concat({folder}, 'doc_', doc_id, {SUFFIX}) AS path",
+        "text AS content",
+        "1704067200000 + doc_id * 61001 AS modified_ms",
     )
 
 

@@ -1,4 +1,4 @@
-from .cache import HashCache, cache_lookup, cache_misses, cache_upsert, hash_stats, latest_entries
+from .cache import HashCache, cache_lookup, cache_misses, hash_stats, latest_entries
 from .candidates import candidate_stats, size_candidates, size_histogram, supported_files
 from .groups import attach_groups, duplicate_groups, number_groups, scan_summary, spanning_groups
 from .report import (
@@ -25,7 +25,6 @@ __all__ = [
     "attach_groups",
     "cache_lookup",
     "cache_misses",
-    "cache_upsert",
     "candidate_stats",
     "duplicate_groups",
     "duplicate_report",

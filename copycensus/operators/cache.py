@@ -15,7 +15,7 @@ CACHE_SCHEMA = "path STRING, modified_ms BIGINT, sha256 STRING, run_id BIGINT"
 
 
 def latest_entries(entries: DataFrame) -> DataFrame:
-    """One live entry per path: the one with the greatest ``run_id``."""
+    """One live entry per path: the one with the greatest ``run_id``. Entries of vanished files stay."""
     return (
         entries.groupBy("path")
         .agg(F.max_by(F.struct("modified_ms", "sha256"), "run_id").alias("e"), F.max("run_id").alias("run_id"))
@@ -23,15 +23,6 @@ def latest_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The cache after ``fresh`` entries overwrite older ones of the same path.
-
-    Entries of vanished files stay. ``fresh`` may name a path more than once; its latest run wins.
-    """
-    fresh = latest_entries(fresh)
-    return cache.join(fresh, "path", "left_anti").unionByName(fresh)
-
-
 def cache_lookup(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``sha256`` and ``cache_hit``: a hit needs the same path and the same time.
 
@@ -108,7 +99,8 @@ class HashCache:
         old = self.segments()
         if len(old) <= self.keep_segments:
             return
-        number = max(self._numbers()) + 1
+        everything = self._numbers()
+        number = max(everything) + 1
         latest_entries(self.read_segments(old)).write.parquet(self._path(number))
-        for n in old:
+        for n in everything:
             workspace.delete(self.spark, self._path(n))

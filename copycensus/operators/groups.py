@@ -18,15 +18,14 @@ def duplicate_groups(fingerprints: DataFrame, root: str) -> DataFrame:
     third of all files share into one row per task before the shuffle. ``spanning`` compares the
     least and greatest top-level directory, which needs no distinct count.
     """
-    top = top_level_dir(F.col("path"), root)
-    first = F.min(F.struct("path", "size_bytes"))
     return (
         fingerprints.filter(F.col("sha256").isNotNull())
+        .withColumn("_top", top_level_dir(F.col("path"), root))
         .groupBy("sha256")
         .agg(
             F.count("*").alias("file_count"),
-            first.alias("first"),
-            (F.min(top) != F.max(top)).alias("spanning"),
+            F.min(F.struct("path", "size_bytes")).alias("first"),
+            (F.min("_top") != F.max("_top")).alias("spanning"),
         )
         .filter("file_count >= 2")
         .withColumn("size_bytes", F.coalesce("first.size_bytes", F.lit(0).cast("bigint")))

@@ -47,15 +47,15 @@ def report_with_stats(
 def groups_from_report(report: DataFrame, root: str) -> DataFrame:
     """Rebuild the groups from report rows; the row marked original gives path and size."""
     original = F.col("is_original")
-    top = top_level_dir(F.col("file_path"), root)
     return (
-        report.groupBy("group_id")
+        report.withColumn("_top", top_level_dir(F.col("file_path"), root))
+        .groupBy("group_id")
         .agg(
             F.min("sha256").alias("sha256"),
             F.count("*").alias("file_count"),
             F.max(F.when(original, F.struct("file_path", "file_size_bytes"))).alias("kept"),
             F.min(F.struct("file_path", "file_size_bytes")).alias("first"),
-            (F.min(top) != F.max(top)).alias("spanning"),
+            (F.min("_top") != F.max("_top")).alias("spanning"),
         )
         .withColumn("kept", F.coalesce("kept", "first"))
         .withColumn("size_bytes", F.col("kept.file_size_bytes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import workspace
 from ..functions.scalars import human_size, short_hash
 from .groups import attach_groups, scan_summary, spanning_groups
 from .skew import HOT_ROWS
@@ -89,6 +90,8 @@ def review_queue(
     ``members`` needs ``sha256`` and ``path``; paths outside the groups are ignored.
     """
     decided = with_decisions(groups, decisions)
+    if decisions is not None:
+        decided = workspace.snapshot(decided, "decided")
     attached = attach_groups(members.select("sha256", "path"), decided, hot_rows)
     return _review_rows(attached, decided.columns, page_paths)
 
@@ -99,7 +102,7 @@ def _short_list(top: DataFrame, rows: int, members: DataFrame, page_paths: int,
         attached = members.join(F.broadcast(top), "sha256")
         attached = attached.withColumn("is_original", F.col("path") == F.col("original_path"))
     else:
-        attached = attach_groups(members, top, hot_rows)
+        attached = attach_groups(members, workspace.snapshot(top, "top"), hot_rows)
     return _review_rows(attached, top.columns, page_paths)
 
 
@@ -158,7 +161,7 @@ def archive_action_list(
     Groups are picked by decision first, one row each, and only then meet their members.
     """
     marked = decisions.filter(F.col("decision") == ARCHIVE).select("sha256")
-    picked = groups.join(marked, "sha256", "left_semi")
+    picked = workspace.snapshot(groups.join(marked, "sha256", "left_semi"), "picked")
     copies = attach_groups(members.select("sha256", "path"), picked, hot_rows).filter(~F.col("is_original"))
     return copies.select("group_id", "sha256", F.col("path").alias("file_path"), "size_bytes")
 

@@ -24,7 +24,8 @@ def join_counted(
 
     ``keyed`` has one row per key, and ``count`` says how many of ``rows`` carry that key. Each hot
     key is split into pieces: its rows are dealt over them by a hash of ``spread`` and its one
-    row in ``keyed`` is repeated per piece, which adds at most 2 * MAX_PIECES rows.
+    row in ``keyed`` is repeated per piece, which adds at most 2 * MAX_PIECES rows. ``keyed`` is
+    read three times, so pass a stored table or a plain aggregate, whose shuffle Spark reuses.
     """
     total = keyed.agg(F.sum(count).alias("total")).scalar()
     piece_rows = F.greatest(F.lit(hot_rows), F.ceil(total / F.lit(MAX_PIECES)))

@@ -128,7 +128,8 @@ def scan_tree(
     rows = tree.stat_files(members.select("group_id", "sha256", "path", "is_original"), paths)
     write_report(workspace.snapshot(report_rows(rows), "report-rows"), f"{out}/report")
 
-    workspace.delete(spark, f"{out}/candidates")
+    if workspace.is_committed(spark, f"{out}/report"):
+        workspace.delete(spark, f"{out}/candidates")
     cache.compact()
     review_from_report(spark, root, out, decisions)
     return TreeScan(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from copycensus import operators as op
 from copycensus.operators import review as rv
-from copycensus.operators.cache import HashCache, cache_upsert
+from copycensus.operators.cache import HashCache
 from copycensus.operators.skew import join_counted
 from copycensus.sources import read_report, write_report
 
@@ -66,16 +66,21 @@ def test_hot_key_is_split(spark, hot):
     """With broadcasts off, the rows of the hot key end up in many partitions."""
     rows = spark.createDataFrame(hot, FILES)
     keyed = rows.groupBy("size_bytes").agg(F.count("*").alias("n"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         joined = join_counted(rows, keyed, "size_bytes", "n", F.col("path"), hot_rows=5)
         spread = joined.filter("size_bytes = 0").groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in spread) == 100 and len(spread) >= 6
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 # ---- candidates --------------------------------------------------------------------------------
@@ -233,11 +238,10 @@ def test_cache_hits_and_misses(spark):
     assert sorted(r.path for r in op.cache_misses(files, cache).collect()) == ["/new", "/newer", "/older"]
 
 
-def test_cache_upsert(spark):
-    schema = CACHE + ", run_id BIGINT"
-    cache = spark.createDataFrame([("/a", 1, "a1", 1), ("/b", 1, "b1", 1)], schema)
-    fresh = spark.createDataFrame([("/b", 2, "b2", 2), ("/b", 3, "b3", 3), ("/c", 1, "c1", 2)], schema)
-    got = sorted(tuple(r) for r in cache_upsert(cache, fresh).collect())
+def test_latest_entry_wins(spark):
+    rows = [("/a", 1, "a1", 1), ("/b", 1, "b1", 1), ("/b", 3, "b3", 3), ("/b", 9, "b2", 2), ("/c", 1, "c1", 2)]
+    entries = spark.createDataFrame(rows, CACHE + ", run_id BIGINT")
+    got = sorted(tuple(r) for r in op.latest_entries(entries).collect())
     assert got == [("/a", 1, "a1", 1), ("/b", 3, "b3", 3), ("/c", 1, "c1", 2)]
 
 

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = entry.queries()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,8 @@ def test_every_query_has_its_sql():
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
     got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    types = {c[0]: c[1] for c in duck.execute("DESCRIBE " + entry.oracle_sql()[name]).fetchall()}
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == types
     result = duck.execute(entry.oracle_sql()[name])
     want = sorted_rows([d[0] for d in result.description], result.fetchall())
     assert got == want
