@@ -30,17 +30,21 @@ from ..sources.report_csv import read_report, write_report
 # Bytes hashed between two commits to the cache: what a broken run can lose.
 COMMIT_BYTES = 4 << 40
 
-REVIEW_TABLES = ("summary", "review", "high_priority", "suspicious")
+REVIEW_TABLES = ("totals", "summary", "review", "high_priority", "suspicious")
 
 CANDIDATE_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, is_symlink BOOLEAN"
-WALK_STATS_SCHEMA = "files_found BIGINT, candidates BIGINT, skipped_unique_size BIGINT"
+WALK_STATS_SCHEMA = "files_found BIGINT, candidates BIGINT, skipped_unique_size BIGINT, unreadable BIGINT"
 
 
 @dataclass
 class TreeScan:
-    """Tables that a scan left below ``out``, and its counters as one-row tables."""
+    """Tables that a scan left below ``out``, and its counters.
+
+    ``totals``, ``walk_stats`` and ``hash_stats`` have one row each; ``summary`` has labelled rows.
+    """
 
     report: DataFrame
+    totals: DataFrame
     summary: DataFrame
     walk_stats: DataFrame
     hash_stats: DataFrame
@@ -63,7 +67,8 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
     if not resumed:
         listed = workspace.snapshot(tree.inventory(spark, root, extensions), "inventory")
         files = listed.filter(F.col("error").isNull())
-        c.candidate_stats(files).write.mode("overwrite").parquet(path + "-stats")
+        unreadable = listed.filter(F.col("error").isNotNull()).agg(F.count("*").alias("n")).scalar()
+        c.candidate_stats(files).withColumn("unreadable", unreadable).write.mode("overwrite").parquet(path + "-stats")
         c.size_candidates(files).drop("error").write.mode("overwrite").parquet(path)
     candidates = spark.read.schema(CANDIDATE_SCHEMA).parquet(path)
     if resumed:
@@ -131,12 +136,9 @@ def scan_tree(
     if workspace.is_committed(spark, f"{out}/report"):
         workspace.delete(spark, f"{out}/candidates")
     cache.compact()
-    review_from_report(spark, root, out, decisions)
+    tables = review_from_report(spark, root, out, decisions)
     return TreeScan(
-        read_report(spark, f"{out}/report"),
-        spark.read.parquet(f"{out}/review/summary"),
-        walk_stats,
-        counters,
+        read_report(spark, f"{out}/report"), tables["totals"], tables["summary"], walk_stats, counters
     )
 
 
@@ -150,6 +152,7 @@ def review_from_report(
     members = report_members(report)
     today = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M")
     tables = {
+        "totals": g.scan_summary(groups),
         "summary": r.review_summary(groups, r.with_decisions(groups, decisions), root, today).orderBy("row_no"),
         "review": r.review_queue(groups, members, decisions).orderBy("group_id", "page"),
         "high_priority": r.high_priority(groups, members, decisions),
@@ -157,4 +160,6 @@ def review_from_report(
     }
     for name in REVIEW_TABLES:
         tables[name].write.mode("overwrite").parquet(f"{out}/review/{name}")
-    return {name: spark.read.parquet(f"{out}/review/{name}") for name in REVIEW_TABLES}
+    return {
+        name: spark.read.schema(tables[name].schema).parquet(f"{out}/review/{name}") for name in REVIEW_TABLES
+    }

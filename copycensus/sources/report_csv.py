@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.report import REPORT_COLUMNS
@@ -19,16 +19,22 @@ CSV_OPTIONS = {
 ROWS_PER_FILE = 1_000_000
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Write the report in group order. A report without rows still gets its header."""
+def write_report(report: DataFrame, path: str) -> dict[str, int]:
+    """Write the report in group order and return its ``groups`` and ``rows``.
+
+    A report without rows still gets its header. The totals are taken while writing.
+    """
+    totals = Observation("report")
     (
         report.select(*REPORT_COLUMNS)
         .orderBy("group_id", F.desc("is_original"), "file_path")
+        .observe(totals, F.count_if("is_original").alias("groups"), F.count("*").alias("rows"))
         .write.mode("overwrite")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .options(**CSV_OPTIONS)
         .csv(path)
     )
+    return totals.get
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

@@ -218,7 +218,9 @@ def test_group_without_original_takes_its_first_path(spark, tmp_path):
 
 def test_report_is_written_in_group_order(spark, hot, tmp_path):
     path = str(tmp_path / "report")
-    write_report(op.duplicate_report(spark.createDataFrame(hot, FILES), numbered(spark, hot)), path)
+    written = write_report(op.duplicate_report(spark.createDataFrame(hot, FILES), numbered(spark, hot)), path)
+    groups = expected_groups(hot)
+    assert written == {"groups": len(groups), "rows": sum(len(m) for _, _, m in groups)}
     lines = []
     for part in sorted((tmp_path / "report").glob("part-*")):
         lines += part.read_text().splitlines()[1:]
@@ -226,6 +228,21 @@ def test_report_is_written_in_group_order(spark, hot, tmp_path):
     assert keys == sorted(keys) and len(keys) == sum(len(m) for _, _, m in expected_groups(hot))
 
 
+def test_any_path_comes_back_from_the_report(spark, tmp_path):
+    rng = random.Random(3)
+    signs = "ab \"',\\\n\r\t#é中\U0001f600\x01 ;|"
+    paths = sorted({"/" + "".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) for _ in range(3000)})
+    rows = [(1, "a" * 64, p, 5, "2024-01-01T00:00:00Z", i == 0) for i, p in enumerate(paths)]
+    schema = (
+        "group_id BIGINT, sha256 STRING, file_path STRING, file_size_bytes BIGINT, last_modified STRING,"
+        " is_original BOOLEAN"
+    )
+    report = spark.createDataFrame(rows, schema)
+    assert write_report(report, str(tmp_path / "report")) == {"groups": 1, "rows": len(paths)}
+    assert sorted(tuple(r) for r in read_report(spark, str(tmp_path / "report")).collect()) == sorted(rows)
+    assert write_report(report.limit(0), str(tmp_path / "empty")) == {"groups": 0, "rows": 0}
+
+
 # ---- hash cache --------------------------------------------------------------------------------
 
 

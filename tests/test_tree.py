@@ -23,8 +23,8 @@ def write(root, contents):
 
 
 def totals(scan):
-    labels = {r.label: r.value for r in scan.summary.collect()}
-    return int(labels["Duplicate groups"]), int(labels["Redundant files"])
+    r = scan.totals.first()
+    return r.duplicate_groups, r.redundant_files
 
 
 def hash_counts(scan):
@@ -179,7 +179,9 @@ def test_scan_without_duplicates(spark, tmp_path, contents):
     header = "group_id,sha256,file_path,file_size_bytes,last_modified,is_original"
     parts = [p for p in (out / "report").iterdir() if p.name.startswith("part-")]
     assert [p.read_text() for p in parts] == [header + "\n"]
-    assert sorted(p.name for p in (out / "review").iterdir()) == ["high_priority", "review", "summary", "suspicious"]
+    assert sorted(p.name for p in (out / "review").iterdir()) == [
+        "high_priority", "review", "summary", "suspicious", "totals"
+    ]
     assert not (out / "candidates").exists()
 
 
@@ -200,8 +202,8 @@ def test_scan_report(spark, tmp_path):
     assert review[0].duplicates == f"{root}/y/c.vcf\n{root}/z/a.vcf"
     suspicious = spark.read.parquet(str(tmp_path / "out/review/suspicious")).collect()
     assert [r.group_id for r in suspicious] == [1]
-    walk = scan.walk_stats.first()
-    assert (walk.files_found, walk.candidates, walk.skipped_unique_size) == (4, 3, 1)
+    assert tuple(scan.walk_stats.first()) == (4, 3, 1, 0)
+    assert tuple(scan.totals.first()) == (1, 2, 36, "36 B")
 
 
 def test_scan_with_relative_root(spark, tmp_path, monkeypatch):
