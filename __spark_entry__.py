@@ -20,6 +20,7 @@ from copycensus import operators as op
 from copycensus import workspace
 from copycensus.operators.cache import HashCache
 from copycensus.plans.table_scan import scan_groups, scan_table
+from copycensus import sources
 from copycensus.sources import read_report, table_fingerprints, write_report
 from oracle_queries import ORACLE_SQL
 
@@ -58,6 +59,15 @@ def stored_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.snapshot(op.supported_files(listing(spark, sf_dir)), "listing")
 
 
+def table_folder(sf_dir: str) -> str:
+    """The folder of the tables as a plain path; it must be on a mount that executors see."""
+    return os.path.abspath(sf_dir.removeprefix("file://").removeprefix("file:"))
+
+
+def below(root: str):
+    return F.substr("path", F.lit(len(root) + 2)).alias("name")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The web pages as files; no two are alike."""
     return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet").select(
@@ -151,6 +161,20 @@ def q_last_modified_utc(spark, sf_dir):
     return files(spark, sf_dir).select("path", fn.last_modified_utc(known).alias("last_modified"))
 
 
+def q_inventory(spark, sf_dir):
+    """The files that hold the tables, listed as a tree."""
+    root = table_folder(sf_dir)
+    return sources.inventory(spark, root, [".parquet"]).select(below(root), "size_bytes", "error")
+
+
+def q_file_fingerprints(spark, sf_dir):
+    """Digests of the files that hold the tables, each read in full."""
+    root = table_folder(sf_dir)
+    found = workspace.snapshot(sources.inventory(spark, root, [".parquet"]), "inventory")
+    dealt = sources.deal_by_bytes(found.filter(F.col("error").isNull()))
+    return sources.hash_files(dealt).select(below(root), "size_bytes", "sha256", "error")
+
+
 # ---- groups and report -------------------------------------------------------------------------
 
 

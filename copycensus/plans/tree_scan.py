@@ -27,8 +27,10 @@ from ..operators.report import groups_from_report, report_members, report_rows
 from ..sources import tree
 from ..sources.report_csv import read_report, write_report
 
-# Bytes hashed between two commits to the cache: what a broken run can lose.
-COMMIT_BYTES = 4 << 40
+# Bytes hashed between two commits to the cache, which is what a broken run can lose: some minutes
+# of work for each core, and no less than the second number.
+COMMIT_BYTES_PER_CORE = 64 << 30
+LEAST_COMMIT_BYTES = 1 << 40
 
 REVIEW_TABLES = ("totals", "summary", "review", "high_priority", "suspicious")
 
@@ -77,13 +79,15 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
     return candidates, spark.read.schema(WALK_STATS_SCHEMA).parquet(path + "-stats")
 
 
-def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes: int = COMMIT_BYTES) -> DataFrame:
+def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes: int | None = None) -> DataFrame:
     """Digests of ``candidates``: from the cache where path and time match, else by reading files.
 
     Files are read in rounds of about ``commit_bytes``. Each round is committed to the cache on
     its own, so a run that breaks off resumes after its last full round.
     """
     spark = cache.spark
+    if commit_bytes is None:
+        commit_bytes = max(LEAST_COMMIT_BYTES, spark.sparkContext.defaultParallelism * COMMIT_BYTES_PER_CORE)
     # Both parts of the result are stored tables, so it may be read repeatedly.
     looked_up = workspace.snapshot(cache_lookup(candidates, cache.load()), "lookup")
     misses = looked_up.filter("NOT cache_hit")
@@ -109,7 +113,7 @@ def scan_tree(
     out: str,
     extensions: Sequence[str] = DEFAULT_EXTENSIONS,
     decisions: DataFrame | None = None,
-    commit_bytes: int = COMMIT_BYTES,
+    commit_bytes: int | None = None,
 ) -> TreeScan:
     """Find duplicate files below ``root`` and write report and review tables below ``out``.
 
@@ -134,7 +138,9 @@ def scan_tree(
     write_report(workspace.snapshot(report_rows(rows), "report-rows"), f"{out}/report")
 
     if workspace.is_committed(spark, f"{out}/report"):
-        workspace.delete(spark, f"{out}/candidates")
+        kept = candidates_path(out, root, extensions)
+        workspace.delete(spark, kept)
+        workspace.delete(spark, kept + "-stats")
     cache.compact()
     tables = review_from_report(spark, root, out, decisions)
     return TreeScan(

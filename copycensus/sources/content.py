@@ -27,14 +27,28 @@ def table_fingerprints(files: DataFrame, extensions: Sequence[str] = DEFAULT_EXT
     )
 
 
-def object_store_files(spark: SparkSession, uri: str) -> DataFrame:
+def _any_case_glob(extension: str) -> str:
+    signs = (f"[{c.lower()}{c.upper()}]" if c.isalpha() else f"\\{c}" if c in "*?[]{}\\," else c for c in extension)
+    return "*" + "".join(signs)
+
+
+def object_store_files(
+    spark: SparkSession, uri: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS
+) -> DataFrame:
     """Files below a URI that executors reach only through Spark, as path, content, modified_ms.
 
-    Spark's listing leaves out empty files and names that start with ``_`` or ``.``, and reading
-    content fails above ``spark.sql.sources.binaryFile.maxLength``. Use ``tree`` for mounted
-    folders, where none of that applies.
+    Names are filtered while listing, in any case, so other files are never read. Spark's listing
+    leaves out empty files and names that start with ``_`` or ``.``, and reading content fails
+    above ``spark.sql.sources.binaryFile.maxLength``. Use ``tree`` for mounted folders, where none
+    of that applies.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(uri)
+    globs = ",".join(_any_case_glob(e) for e in extensions)
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "{" + globs + "}")
+        .load(uri)
+    )
     return found.select(
         F.regexp_replace("path", "^file:/+", "/").alias("path"),
         "content",

@@ -182,7 +182,7 @@ def test_scan_without_duplicates(spark, tmp_path, contents):
     assert sorted(p.name for p in (out / "review").iterdir()) == [
         "high_priority", "review", "summary", "suspicious", "totals"
     ]
-    assert not (out / "candidates").exists()
+    assert not list((out / "candidates").iterdir())
 
 
 def test_scan_report(spark, tmp_path):
@@ -325,7 +325,12 @@ def test_decisions_are_carried_over(spark, tmp_path):
 
 
 def test_object_store_files(spark, tmp_path):
-    root = write(tmp_path / "in", {"x/a.vcf": "same", "b.vcf": "same", "c.vcf": "other"})
-    found = sources.table_fingerprints(sources.object_store_files(spark, str(root)))
-    groups = op.duplicate_groups(found, str(root)).collect()
-    assert [(g.file_count, g.original_path, g.spanning) for g in groups] == [(2, f"{root}/b.vcf", True)]
+    contents = {"x/a.VCF": "same", "b.vcf": "same", "c.vcf": "other", "d.pdf": "same", "e.g[1].txt": "same"}
+    root = write(tmp_path / "in", contents)
+    files = sources.object_store_files(spark, str(root))
+    assert {os.path.relpath(r.path, root) for r in files.select("path").collect()} == set(contents) - {"d.pdf"}
+    groups = op.duplicate_groups(sources.table_fingerprints(files), str(root)).collect()
+    assert [(g.file_count, g.original_path, g.spanning) for g in groups] == [(3, f"{root}/b.vcf", True)]
+    odd = sources.object_store_files(spark, str(root), ["g[1].txt", ""])
+    assert odd.count() == 5
+    assert sources.object_store_files(spark, str(root), ["g[1].txt"]).count() == 1
