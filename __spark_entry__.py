@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from copycensus import functions as fn
 from copycensus import operators as op
-from copycensus import workspace
+from copycensus import sources, workspace
 from copycensus.operators.cache import HashCache
 from copycensus.plans.table_scan import scan_groups, scan_table
-from copycensus import sources
 from copycensus.sources import read_report, table_fingerprints, write_report
 from oracle_queries import ORACLE_SQL
 
@@ -38,7 +37,8 @@ SUFFIX = """element_at(
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: doc_id, path, content, modified_ms."""
     documents = spark.read.schema(DOCUMENTS_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
-    folder = f"CASE WHEN doc_id % 7 = 0 THEN '{ROOT}/' ELSE concat('{ROOT}/vol', int(substr(source, 4)) % 3, '/', lang, '/') END"
+    deeper = f"concat('{ROOT}/vol', int(substr(source, 4)) % 3, '/', lang, '/')"
+    folder = f"CASE WHEN doc_id % 7 = 0 THEN '{ROOT}/' ELSE {deeper} END"
     return documents.selectExpr(
         "doc_id",
         f"concat({folder}, 'doc_', doc_id, {SUFFIX}) AS path",

@@ -75,7 +75,8 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
     candidates = spark.read.schema(CANDIDATE_SCHEMA).parquet(path)
     if resumed:
         now = F.coalesce("stat_ms", F.lit(0).cast("bigint"))
-        candidates = tree.stat_files(candidates, candidates.count()).withColumn("modified_ms", now).drop("stat_bytes", "stat_ms")
+        present = tree.stat_files(candidates, candidates.count())
+        candidates = present.withColumn("modified_ms", now).drop("stat_bytes", "stat_ms")
     return candidates, spark.read.schema(WALK_STATS_SCHEMA).parquet(path + "-stats")
 
 

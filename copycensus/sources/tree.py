@@ -76,10 +76,12 @@ def _lister(budget: int):
                     try:
                         with os.scandir(folder) as entries:
                             for entry in entries:
-                                if entry.is_dir(follow_symlinks=False):
+                                if not entry.is_dir(follow_symlinks=False):
+                                    add("file", entry.path, entry.is_symlink())
+                                elif opened + len(waiting) < budget:
                                     waiting.append(entry.path)
                                 else:
-                                    add("file", entry.path, entry.is_symlink())
+                                    add("dir", entry.path)
                                 if len(rows) >= full:
                                     yield table()
                     except NotADirectoryError:

@@ -87,14 +87,16 @@ progress AS (
 def review(source: str, decided: bool) -> str:
     """Review rows of the groups in ``source``; a page holds 10000 paths."""
     if decided:
-        cells = "coalesce(d.decision, 'Pending') AS decision, coalesce(d.reviewer, '') AS reviewer, coalesce(d.notes, '') AS notes"
+        cells = """coalesce(d.decision, 'Pending') AS decision, coalesce(d.reviewer, '') AS reviewer,
+       coalesce(d.notes, '') AS notes"""
     else:
         cells = "'Pending' AS decision, '' AS reviewer, '' AS notes"
     return f"""
 copies AS (
   SELECT m.sha256, m.path,
          CASE WHEN m.file_count - 1 <= 10000 THEN 1
-              ELSE CAST('0x' || substr(md5(m.path), 1, 8) AS BIGINT) % CAST(ceil((m.file_count - 1) / 10000.0) AS BIGINT) + 1
+              ELSE CAST('0x' || substr(md5(m.path), 1, 8) AS BIGINT)
+                   % CAST(ceil((m.file_count - 1) / 10000.0) AS BIGINT) + 1
          END AS page
   FROM members m WHERE m.file_count > 1 AND m.place > 1),
 pages AS (
@@ -119,7 +121,8 @@ SELECT path, size_bytes FROM files
 WHERE regexp_matches(lower(split_part(path, '/', -1)), '(\\.vcf|\\.VCF|\\.bam)$')""",
     "size_candidates": f"WITH {CANDIDATES} SELECT path, size_bytes, modified_ms FROM candidates",
     "candidate_snapshot": f"WITH {CANDIDATES} SELECT path FROM candidates",
-    "size_histogram": f"WITH {CANDIDATES} SELECT size_bytes, count(*) AS file_count FROM supported GROUP BY size_bytes",
+    "size_histogram": f"""WITH {CANDIDATES}
+SELECT size_bytes, count(*) AS file_count FROM supported GROUP BY size_bytes""",
     "candidate_stats": f"""WITH {CANDIDATES}
 SELECT (SELECT count(*) FROM supported) AS files_found, (SELECT count(*) FROM candidates) AS candidates,
        (SELECT count(*) FROM supported) - (SELECT count(*) FROM candidates) AS skipped_unique_size""",
@@ -128,7 +131,8 @@ SELECT (SELECT count(*) FROM supported) AS files_found, (SELECT count(*) FROM ca
   SELECT doc_id, size_bytes * unnest([1, 1024, 1048576, 1073741824]) AS n_bytes FROM files)
 SELECT doc_id, n_bytes, {human('n_bytes')} AS shown FROM scaled""",
     "top_level_dir": f"""WITH {FILES}
-SELECT path, CASE WHEN instr(substr(path, 7), '/') > 0 THEN split_part(substr(path, 7), '/', 1) ELSE '' END AS top_dir
+SELECT path,
+       CASE WHEN instr(substr(path, 7), '/') > 0 THEN split_part(substr(path, 7), '/', 1) ELSE '' END AS top_dir
 FROM files""",
     "last_modified_utc": f"""WITH {FILES}
 SELECT path, CASE WHEN doc_id % 5 = 2 THEN 'unknown' ELSE {UTC} END AS last_modified FROM files""",
@@ -145,8 +149,8 @@ SELECT *, {human('wasted_bytes')} AS wasted_human FROM totals""",
     "report_with_stats": f"""WITH {GROUPS}
 SELECT g.group_id, m.sha256, m.path AS file_path,
        CASE WHEN m.doc_id % 5 = 2 THEN 0 ELSE m.size_bytes END AS file_size_bytes,
-       CASE WHEN m.doc_id % 5 = 2 THEN 'unknown' ELSE {UTC.replace('modified_ms', 'm.modified_ms')} END AS last_modified,
-       m.place = 1 AS is_original
+       CASE WHEN m.doc_id % 5 = 2 THEN 'unknown' ELSE {UTC.replace('modified_ms', 'm.modified_ms')}
+       END AS last_modified, m.place = 1 AS is_original
 FROM members m JOIN groups g USING (sha256)""",
     "groups_from_report": f"""WITH {GROUPS}
 SELECT group_id, sha256, file_count, size_bytes, wasted_bytes, original_path, spanning FROM groups""",

@@ -247,8 +247,10 @@ def test_any_path_comes_back_from_the_report(spark, tmp_path):
 
 
 def test_cache_hits_and_misses(spark):
-    files = spark.createDataFrame([(f"/{n}", 1, t) for n, t in (("hit", 1000), ("newer", 9999), ("older", 1), ("new", 5))],
-                                  "path STRING, size_bytes BIGINT, modified_ms BIGINT")
+    times = (("hit", 1000), ("newer", 9999), ("older", 1), ("new", 5))
+    files = spark.createDataFrame(
+        [(f"/{n}", 1, t) for n, t in times], "path STRING, size_bytes BIGINT, modified_ms BIGINT"
+    )
     cache = spark.createDataFrame([(f"/{n}", 1000, "old" + n) for n in ("hit", "newer", "older", "gone")], CACHE)
     found = {r.path: (r.cache_hit, r.sha256) for r in op.cache_lookup(files, cache).collect()}
     assert found == {"/hit": (True, "oldhit"), "/newer": (False, None), "/older": (False, None), "/new": (False, None)}
@@ -356,7 +358,8 @@ def test_decisions(spark):
 def test_archive_list(spark, hot):
     groups = numbered(spark, hot)
     picked = {number: sha256 for number, sha256, _ in expected_groups(hot) if number % 2}
-    rows = [(s, "Archive duplicates", "kim", None) for s in picked.values()] + [(digest(5), "Archive duplicates", "", "")]
+    marked = [*picked.values(), digest(5)]
+    rows = [(s, "Archive duplicates", "kim", None) for s in marked]
     got = op.archive_action_list(
         groups, spark.createDataFrame(hot, FILES), spark.createDataFrame(rows, DECISIONS), hot_rows=4
     ).collect()
