@@ -140,10 +140,13 @@ SELECT path, CASE WHEN doc_id % 5 = 2 THEN 'unknown' ELSE {UTC} END AS last_modi
 SELECT group_id, sha256, file_count, size_bytes, wasted_bytes, original_path, spanning FROM groups""",
     "spanning_groups": f"WITH {GROUPS} SELECT sha256, file_count FROM groups WHERE spanning",
     "scan_summary": f"WITH {GROUPS}, {TOTALS} SELECT * FROM summary",
-    "pages_scan_summary": f"""WITH copies AS (SELECT count(*) - 1 AS extra, (count(*) - 1) * any_value(strlen(html)) AS wasted
+    "pages_scan_summary": f"""WITH copies AS (
+  SELECT count(*) - 1 AS extra, (count(*) - 1) * any_value(strlen(html)) AS wasted
   FROM pages GROUP BY sha256(html) HAVING count(*) > 1),
-totals AS (SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(extra), 0) AS BIGINT) AS redundant_files,
-  CAST(coalesce(sum(wasted), 0) AS BIGINT) AS wasted_bytes FROM copies)
+totals AS (
+  SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(extra), 0) AS BIGINT) AS redundant_files,
+         CAST(coalesce(sum(wasted), 0) AS BIGINT) AS wasted_bytes
+  FROM copies)
 SELECT *, {human('wasted_bytes')} AS wasted_human FROM totals""",
     "duplicate_report": f"WITH {GROUPS} {REPORT}",
     "report_with_stats": f"""WITH {GROUPS}
