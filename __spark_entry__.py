@@ -149,16 +149,17 @@ def q_human_size(spark, sf_dir):
     scaled = listing(spark, sf_dir).select(
         "doc_id", F.explode(F.array(*(F.col("size_bytes") * F.lit(1024**i) for i in range(4)))).alias("n_bytes")
     )
-    return scaled.select("doc_id", "n_bytes", fn.human_size(F.col("n_bytes")).alias("shown"))
+    return scaled.select("doc_id", "n_bytes", fn.human_size("n_bytes").alias("shown"))
 
 
 def q_top_level_dir(spark, sf_dir):
-    return files(spark, sf_dir).select("path", fn.top_level_dir(F.col("path"), ROOT).alias("top_dir"))
+    return files(spark, sf_dir).select("path", fn.top_level_dir("path", ROOT).alias("top_dir"))
 
 
 def q_last_modified_utc(spark, sf_dir):
-    known = F.when(F.col("doc_id") % 5 != 2, F.col("modified_ms"))
-    return files(spark, sf_dir).select("path", fn.last_modified_utc(known).alias("last_modified"))
+    known = F.when(F.col("doc_id") % 5 != 2, F.col("modified_ms")).alias("known_ms")
+    seen = files(spark, sf_dir).select("path", known)
+    return seen.select("path", fn.last_modified_utc("known_ms").alias("last_modified"))
 
 
 def q_inventory(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Column expressions. All are built-in Spark functions, so they stay in generated code."""
+"""Column expressions over named columns. All are built-in Spark functions, so they stay in generated code."""
 
 from __future__ import annotations
 
@@ -31,11 +31,11 @@ def parse_extensions(text: str) -> list[str]:
     return parts
 
 
-def file_name(path: Column) -> Column:
+def file_name(path: str) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def is_supported(path: Column, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> Column:
+def is_supported(path: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> Column:
     """True if the lower-cased file name ends in any suffix.
 
     The suffixes are taken as given: ``.VCF`` matches nothing and an empty one matches every file.
@@ -47,19 +47,19 @@ def is_supported(path: Column, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -
     return F.lower(file_name(path)).rlike(f"(?:{suffixes})\\z")
 
 
-def short_hash(sha256: Column) -> Column:
-    return F.concat(F.substring(sha256, 1, 12), F.lit("..."))
+def short_hash(sha256: str) -> Column:
+    return F.expr(f"concat(substring({sha256}, 1, 12), '...')")
 
 
-def human_size(n: Column) -> Column:
+def human_size(n: str) -> Column:
     """1024-based size with one decimal; the unit is picked before rounding."""
-    shown = F.concat(n.cast("string"), F.lit(" B"))
-    for unit, scale in reversed(SIZE_UNITS):
-        shown = F.when(n >= F.lit(scale), F.format_string(f"%.1f {unit}", n / F.lit(float(scale)))).otherwise(shown)
-    return shown
+    cases = " ".join(
+        f"WHEN {n} >= {scale} THEN format_string('%.1f {unit}', {n} / {scale}D)" for unit, scale in SIZE_UNITS
+    )
+    return F.expr(f"CASE {cases} ELSE concat({n}, ' B') END")
 
 
-def top_level_dir(path: Column, root: str) -> Column:
+def top_level_dir(path: str, root: str) -> Column:
     """First directory below ``root``; empty for a file directly in it, ``..`` for one outside it."""
     prefix = root.rstrip("/") + "/"
     below = F.substr(path, F.lit(len(prefix) + 1))
@@ -70,12 +70,11 @@ def top_level_dir(path: Column, root: str) -> Column:
     )
 
 
-def last_modified_utc(modified_ms: Column) -> Column:
+def last_modified_utc(modified_ms: str) -> Column:
     """Epoch milliseconds as ``yyyy-MM-ddTHH:mm:ssZ``, or ``unknown``.
 
     A zone-free timestamp is used, so the session time zone plays no part.
     """
-    seconds = F.floor(modified_ms / F.lit(1000)).cast("decimal(18,6)")
-    at = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
-    text = F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
-    return F.coalesce(text, F.lit("unknown"))
+    seconds = f"CAST(floor({modified_ms} / 1000) AS DECIMAL(18, 6))"
+    at = f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})"
+    return F.expr(f"coalesce(concat(replace(CAST({at} AS STRING), ' ', 'T'), 'Z'), 'unknown')")

@@ -12,7 +12,7 @@ from .skew import HOT_ROWS, join_counted
 
 
 def supported_files(files: DataFrame, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> DataFrame:
-    return files.filter(is_supported(F.col("path"), extensions))
+    return files.filter(is_supported("path", extensions))
 
 
 def size_histogram(files: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import human_size, top_level_dir
 from .skew import HOT_ROWS, join_counted
 
-GROUP_COLUMNS = ("sha256", "file_count", "size_bytes", "wasted_bytes", "original_path", "spanning")
-
 
 def duplicate_groups(fingerprints: DataFrame, root: str) -> DataFrame:
     """One row per digest that occurs at least twice; files without a digest are left out.
@@ -18,9 +16,10 @@ def duplicate_groups(fingerprints: DataFrame, root: str) -> DataFrame:
     third of all files share into one row per task before the shuffle. ``spanning`` compares the
     least and greatest top-level directory, which needs no distinct count.
     """
+    size = "coalesce(first.size_bytes, 0L)"
     return (
         fingerprints.filter(F.col("sha256").isNotNull())
-        .withColumn("_top", top_level_dir(F.col("path"), root))
+        .select("sha256", "path", "size_bytes", top_level_dir("path", root).alias("_top"))
         .groupBy("sha256")
         .agg(
             F.count("*").alias("file_count"),
@@ -28,10 +27,14 @@ def duplicate_groups(fingerprints: DataFrame, root: str) -> DataFrame:
             (F.min("_top") != F.max("_top")).alias("spanning"),
         )
         .filter("file_count >= 2")
-        .withColumn("size_bytes", F.coalesce("first.size_bytes", F.lit(0).cast("bigint")))
-        .withColumn("wasted_bytes", (F.col("file_count") - 1) * F.col("size_bytes"))
-        .withColumn("original_path", F.col("first.path"))
-        .select(*GROUP_COLUMNS)
+        .selectExpr(
+            "sha256",
+            "file_count",
+            f"{size} AS size_bytes",
+            f"(file_count - 1) * {size} AS wasted_bytes",
+            "first.path AS original_path",
+            "spanning",
+        )
     )
 
 
@@ -81,4 +84,4 @@ def scan_summary(groups: DataFrame) -> DataFrame:
         F.count("*").alias("duplicate_groups"),
         F.coalesce(F.sum(F.col("file_count") - 1), zero).alias("redundant_files"),
         F.coalesce(F.sum("wasted_bytes"), zero).alias("wasted_bytes"),
-    ).withColumn("wasted_human", human_size(F.col("wasted_bytes")))
+    ).withColumn("wasted_human", human_size("wasted_bytes"))

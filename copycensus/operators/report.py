@@ -19,7 +19,7 @@ def report_rows(members: DataFrame) -> DataFrame:
         "sha256",
         F.col("path").alias("file_path"),
         F.coalesce("stat_bytes", F.lit(0).cast("bigint")).alias("file_size_bytes"),
-        last_modified_utc(F.col("stat_ms")).alias("last_modified"),
+        last_modified_utc("stat_ms").alias("last_modified"),
         "is_original",
     )
 
@@ -48,7 +48,7 @@ def groups_from_report(report: DataFrame, root: str) -> DataFrame:
     """Rebuild the groups from report rows; the row marked original gives path and size."""
     original = F.col("is_original")
     return (
-        report.withColumn("_top", top_level_dir(F.col("file_path"), root))
+        report.withColumn("_top", top_level_dir("file_path", root))
         .groupBy("group_id")
         .agg(
             F.min("sha256").alias("sha256"),
@@ -57,11 +57,15 @@ def groups_from_report(report: DataFrame, root: str) -> DataFrame:
             F.min(F.struct("file_path", "file_size_bytes")).alias("first"),
             (F.min("_top") != F.max("_top")).alias("spanning"),
         )
-        .withColumn("kept", F.coalesce("kept", "first"))
-        .withColumn("size_bytes", F.col("kept.file_size_bytes"))
-        .withColumn("wasted_bytes", (F.col("file_count") - 1) * F.col("size_bytes"))
-        .withColumn("original_path", F.col("kept.file_path"))
-        .select("group_id", "sha256", "file_count", "size_bytes", "wasted_bytes", "original_path", "spanning")
+        .selectExpr(
+            "group_id",
+            "sha256",
+            "file_count",
+            "coalesce(kept, first).file_size_bytes AS size_bytes",
+            "(file_count - 1) * coalesce(kept, first).file_size_bytes AS wasted_bytes",
+            "coalesce(kept, first).file_path AS original_path",
+            "spanning",
+        )
     )
 
 

@@ -71,9 +71,12 @@ def _review_rows(members: DataFrame, group_columns: list[str], page_paths: int)
         members.filter(~F.col("is_original"))
         .groupBy(*group_columns, _page(page_paths).alias("page"))
         .agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("duplicates"))
-        .withColumn("sha256_short", short_hash(F.col("sha256")))
-        .withColumn("size_each", human_size(F.col("size_bytes")))
-        .withColumn("wasted_space", human_size(F.col("wasted_bytes")))
+        .select(
+            "*",
+            short_hash("sha256").alias("sha256_short"),
+            human_size("size_bytes").alias("size_each"),
+            human_size("wasted_bytes").alias("wasted_space"),
+        )
         .select(*REVIEW_COLUMNS)
     )
 

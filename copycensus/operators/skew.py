@@ -32,10 +32,7 @@ def join_counted(
     pieces = keyed.withColumn("_pieces", F.ceil(F.col(count) / piece_rows).cast("int"))
     hot = pieces.filter("_pieces > 1").select(key, "_pieces")
 
-    dealt = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_pieces")).cast("int"), F.lit(0)))
-        .drop("_pieces")
-    )
-    repeated = pieces.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    piece = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_pieces")).cast("int"), F.lit(0))
+    dealt = rows.join(F.broadcast(hot), key, "left").select(*rows.columns, piece.alias("_piece"))
+    repeated = pieces.select(*keyed.columns, F.expr("explode(sequence(0, _pieces - 1)) AS _piece"))
     return dealt.join(repeated, [key, "_piece"], how).drop("_piece")
