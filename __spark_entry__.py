@@ -314,11 +314,31 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_duplicate_report(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every registered query by name; each takes the session and the folder of the tables."""
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries of this module by name; each takes the session and the folder of the tables."""
     return {name[len(_PREFIX):]: f for name, f in globals().items() if name.startswith(_PREFIX)}
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; none where those folders are not installed."""
+    try:
+        import corpus_pipeline
+        from copycensus.llm import registry
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith(("copycensus.llm", "corpus_pipeline")):
+            raise
+        return {}, {}
+    sql = dict(registry.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return registry.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every registered query by name."""
+    return own_queries() | _training_data()[0]
+
+
 def oracle_sql() -> dict[str, str]:
-    """The same queries in DuckDB SQL."""
-    return dict(ORACLE_SQL)
+    """The same queries in DuckDB SQL, where SQL can express them."""
+    return ORACLE_SQL | _training_data()[1]

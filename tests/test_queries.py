@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
+QUERIES = entry.own_queries()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
@@ -44,7 +44,7 @@ FILE_QUERIES = {"inventory", "file_fingerprints"}
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(QUERIES) - FILE_QUERIES
+    assert set(entry.ORACLE_SQL) == set(QUERIES) - FILE_QUERIES
 
 
 def test_file_queries(spark):
