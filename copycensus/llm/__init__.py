@@ -1 +1,10 @@
-"""Operators that prepare training text for language models. Nothing else in the library imports this."""
+"""Operators that prepare training text for language models. Nothing else in the library imports this.
+
+Functions that run inside tasks travel to the executors by value, so nothing has to be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

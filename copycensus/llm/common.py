@@ -35,3 +35,11 @@ def likely_members(wide: DataFrame, key: Column, wanted: DataFrame, wanted_key:
     marked = marked.withColumn("_cell", F.floor(F.col("_slot") / BITS_IN_CELL))
     found = marked.join(F.broadcast(cells), "_cell").filter(F.getbit(byte, (place % 8).cast("int")) == 1)
     return found.select(*wide.columns)
+
+
+def worker_memory() -> dict:
+    """What this Python process keeps between tasks, such as a loaded tokenizer."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_copycensus_memory", types.ModuleType("_copycensus_memory")).__dict__
