@@ -16,24 +16,32 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def likely_members(wide: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 26) -> DataFrame:
+def likely_members(
+    wide: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 26, others: bool = False
+) -> DataFrame:
     """The rows of ``wide`` whose key may be among the wanted keys, without shuffling ``wide``.
 
     The wanted keys set bits of a map of ``2 ** bits`` bits, which is all that is broadcast (8 MB for
     26), whatever their number. Every row with a wanted key passes; some others do too, the more the
-    fuller the map, so callers must not rely on their absence. Null keys never pass.
+    fuller the map, so callers must not rely on their absence. ``others=True`` gives the rest of the rows
+    instead, those with a null key included.
     """
     slot = lambda of: F.pmod(F.xxhash64(of), F.lit(1 << bits))
     cells = (
-        wanted.select(slot(wanted_key).alias("_slot"))
+        wanted.filter(wanted_key.isNotNull())
+        .select(slot(wanted_key).alias("_slot"))
         .groupBy(F.floor(F.col("_slot") / BITS_IN_CELL).alias("_cell"))
-        .agg(F.bitmap_construct_agg((F.col("_slot") % BITS_IN_CELL)).alias("_map"))
+        .agg(F.bitmap_construct_agg(F.col("_slot") % BITS_IN_CELL).alias("_map"))
     )
     place = F.col("_slot") % BITS_IN_CELL
     byte = F.conv(F.hex(F.substr("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = wide.filter(key.isNotNull()).withColumn("_slot", slot(key))
-    marked = marked.withColumn("_cell", F.floor(F.col("_slot") / BITS_IN_CELL))
-    found = marked.join(F.broadcast(cells), "_cell").filter(F.getbit(byte, (place % 8).cast("int")) == 1)
+    marked = F.getbit(byte, (place % 8).cast("int")) == 1
+    found = wide.withColumn("_slot", F.when(key.isNotNull(), slot(key)))
+    found = found.withColumn("_cell", F.floor(F.col("_slot") / BITS_IN_CELL))
+    if others:
+        found = found.join(F.broadcast(cells), "_cell", "left").filter(~F.coalesce(marked, F.lit(False)))
+    else:
+        found = found.join(F.broadcast(cells), "_cell").filter(marked)
     return found.select(*wide.columns)
 
 
@@ -43,3 +51,15 @@ def worker_memory() -> dict:
     import types
 
     return sys.modules.setdefault("_copycensus_memory", types.ModuleType("_copycensus_memory")).__dict__
+
+
+def without_documents(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (a column doc_id); null ids stay.
+
+    Rows that cannot be among them pass by a bit map and are never shuffled; only the others, mostly
+    the rows to drop, go through an exact join.
+    """
+    key, names = F.col("doc_id"), docs.columns
+    safe = likely_members(docs, key, ids, key, bits, others=True)
+    unsure = likely_members(docs, key, ids, key, bits).join(ids.distinct(), "doc_id", "left_anti")
+    return safe.select(*names).unionByName(unsure.select(*names))

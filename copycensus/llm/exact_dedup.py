@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import likely_members, table, text_or_empty
+from copycensus.llm.common import likely_members, table, text_or_empty, without_documents
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -78,15 +78,14 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat doc_id and text, one."""
-    kept = workspace.snapshot(exact_duplicates(docs).filter("kept").select("doc_id"), "kept")
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    stay = docs.join(kept.distinct(), "doc_id", "left_semi")
+    found = workspace.snapshot(exact_duplicates(docs).select("doc_id", "kept"), "exact")
+    stay = without_documents(docs, found.filter("NOT kept").select("doc_id")).filter("doc_id IS NOT NULL")
+    again = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     if again.isEmpty():
-        return stay.select(*docs.columns)
+        return stay
     norm = F.regexp_replace(text_or_empty("text"), WHITE_SPACE, " ")
-    once = stay.join(again, "doc_id", "left_semi").withColumn("_norm", norm)
-    once = once.dropDuplicates(["doc_id", "_norm"])
-    return stay.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = stay.join(again, "doc_id", "left_semi").withColumn("_norm", norm).dropDuplicates(["doc_id", "_norm"])
+    return without_documents(stay, again).unionByName(once.select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@
 
 Defined results: a null text is empty; a text without words has an empty set and is linked with nothing.
 Rows that repeat a doc_id are one node of the graph and all get its component. A row without doc_id
-keeps its n_shingles and has no component, and is not kept. An empty table gives no rows. Further
+keeps its n_shingles, has no component and is not marked as kept; ``drop_near_duplicates`` leaves it in. An empty table gives no rows. Further
 columns of the input are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import likely_members, table, text_or_empty, worker_memory
+from copycensus.llm.common import likely_members, table, text_or_empty, without_documents, worker_memory
 from copycensus.llm.components import components
 from copycensus.llm.shingles import mix, shingle_sets
 
@@ -239,8 +239,8 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """One document of each group, the one with the least doc_id, with all its columns."""
-    kept = workspace.snapshot(near_duplicates(docs, percent).filter("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    dropped = near_duplicates(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return without_documents(docs, workspace.snapshot(dropped, "near"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
