@@ -1,25 +1,53 @@
-"""The training-data pipeline: each stage is one operator and works on what the one before it kept."""
+"""The training-data pipeline: each stage is one operator and works on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir). All but the last return the columns of the documents, less the rows
+that the operator rejects; the last returns the places of the pieces in packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from copycensus import workspace
-from copycensus.llm import exact_dedup
+from copycensus.llm import exact_dedup, near_dedup, packing, quality, toxicity
+from copycensus.llm.common import table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def civil_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("toxicity", civil_documents),
+    ("exact_dedup", distinct_documents),
+    ("minhash_near_dedup", dissimilar_documents),
+    ("best_fit_packing", packed_sequences),
+]
 
-# The classifiers are trained models, which SQL cannot express.
+# SQL can express neither the trained classifiers nor the tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; what each stage returns is stored and read again by the next one."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = workspace.snapshot(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
