@@ -1,8 +1,8 @@
 """The registered query of each operator, and its SQL where there is one."""
 
-from . import exact_dedup, html_text, near_dedup, packing, quality, toxicity
+from . import exact_dedup, html_text, near_dedup, packing, quality, token_counts, toxicity
 
-_MODULES = (packing, exact_dedup, near_dedup, html_text, quality, toxicity)
+_MODULES = (packing, exact_dedup, near_dedup, html_text, quality, toxicity, token_counts)
 
 QUERIES = {name: f for m in _MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE_SQL", {}).items()}

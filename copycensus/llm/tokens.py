@@ -11,7 +11,7 @@ BYTE_BPE = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 
 
-def _load(folder: str | None, name: str) -> Callable[[str], list[int]]:
+def _load(folder: str | None, name: str, special: bool) -> Callable[[str], list[int]]:
     import base64
     import os
 
@@ -23,6 +23,7 @@ def _load(folder: str | None, name: str) -> Callable[[str], list[int]]:
         return os.path.join(folder, file) if folder else public_tokenizers.path(file)
 
     exact = Tokenizer.from_file(path(f"{name}.json"))
+    exact.encode_special_tokens = not special
     with open(path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding(
@@ -30,7 +31,7 @@ def _load(folder: str | None, name: str) -> Callable[[str], list[int]]:
     )
 
     def encode(text: str) -> list[int]:
-        if SPECIAL not in text:
+        if not special or SPECIAL not in text:
             try:
                 return fast.encode_ordinary(text)
             except BaseException as e:  # a panic of the native code on odd input is no Exception
@@ -41,15 +42,16 @@ def _load(folder: str | None, name: str) -> Callable[[str], list[int]]:
     return encode
 
 
-def encoder(folder: str | None = None, name: str = BYTE_BPE) -> Callable[[str], list[int]]:
+def encoder(folder: str | None = None, name: str = BYTE_BPE, special: bool = True) -> Callable[[str], list[int]]:
     """The ids that ``Tokenizer.from_file(name + ".json")`` gives without special tokens.
 
     Both libraries hold the same vocabulary and split alike, and ``tiktoken`` takes a quarter of the
-    time. Texts with the special token's own string go through ``tokenizers``. ``folder`` holds the
-    vocabulary files; by default those of the installed ``public_tokenizers``.
+    time. Texts with the special token's own string go through ``tokenizers``; with ``special=False``
+    that string is text like any other. ``folder`` holds the vocabulary files; by default those of
+    the installed ``public_tokenizers``.
     """
     memory = worker_memory()
-    key = ("encoder", folder, name)
+    key = ("encoder", folder, name, special)
     if key not in memory:
-        memory[key] = _load(folder, name)
+        memory[key] = _load(folder, name, special)
     return memory[key]
