@@ -10,7 +10,8 @@
 4. In a band, each member is first compared with one leader, the member whose bands are shared most.
    That settles most of a large group with one comparison per member. What is not in the leader's
    component then is compared with all members of other components in the band. So no link that
-   could join two components is left out, while links inside one are not listed.
+   could join two components is left out, while links inside one are not listed. Here a bound spares most
+   comparisons of loose copies: shingles that no other member has cannot be shared.
 5. A comparison is an estimate first: equal registers, less those that are equal by chance, over those
    in use. What may reach the limit is confirmed on the full sets.
 6. Links are joined to components in rounds of stars (``components``).
@@ -147,8 +148,15 @@ def _may_reach(limit: float) -> Column:
     return (equal - chance) / used >= limit - 6 * F.sqrt(limit * (1 - limit) / used)
 
 
-def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the limit; stored."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, set: the full sets of the documents in ``ids``, and of few others; stored."""
+    texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text"))
+    wanted = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id"))
+    return workspace.snapshot(wanted.mapInArrow(_full_sets, "doc_id BIGINT, set ARRAY<BIGINT>"), "sets")
+
+
+def _likely(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the limit by their sizes and sketches; stored."""
     sides = known.select("doc_id", F.col("n_shingles").alias("n"), "registers")
     near_size = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
     likely = (
@@ -158,13 +166,11 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int) ->
         .filter(_may_reach(percent / 100))
         .select("a", "b")
     )
-    likely = workspace.snapshot(likely.distinct(), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text"))
-    full = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id")).mapInArrow(
-        _full_sets, "doc_id BIGINT, set ARRAY<BIGINT>"
-    )
-    full = workspace.snapshot(full, "sets")
+    return workspace.snapshot(likely.distinct(), "likely")
+
+
+def _confirmed(likely: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the limit; stored."""
     common = F.size(F.array_intersect("a_set", "b_set"))
     confirmed = (
         likely.join(full.toDF("a", "a_set"), "a")
@@ -174,11 +180,32 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int) ->
     return workspace.snapshot(confirmed.select("a", "b"), "confirmed")
 
 
+def _own_shingles(full: DataFrame) -> DataFrame:
+    """doc_id, own: how many shingles of a document are in no other set; 0 where a doc_id repeats."""
+    single = (
+        full.select("doc_id", F.explode("set").alias("s"))
+        .groupBy("s")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+        .filter("n = 1")
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("own"))
+    )
+    rows = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    own = F.when(F.col("rows") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
+    return rows.join(single, "doc_id", "left").select("doc_id", own.alias("own"))
+
+
 def _same_bits() -> Column:
     """One bit per register: of 256, at most so many differ at the limit (mean 19, six deviations)."""
     return sum(F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4)) <= 45
 
 
+def _can_share(percent: int) -> Column:
+    """What the two sets can share at most, all but the shingles of one alone, is enough."""
+    most = F.least(F.col("a.n_shingles") - F.col("a.own"), F.col("b.n_shingles") - F.col("b.own"))
+    return (100 + percent) * most >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     known = workspace.snapshot(sketches(docs), "sketches")
@@ -197,7 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     leaders = workspace.snapshot(leaders.select("band", F.col("best.doc_id").alias("leader")), "leaders")
     stars = live.join(leaders, "band").filter("leader <> doc_id")
     stars = stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = _links(docs, known, stars, percent)
+    likely = _likely(known, stars, percent)
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    found = _confirmed(likely, _sets(docs, ids), percent)
 
     # Then what the leaders' components leave, with the members of other components.
     roots = components(found).withColumnRenamed("node", "doc_id")
@@ -207,12 +236,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     of_leader = leaders.join(roots.toDF("leader", "root"), "leader", "left")
     of_leader = of_leader.select("band", F.coalesce("root", "leader").alias("led"))
-    bits = known.select("doc_id", "b0", "b1", "b2", "b3").dropDuplicates(["doc_id"])
-    members = (
-        labelled.join(mixed.select("band"), "band", "left_semi")
-        .join(of_leader, "band")
-        .join(bits, "doc_id")
-    )
+    inside = workspace.snapshot(labelled.join(mixed.select("band"), "band", "left_semi"), "mixed")
+    ids = inside.select("doc_id").distinct()
+    full = _sets(docs, ids)
+    bits = known.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "b0", "b1", "b2", "b3").distinct()
+    members = inside.join(of_leader, "band").join(bits.join(_own_shingles(full), "doc_id"), "doc_id")
     members = workspace.snapshot(members, "members")
     apart = members.filter("comp <> led")
     left = apart.alias("a").join(
@@ -220,10 +248,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.led")) | (F.col("a.doc_id") < F.col("b.doc_id")))
+        & _can_share(percent)
         & _same_bits(),
     )
     left = left.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    found = found.union(_links(docs, known, left, percent))
+    found = found.union(_confirmed(_likely(known, left, percent), full, percent))
 
     roots = components(found).toDF("rep", "root")
     of_class = classes.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
