@@ -136,8 +136,19 @@ def _discounts(level: DataFrame) -> DataFrame:
     )
 
 
-def train(counted: DataFrame) -> Model:
-    """A model per language from the counts (lang, key, c) of its n-grams."""
+def vocabulary(*counted: DataFrame) -> int:
+    """How many different tokens the counted n-grams end with."""
+    tokens = [c.select(F.col("key").bitwiseAND(F.lit(UNKNOWN)).alias("token")).distinct() for c in counted]
+    found = tokens[0]
+    for more in tokens[1:]:
+        found = found.union(more)
+    return found.distinct().count()
+
+
+def train(counted: DataFrame, tokens: int | None = None) -> Model:
+    """A model per language from the counts (lang, key, c) of its n-grams. Models that are to be
+    compared get the size of one vocabulary; without it each language has its own tokens and one for all
+    that it never saw."""
     levels = {ORDER: counted}
     for k in range(ORDER - 1, 0, -1):  # lower orders count in how many contexts an n-gram occurs
         shorter = levels[k + 1].groupBy("lang", suffix(F.col("key"), k + 1).alias("key"))
@@ -155,7 +166,7 @@ def train(counted: DataFrame) -> Model:
         stats = workspace.snapshot(stats, f"contexts-{k}")
         rows = cut_rows.join(stats, ["lang", "ctx"])
         if k == 1:
-            unseen = stats.selectExpr("lang", "g / (types + 1) AS p")
+            unseen = stats.selectExpr("lang", f"g / {tokens or '(types + 1)'} AS p")
             p.append(workspace.snapshot(unseen, "unseen"))
             rows = rows.join(F.broadcast(p[0]).withColumnRenamed("p", "lower"), "lang")
             found = rows.selectExpr("lang", "key", "(c - d) / total + lower AS p")
