@@ -1,0 +1,116 @@
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from copycensus.llm import near_dedup
+from copycensus.llm.components import components
+from copycensus.llm.shingles import shingle_sets
+
+from .helpers import Groups, documents, rows_of, words
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def expected(ids, texts, percent=85):
+    sets = [shingles(t) for t in texts]
+    groups = Groups()
+    for i in ids:
+        if i is not None:
+            groups.find(i)
+    for a, (i, x) in enumerate(zip(ids, sets, strict=True)):
+        for j, y in zip(ids[:a], sets[:a], strict=True):
+            if x and y and i is not None and j is not None and 100 * len(x & y) >= percent * len(x | y):
+                groups.join(i, j)
+    found = [(i, len(s), None if i is None else groups.find(i)) for i, s in zip(ids, sets, strict=True)]
+    return sorted(((i, n, c, i is not None and i == c) for i, n, c in found), key=repr)
+
+
+COLUMNS = ("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(6):
+        base = words(rng, rng.choice([9, 40, 150, 400]))
+        for _ in range(rng.choice([1, 4, 25])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                at = rng.randrange(len(copy))
+                change = rng.random()
+                if change < 0.6:
+                    copy[at] = f"e{rng.randrange(9)}"
+                elif change < 0.8:
+                    del copy[at]
+                else:
+                    copy.insert(at, f"e{rng.randrange(9)}")
+            texts.append(" ".join(copy))
+    texts += [" ".join(words(rng, 60)) for _ in range(20)]
+    texts += [None, "", " \t", "One", "one", "ONE two", "one two", "a b c d", "A B C D", "É b c d e", "é b c d e"]
+    texts += ["a b c d e f g"] * 5 + [" ".join(words(rng, 3000))] * 2
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed):
+    texts = near_copies(seed)
+    ids = [k * 3 for k in range(len(texts))]
+    random.Random(seed).shuffle(ids)
+    ids[4] = ids[9]
+    ids[7] = None
+    got = near_dedup.near_duplicates(documents(spark, texts, ids, clashing=True))
+    assert rows_of(got, *COLUMNS) == expected(ids, texts)
+
+
+def test_stage_and_empty_table(spark):
+    texts = [" ".join(words(random.Random(3), 80))] * 3 + ["other text", None, ""]
+    docs = documents(spark, texts, [4, 2, 8, 1, 6, None], clashing=True)
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, 6, None]
+    assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_sets_are_exact():
+    texts = [t or "" for t in near_copies(5)]
+    found = list(shingle_sets(pa.array(texts)))
+    assert [len(f) for f in found] == [len(shingles(t)) for t in texts]
+    for a in range(0, len(texts), 7):
+        for b in range(a):
+            x, y = shingles(texts[a]), shingles(texts[b])
+            assert len(np.intersect1d(found[a], found[b])) == len(x & y)
+
+
+def test_sketches_estimate_the_likeness():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        errors = []
+        for _ in range(40):
+            both = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+            cut = int(3000 * (1 - share) / 2)
+            x, y = np.unique(both[cut:]), np.unique(both[: 3000 - cut])
+            a, b = near_dedup.registers(x), near_dedup.registers(y)
+            used = ((a > 0) | (b > 0)).sum()
+            errors.append(((a == b) & (a > 0)).sum() / used - share)
+        assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)]
+    links += [(5, 5), (2000, 1000)]
+    groups = Groups()
+    for a, b in links:
+        groups.join(a, b)
+    got = components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()
+    assert {r.node: r.root for r in got} == {x: groups.find(x) for x in groups.parent if groups.find(x) != x}
+    assert components(spark.createDataFrame([], "a BIGINT, b BIGINT")).count() == 0
