@@ -220,7 +220,8 @@ def toxicity(docs: DataFrame, model: Severity, limit: float = 0.5) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are not rejected, with all their columns. Rows without doc_id stay."""
+    """The rows that are not rejected, with all their columns. Rows that share the doc_id of a rejected
+    one go with it; rows without doc_id stay."""
     found = toxicity(docs, train(docs, labels))
     return without_documents(docs, workspace.snapshot(found.filter("toxic").select("doc_id").distinct(), "toxic"))
 

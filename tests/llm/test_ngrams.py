@@ -1,0 +1,146 @@
+"""The language models, against the formulas written out, and the operators that use them."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from copycensus.llm import lm_score, ngrams, quality
+
+from .helpers import documents, rows_of
+
+ORDER = ngrams.ORDER
+
+
+def grams(text):
+    padded = "\0" * (ORDER - 1) + text
+    return [padded[k : k + ORDER] for k in range(len(text))]
+
+
+class BruteForce:
+    """Interpolated modified Kneser-Ney over characters."""
+
+    def __init__(self, texts, tokens=None):
+        levels = {ORDER: Counter(g for t in texts for g in grams(t))}
+        for k in range(ORDER - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        self.levels = levels
+        self.tokens = tokens or len(levels[1]) + 1
+        self.discounts = {k: self.discount(levels[k]) for k in levels}
+        self.contexts = {k: defaultdict(list) for k in levels}
+        for k, counts in levels.items():
+            for g, c in counts.items():
+                self.contexts[k][g[:-1]].append(c)
+
+    @staticmethod
+    def discount(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        raw = [k - (k + 1) * y * n[k + 1] / n[k] if y is not None and n[k] else fixed for k, fixed in ((1, 0.5), (2, 1.0), (3, 1.5))]
+        return [max(0.1, min(top, d)) for d, top in zip(raw, (0.95, 1.9, 2.9), strict=True)]
+
+    def p(self, gram):
+        k = len(gram)
+        lower = self.p(gram[1:]) if k > 1 else 1 / self.tokens
+        seen = self.contexts[k].get(gram[:-1])
+        if not seen:
+            return lower
+        d = self.discounts[k]
+        cut = [d[min(c, 3) - 1] for c in seen]
+        c = self.levels[k].get(gram, 0)
+        own = c - d[min(c, 3) - 1] if c else 0
+        return (own + sum(cut) * lower) / sum(seen)
+
+    def loss(self, text):
+        return sum(-math.log(self.p(g)) for g in grams(text)) / len(text)
+
+
+TRAIN = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "", "so it goes, so it goes", "ééé 🙂🙂"]
+OTHER = ["the cat", "a dog sat", "zzz unseen Q", "é🙂漢", "x", "on the mat the mat"]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_losses_equal_the_formulas(spark, broadcast):
+    texts = documents(spark, TRAIN, langs=[""] * len(TRAIN))
+    model = ngrams.train(ngrams.counts(texts))
+    model.broadcast = broadcast
+    want = BruteForce(TRAIN)
+    got = {r.doc_id: r for r in quality.losses(documents(spark, OTHER, langs=[""] * len(OTHER)), model).collect()}
+    for k, text in enumerate(OTHER):
+        assert got[k].tokens == len(text)
+        assert got[k].loss == pytest.approx(want.loss(text), rel=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    model = BruteForce(TRAIN)
+    for context in ("the", "\0\0\0", "t o", "zzz"):
+        seen = sum(model.p(context[-3:] + c) for c in model.levels[1])
+        unseen = model.p(context[-3:] + "Q")
+        assert seen + unseen == pytest.approx(1)
+
+
+def corpus(n, seed):
+    """Texts of two syllable sets, and junk."""
+    rng = random.Random(seed)
+    sets = {"en": ["the", "of", "er", "an", "ing", "ti"], "fr": ["le", "que", "eau", "oi", "ment", "ré"]}
+    rows = []
+    for _ in range(n):
+        lang = rng.choice(["en", "fr"])
+        size = rng.randint(40, 90)
+        made = ["".join(rng.choices(sets[lang], k=rng.randint(1, 3))) for _ in range(size)]
+        good = rng.random() < 0.8
+        text = " ".join(made) if good else " ".join(f"{w.upper()}$%{rng.randrange(99)}" for w in made)
+        rows.append((lang, text, int(good)))
+    return rows
+
+
+def test_quality_on_held_out_documents(spark):
+    rows = corpus(700, 1)
+    extra = [("en", None, 1), ("en", "", 1), ("xx", "any text in no known language", 1), (None, "so it is", 1)]
+    all_rows = rows + extra
+    ids = [*range(len(rows)), 9001, 9002, 9003, 9004]
+    docs = documents(spark, [t for _, t, _ in all_rows], ids, [l for l, _, _ in all_rows], clashing=True)
+    labels = spark.createDataFrame([(k, rows[k][2], 0) for k in range(500)], "doc_id BIGINT, quality INT, toxic INT")
+    found = quality.quality(docs, labels)
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(all_rows)
+    held_out = range(500, 700)
+    assert sum(got[k].accepted for k in held_out if rows[k][2]) >= 0.95 * sum(rows[k][2] for k in held_out)
+    assert not any(got[k].accepted for k in held_out if not rows[k][2])
+    assert not got[9001].accepted and not got[9002].accepted and got[9001].perplexity is None
+    assert got[9003].accepted and got[9003].perplexity is None and got[9004].accepted
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.accepted}
+
+
+def test_quality_without_labels_and_documents(spark):
+    none = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
+    docs = documents(spark, ["a text", "", "another"], [1, 2, None])
+    assert rows_of(quality.quality(docs, none), "doc_id", "accepted") == [(1, True), (2, False), (None, True)]
+    assert quality.quality(documents(spark, []), none).count() == 0
+
+
+def test_scores_against_the_formulas(spark):
+    texts = [*TRAIN, *OTHER, None]
+    docs = documents(spark, texts, [*range(len(texts) - 1), None], clashing=True)
+    target = spark.createDataFrame([(0,), (1,), (1,), (77,), (None,)], "doc_id BIGINT")
+    full = [t or "" for t in texts]
+    tokens = len({c for t in full for c in t}) + 1
+    near, far = BruteForce([full[0], full[1]], tokens), BruteForce(full, tokens)
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(full[:-1]):
+        assert got[k].tokens == len(text)
+        if text:
+            assert got[k].score == pytest.approx(near.loss(text) - far.loss(text), rel=1e-9, abs=1e-12)
+        else:
+            assert got[k].score is None
+    assert got[None].score is None and got[None].tokens == 0
+
+
+def test_scores_without_target_and_documents(spark):
+    none = spark.createDataFrame([], "doc_id BIGINT")
+    assert rows_of(lm_score.cross_entropy_difference(documents(spark, ["a b"]), none), "doc_id", "score") == [(0, None)]
+    assert lm_score.cross_entropy_difference(documents(spark, []), none).count() == 0
