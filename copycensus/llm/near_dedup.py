@@ -11,7 +11,7 @@
    That settles most of a large group with one comparison per member. What is not in the leader's
    component then is compared with all members of other components in the band. So no link that
    could join two components is left out, while links inside one are not listed. Here a bound spares most
-   comparisons of loose copies: shingles that no other member has cannot be shared.
+   comparisons of loose copies: pairs at the limit share one of their rarest shingles.
 5. A comparison is an estimate first: equal registers, less those that are equal by chance, over those
    in use. What may reach the limit is confirmed on the full sets.
 6. Links are joined to components in rounds of stars (``components``).
@@ -180,19 +180,24 @@ def _confirmed(likely: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return workspace.snapshot(confirmed.select("a", "b"), "confirmed")
 
 
-def _own_shingles(full: DataFrame) -> DataFrame:
-    """doc_id, own: how many shingles of a document are in no other set; 0 where a doc_id repeats."""
-    single = (
-        full.select("doc_id", F.explode("set").alias("s"))
-        .groupBy("s")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
-        .filter("n = 1")
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("own"))
+def _rare_shingles(full: DataFrame, percent: int) -> DataFrame:
+    """doc_id, rare: the shingles of a document that fewest sets hold, as many as any comparison needs.
+
+    Null where a doc_id repeats, for then its rows' sets cannot be told apart.
+    """
+    spread = full.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("s"))
+    held = spread.groupBy("s").agg(F.count(F.lit(1)).alias("sets"))
+    needed = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    ordered = F.sort_array(F.collect_list(F.struct("sets", "s")))
+    rare = (
+        spread.join(held, "s")
+        .groupBy("doc_id", "n")
+        .agg(ordered.alias("ordered"))
+        .select("doc_id", F.slice("ordered", F.lit(1), needed.cast("int"))["s"].alias("rare"))
     )
     rows = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    own = F.when(F.col("rows") == 1, F.coalesce("own", F.lit(0))).otherwise(0)
-    return rows.join(single, "doc_id", "left").select("doc_id", own.alias("own"))
+    once = rows.filter("rows = 1").select("doc_id")
+    return rows.select("doc_id").join(rare.join(once, "doc_id", "left_semi"), "doc_id", "left")
 
 
 def _same_bits() -> Column:
@@ -201,9 +206,17 @@ def _same_bits() -> Column:
 
 
 def _can_share(percent: int) -> Column:
-    """What the two sets can share at most, all but the shingles of one alone, is enough."""
-    most = F.least(F.col("a.n_shingles") - F.col("a.own"), F.col("b.n_shingles") - F.col("b.own"))
-    return (100 + percent) * most >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles"))
+    """Two sets that share enough have one in common even among their rarest shingles: all but as many,
+    less one, as they must share. So a copy whose own changes are too many meets no other."""
+    sizes = F.col("a.n_shingles") + F.col("b.n_shingles")
+    shared = F.ceil(percent * sizes / (100 + percent))
+
+    def first(side: str) -> Column:
+        needed = F.greatest(F.col(f"{side}.n_shingles") - shared + 1, F.lit(0))
+        return F.slice(f"{side}.rare", F.lit(1), needed.cast("int"))
+
+    unknown = F.col("a.rare").isNull() | F.col("b.rare").isNull()
+    return unknown | F.arrays_overlap(first("a"), first("b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -240,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     ids = inside.select("doc_id").distinct()
     full = _sets(docs, ids)
     bits = known.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "b0", "b1", "b2", "b3").distinct()
-    members = inside.join(of_leader, "band").join(bits.join(_own_shingles(full), "doc_id"), "doc_id")
+    members = inside.join(of_leader, "band").join(bits.join(_rare_shingles(full, percent), "doc_id"), "doc_id")
     members = workspace.snapshot(members, "members")
     apart = members.filter("comp <> led")
     left = apart.alias("a").join(
@@ -248,8 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.led")) | (F.col("a.doc_id") < F.col("b.doc_id")))
-        & _can_share(percent)
-        & _same_bits(),
+        & _same_bits()
+        & _can_share(percent),
     )
     left = left.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     found = found.union(_confirmed(_likely(known, left, percent), full, percent))
