@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import table, text_or_empty
+from copycensus.llm.common import table, text_or_empty, worker_memory
 from copycensus.llm.shingles import mix
 
 LEVELS = 3
@@ -54,47 +54,85 @@ def _starts(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
+def _toss() -> np.ndarray:
+    """The label of a position for each pair of labels below 128, of its left neighbour and its own."""
+    memory = worker_memory()
+    if "toss" not in memory:
+        left, own = np.divmod(np.arange(1 << 14), 128)
+        differ = left ^ own
+        place = np.log2(np.maximum(differ & -differ, 1)).astype(np.int64)
+        memory["toss"] = (2 * place + ((own >> place) & 1)).astype(np.uint8)
+    return memory["toss"]
+
+
 def next_level(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The phrase names of texts that lie one after the other, and how many each has."""
     n = len(names)
+    some = counts > 0
     head = np.zeros(n, bool)
-    head[_starts(counts)[counts > 0]] = True
-    text = np.repeat(np.arange(len(counts)), counts)
-
-    begin = np.flatnonzero(head | np.concatenate(([True], names[1:] != names[:-1])))
-    run = np.diff(begin, append=n).astype(np.uint64)
-    names, head, text = names[begin], head[begin], text[begin]
-    names = np.where(run > 1, mix(names * np.uint64(0x9E3779B97F4A7C15) + run), names)
-
-    label = names
-    for _ in range(4):
-        left = np.concatenate((label[:1], label[:-1]))
-        # A text's first position has no left neighbour; one that differs in bit 0 stands for it.
-        differ = np.where(head, np.uint64(1), label ^ left)
-        lowest = differ & (~differ + np.uint64(1))
-        place = np.frexp(lowest.astype(np.float64))[1].astype(np.uint64) - np.uint64(1)
-        label = place * np.uint64(2) + ((label >> place) & np.uint64(1))
-    small = label.astype(np.int8)
-    last = np.concatenate((head[1:], [True]))
-    before = np.where(head, np.int8(-1), np.concatenate((small[:1], small[:-1])))
-    after = np.where(last, np.int8(-1), np.concatenate((small[1:], small[-1:])))
-    cut = np.flatnonzero(head | ((small > before) & (small > after)))
-
-    length = np.diff(cut, append=len(names))
-    place = np.arange(len(names)) - np.repeat(cut, length)
-    terms = mix(names + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
+    head[_starts(counts)[some]] = True
+
+    new = head.copy()
+    new[1:] |= names[1:] != names[:-1]
+    begin = np.flatnonzero(new)
+    if len(begin) < n:
+        run = np.diff(begin, append=n).astype(np.uint64)
+        names, head = names[begin], head[begin]
+        names = np.where(run > 1, mix(names * np.uint64(0x9E3779B97F4A7C15) + run), names)
+        n = len(names)
+    heads = np.flatnonzero(head)
+
+    # Round one on the names. A text's first position has no left neighbour; one that differs in bit
+    # 0 stands for it.
+    differ = names.copy()
+    differ[1:] ^= names[:-1]
+    differ[heads] = 1
+    lowest = differ & (~differ + np.uint64(1))
+    place = ((lowest.astype(np.float64).view(np.int64) >> 52) - 1023).astype(np.uint8)
+    label = (place << 1) | ((names & lowest) != 0)
+    for _ in range(3):
+        pair = label.astype(np.uint16)
+        pair[1:] |= label[:-1].astype(np.uint16) << 7
+        pair[heads] = label[heads] | ((label[heads] ^ 1).astype(np.uint16) << 7)
+        label = _toss()[pair]
+
+    cut_here = head.copy()
+    rises, falls = np.ones(n, bool), np.ones(n, bool)
+    rises[1:] = label[1:] > label[:-1]
+    falls[:-1] = label[:-1] > label[1:]
+    falls[heads[1:] - 1] = True
+    cut_here |= rises & falls
+    cut = np.flatnonzero(cut_here)
+
+    length = np.diff(cut, append=n)
+    place = np.arange(1, n + 1, dtype=np.uint64) - np.repeat(cut.astype(np.uint64), length)
+    terms = mix(names + place * np.uint64(0xD1B54A32D192ED03))
     phrases = mix(np.add.reduceat(terms, cut) + length.astype(np.uint64))
-    return phrases, np.bincount(text[cut], minlength=len(counts))
+    found = np.zeros(len(counts), np.int64)
+    found[some] = np.diff(np.searchsorted(cut, heads), append=len(cut))
+    return phrases, found
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    return values if len(values) < 2 else values[np.concatenate(([True], values[1:] != values[:-1]))]
 
 
 def _least(names: np.ndarray, kept: int) -> np.ndarray:
     """The least of 32-bit names for each occurrence of each phrase: its first, its second, and so on."""
-    if len(names):
-        names = np.sort(names)
-        new = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-        again = np.arange(len(names)) - np.repeat(new, np.diff(new, append=len(names)))
-        names = mix(names + again.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-    return np.unique((names >> np.uint64(32)).astype(np.uint32))[:kept]
+    names = np.sort(names)
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    if not new.all():
+        first = np.flatnonzero(new)
+        again = np.arange(len(names)) - np.repeat(first, np.diff(first, append=len(names)))
+        names = names + again.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+    short = (mix(names) >> np.uint64(32)).astype(np.uint32)
+    if len(short) > 2 * kept:
+        found = _distinct(np.partition(short, 2 * kept)[: 2 * kept])
+        if len(found) >= kept:
+            return found[:kept]
+    return _distinct(short)[:kept]
 
 
 @dataclass
