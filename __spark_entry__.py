@@ -200,6 +200,19 @@ def q_duplicate_report(spark, sf_dir):
     return scan_table(files(spark, sf_dir), ROOT).report()
 
 
+def q_duplicate_report_split(spark, sf_dir):
+    """The report with every group of more than two files cut into pieces."""
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.duplicate_report(scan.fingerprints, scan.groups, hot_rows=2)
+
+
+def q_invalid_report_groups(spark, sf_dir):
+    """Groups of a report in which every fifth file is marked as an original, too."""
+    report = scan_table(files(spark, sf_dir), ROOT).report()
+    doc = F.regexp_extract("file_path", "doc_([0-9]+)", 1).cast("bigint")
+    return op.invalid_report_groups(report.withColumn("is_original", F.col("is_original") | (doc % 5 == 0)))
+
+
 def q_report_with_stats(spark, sf_dir):
     scan = scan_table(files(spark, sf_dir), ROOT)
     doc = F.regexp_extract("path", "doc_([0-9]+)", 1).cast("bigint")
@@ -260,6 +273,26 @@ def q_hash_cache_upsert(spark, sf_dir):
     return cache.load()
 
 
+def q_cache_compacted(spark, sf_dir):
+    known = fingerprints(spark, sf_dir)
+    cache = stored_cache(spark, known)
+    cache.keep_segments = 1
+    fresh = incremental(known, cache.load()).filter("NOT cache_hit").select("path", "modified_ms", "sha256")
+    cache.append(fresh)
+    cache.compact()
+    return cache.load()
+
+
+def q_hash_stats_with_errors(spark, sf_dir):
+    """Every fourth file that the cache lacks cannot be read."""
+    known = fingerprints(spark, sf_dir)
+    found = incremental(known, stored_cache(spark, known).load())
+    doc = F.regexp_extract("path", "doc_([0-9]+)", 1).cast("bigint")
+    broken = ~F.col("cache_hit") & (doc % 4 == 1)
+    found = found.withColumn("error", F.when(broken, F.lit("gone")))
+    return op.hash_stats(found.withColumn("sha256", F.when(~broken, F.col("sha256"))))
+
+
 def q_hash_stats(spark, sf_dir):
     known = fingerprints(spark, sf_dir)
     found = incremental(known, stored_cache(spark, known).load())
@@ -284,6 +317,31 @@ def q_suspicious(spark, sf_dir):
     return op.suspicious(scan.groups, scan.fingerprints)
 
 
+def q_review_paths(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.review_paths(scan.groups, scan.fingerprints)
+
+
+def q_review_paths_paged(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.review_paths(scan.groups, scan.fingerprints, page_paths=2, hot_rows=3)
+
+
+def q_high_priority_top(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.high_priority(scan.groups, scan.fingerprints, rows=10)
+
+
+def q_high_priority_decided(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.high_priority(scan.groups, scan.fingerprints, decisions(scan.groups))
+
+
+def q_suspicious_top(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.suspicious(scan.groups, scan.fingerprints, rows=10)
+
+
 def q_invalid_decisions(spark, sf_dir):
     return op.invalid_decisions(decisions(unnumbered(spark, sf_dir))).select("sha256", "decision")
 

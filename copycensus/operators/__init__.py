@@ -10,8 +10,11 @@ from .report import (
 )
 from .review import (
     archive_action_list,
+    conflicting_decisions,
     high_priority,
     invalid_decisions,
+    one_decision_each,
+    review_paths,
     review_progress,
     review_queue,
     review_summary,
@@ -25,6 +28,7 @@ __all__ = [
     "attach_groups",
     "cache_lookup",
     "cache_misses",
+    "conflicting_decisions",
     "candidate_stats",
     "duplicate_groups",
     "duplicate_report",
@@ -35,8 +39,10 @@ __all__ = [
     "invalid_report_groups",
     "latest_entries",
     "number_groups",
+    "one_decision_each",
     "report_members",
     "report_with_stats",
+    "review_paths",
     "review_progress",
     "review_queue",
     "review_summary",

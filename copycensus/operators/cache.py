@@ -61,6 +61,8 @@ class HashCache:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.keep_segments = keep_segments
+        # What broken runs left behind; a segment that begins later may be one that another run is writing.
+        self.abandoned = set(self._numbers()) - set(self.segments())
 
     def _numbers(self) -> list[int]:
         names = workspace.child_names(self.spark, self.folder)
@@ -89,18 +91,25 @@ class HashCache:
         return self.load().agg(F.count("*").alias("entries"))
 
     def append(self, hashed: DataFrame) -> int:
-        """Commit a segment and return its number. Paths must be unique; rows without digest are not entries."""
+        """Commit a segment and return its number. Paths must be unique; rows without digest are not entries.
+
+        The narrow rows are put together before they are written: hashing may have a task for each
+        large file, and a segment should not have a Parquet file for each.
+        """
         number = max(self._numbers(), default=0) + 1
-        hashed.withColumn("run_id", F.lit(number).cast("bigint")).write.parquet(self._path(number))
+        rows = hashed.withColumn("run_id", F.lit(number).cast("bigint"))
+        rows.hint("rebalance").write.parquet(self._path(number))
         return number
 
     def compact(self) -> None:
-        """Fold the segments into one if there are more than ``keep_segments``."""
+        """Fold the segments into one if there are more than ``keep_segments``.
+
+        Only the folded segments go, and those that were already unfinished when this cache was opened.
+        """
         old = self.segments()
         if len(old) <= self.keep_segments:
             return
-        everything = self._numbers()
-        number = max(everything) + 1
+        number = max(self._numbers()) + 1
         latest_entries(self.read_segments(old)).write.parquet(self._path(number))
-        for n in everything:
+        for n in sorted(self.abandoned - set(old)) + old:
             workspace.delete(self.spark, self._path(n))

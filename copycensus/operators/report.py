@@ -9,6 +9,7 @@ from ..functions.scalars import last_modified_utc, top_level_dir
 from .groups import attach_groups
 from .skew import HOT_ROWS
 
+# The columns of the report, in order.
 REPORT_COLUMNS = ("group_id", "sha256", "file_path", "file_size_bytes", "last_modified", "is_original")
 
 

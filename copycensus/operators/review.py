@@ -17,11 +17,25 @@ KEEP = "Keep all"
 ESCALATE = "Escalate"
 DECISIONS = (PENDING, ARCHIVE, KEEP, ESCALATE)
 
+# Labels of the summary, by row number.
+SUMMARY_LABELS = {
+    1: "Scan root",
+    2: "Scan date",
+    3: "Duplicate groups",
+    4: "Redundant files",
+    5: "Total wasted space",
+    6: "Groups reviewed",
+    7: "Marked for archive",
+    8: "Marked keep all",
+    9: "Escalated",
+    10: "Pending",
+}
+
 # Lengths of the two short lists.
 HIGH_PRIORITY_ROWS = 500
 SUSPICIOUS_ROWS = 2000
 
-# Paths listed in one cell. A larger group gets further rows, so no cell grows with the data.
+# Paths listed in one cell. The review tables show the first page of a group; ``review_paths`` has all.
 PAGE_PATHS = 10_000
 
 # A short list up to this length is broadcast.
@@ -34,16 +48,39 @@ REVIEW_COLUMNS = (
 )
 
 
+def one_decision_each(decisions: DataFrame) -> DataFrame:
+    """One row per digest: sha256, decision, reviewer, notes.
+
+    Of several rows the one with the latest ``updated_at`` counts, if there is such a column; then an
+    answer before a pending or blank one, and of answers the greatest in byte order.
+    """
+    answered = F.coalesce(~F.col("decision").isin(PENDING, ""), F.lit(False))
+    order = [answered.alias("answered"), "decision", "reviewer", "notes"]
+    if "updated_at" in decisions.columns:
+        order.insert(0, "updated_at")
+    best = decisions.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.max(F.struct(*order)).alias("best"))
+    return best.select("sha256", "best.decision", "best.reviewer", "best.notes")
+
+
+def conflicting_decisions(decisions: DataFrame) -> DataFrame:
+    """Digests with more than one answer: sha256, answers."""
+    answered = decisions.filter(~F.col("decision").isin(PENDING, "") & F.col("sha256").isNotNull())
+    spread = answered.groupBy("sha256").agg(
+        F.min("decision").alias("least"), F.max("decision").alias("greatest")
+    )
+    return spread.filter("least <> greatest").select("sha256", F.array("least", "greatest").alias("answers"))
+
+
 def with_decisions(groups: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """Add decision, reviewer and notes to ``groups``.
+    """Add decision, reviewer and notes to ``groups``; the number of rows stays.
 
-    ``decisions`` (sha256, decision, reviewer, notes; one row per digest) holds earlier answers. It
-    joins on the digest because group numbers change between scans.
+    ``decisions`` (sha256, decision, reviewer, notes) holds earlier answers. It joins on the digest
+    because group numbers change between scans, after ``one_decision_each``.
     """
     if decisions is None:
         decision = reviewer = notes = F.lit(None).cast("string")
     else:
-        groups = groups.join(decisions.select("sha256", "decision", "reviewer", "notes"), "sha256", "left")
+        groups = groups.join(one_decision_each(decisions), "sha256", "left")
         decision, reviewer, notes = F.col("decision"), F.col("reviewer"), F.col("notes")
     return groups.select(
         "group_id", "sha256", "file_count", "size_bytes", "wasted_bytes", "original_path",
@@ -64,13 +101,19 @@ def _page(page_paths: int) -> Column:
     return F.when(pages <= 1, F.lit(1).cast("bigint")).otherwise(dealt)
 
 
-def _review_rows(members: DataFrame, group_columns: list[str], page_paths: int) -> DataFrame:
-    # The group's columns ride along as grouping keys: joining them back to the pages would put
-    # all pages of a hot group into one task.
+def _path_lists(members: DataFrame, page_paths: int) -> DataFrame:
+    """sha256, page, duplicates of attached members. Only digest, page and path are shuffled."""
+    listed = members.filter(~F.col("is_original")).select("sha256", _page(page_paths).alias("page"), "path")
+    return listed.groupBy("sha256", "page").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("duplicates"))
+
+
+def _review_rows(decided: DataFrame, members: DataFrame, page_paths: int) -> DataFrame:
+    """One row per group of ``decided`` with its first page of paths."""
+    first = _path_lists(members.filter(_page(page_paths) == 1), page_paths)
     return (
-        members.filter(~F.col("is_original"))
-        .groupBy(*group_columns, _page(page_paths).alias("page"))
-        .agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("duplicates"))
+        decided.join(first, "sha256", "left")
+        .withColumn("page", F.lit(1).cast("bigint"))
+        .withColumn("duplicates", F.coalesce("duplicates", F.lit("")))
         .select(
             "*",
             short_hash("sha256").alias("sha256_short"),
@@ -81,6 +124,14 @@ def _review_rows(members: DataFrame, group_columns: list[str], page_paths: int)
     )
 
 
+def review_paths(
+    groups: DataFrame, members: DataFrame, page_paths: int = PAGE_PATHS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All duplicates of all groups: sha256, page, duplicates, at most about ``page_paths`` to a page."""
+    counted = groups.select("sha256", "file_count", "original_path")
+    return _path_lists(attach_groups(members.select("sha256", "path"), counted, hot_rows), page_paths)
+
+
 def review_queue(
     groups: DataFrame,
     members: DataFrame,
@@ -88,25 +139,25 @@ def review_queue(
     page_paths: int = PAGE_PATHS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """One row per group (per page of a very large group) with all its duplicates and a decision.
+    """One row per group with its duplicates and a decision.
 
-    ``members`` needs ``sha256`` and ``path``; paths outside the groups are ignored.
+    ``members`` needs ``sha256`` and ``path``; paths outside the groups are ignored. A group with more than
+    ``page_paths`` duplicates shows one page of them; ``review_paths`` has the others.
     """
-    decided = with_decisions(groups, decisions)
-    if decisions is not None:
-        decided = workspace.snapshot(decided, "decided")
-    attached = attach_groups(members.select("sha256", "path"), decided, hot_rows)
-    return _review_rows(attached, decided.columns, page_paths)
+    counted = groups.select("sha256", "file_count", "original_path")
+    attached = attach_groups(members.select("sha256", "path"), counted, hot_rows)
+    return _review_rows(with_decisions(groups, decisions), attached, page_paths)
 
 
 def _short_list(top: DataFrame, rows: int, members: DataFrame, page_paths: int, hot_rows: int) -> DataFrame:
+    counted = top.select("sha256", "file_count", "original_path")
     members = members.select("sha256", "path")
     if rows <= BROADCAST_ROWS:
-        attached = members.join(F.broadcast(top), "sha256")
+        attached = members.join(F.broadcast(counted), "sha256")
         attached = attached.withColumn("is_original", F.col("path") == F.col("original_path"))
     else:
-        attached = attach_groups(members, workspace.snapshot(top, "top"), hot_rows)
-    return _review_rows(attached, top.columns, page_paths)
+        attached = attach_groups(members, workspace.snapshot(counted, "top"), hot_rows)
+    return _review_rows(top, attached, page_paths)
 
 
 def high_priority(
@@ -120,7 +171,7 @@ def high_priority(
     """The groups that waste most, greatest first; ties stay in group order."""
     order = [F.desc("wasted_bytes"), F.asc("group_id")]
     top = with_decisions(groups.orderBy(*order).limit(rows), decisions)
-    return _short_list(top, rows, members, page_paths, hot_rows).orderBy(*order, "page")
+    return _short_list(top, rows, members, page_paths, hot_rows).orderBy(*order)
 
 
 def suspicious(
@@ -133,7 +184,7 @@ def suspicious(
 ) -> DataFrame:
     """The first groups, in group order, whose copies span top-level directories."""
     top = with_decisions(spanning_groups(groups).orderBy("group_id").limit(rows), decisions)
-    return _short_list(top, rows, members, page_paths, hot_rows).orderBy("group_id", "page")
+    return _short_list(top, rows, members, page_paths, hot_rows).orderBy("group_id")
 
 
 def invalid_decisions(decisions: DataFrame) -> DataFrame:
@@ -163,21 +214,23 @@ def archive_action_list(
 
     Groups are picked by decision first, one row each, and only then meet their members.
     """
-    marked = decisions.filter(F.col("decision") == ARCHIVE).select("sha256")
+    marked = one_decision_each(decisions).filter(F.col("decision") == ARCHIVE).select("sha256")
     picked = workspace.snapshot(groups.join(marked, "sha256", "left_semi"), "picked")
     copies = attach_groups(members.select("sha256", "path"), picked, hot_rows).filter(~F.col("is_original"))
     return copies.select("group_id", "sha256", F.col("path").alias("file_path"), "size_bytes")
 
 
-def _labelled(row: DataFrame, cells: list[tuple[int, str, Column]]) -> DataFrame:
+def _labelled(row: DataFrame, cells: dict[int, Column]) -> DataFrame:
     return row.select(
         F.inline(
             F.array(
                 *(
                     F.struct(
-                        F.lit(number).alias("row_no"), F.lit(label).alias("label"), value.cast("string").alias("value")
+                        F.lit(number).alias("row_no"),
+                        F.lit(SUMMARY_LABELS[number]).alias("label"),
+                        value.cast("string").alias("value"),
                     )
-                    for number, label, value in cells
+                    for number, value in cells.items()
                 )
             )
         )
@@ -186,26 +239,10 @@ def _labelled(row: DataFrame, cells: list[tuple[int, str, Column]]) -> DataFrame
 
 def review_summary(groups: DataFrame, decisions: DataFrame, root: str, scan_date: str | None = None) -> DataFrame:
     """Scan totals and review progress as numbered ``label``, ``value`` rows."""
-    head = [(1, "Scan root", F.lit(root))]
+    head = {1: F.lit(root)}
     if scan_date is not None:
-        head.append((2, "Scan date", F.lit(scan_date)))
-    totals = _labelled(
-        scan_summary(groups),
-        head
-        + [
-            (3, "Duplicate groups", F.col("duplicate_groups")),
-            (4, "Redundant files", F.col("redundant_files")),
-            (5, "Total wasted space", F.col("wasted_human")),
-        ],
-    )
-    progress = _labelled(
-        review_progress(decisions),
-        [
-            (6, "Groups reviewed", F.col("reviewed")),
-            (7, "Marked for archive", F.col("archive")),
-            (8, "Marked keep all", F.col("keep")),
-            (9, "Escalated", F.col("escalated")),
-            (10, "Pending", F.col("pending")),
-        ],
-    )
-    return totals.union(progress)
+        head[2] = F.lit(scan_date)
+    found = {3: F.col("duplicate_groups"), 4: F.col("redundant_files"), 5: F.col("wasted_human")}
+    progress = ("reviewed", "archive", "keep", "escalated", "pending")
+    totals = _labelled(scan_summary(groups), head | found)
+    return totals.union(_labelled(review_progress(decisions), {6 + k: F.col(c) for k, c in enumerate(progress)}))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -23,8 +23,9 @@ from ..operators import candidates as c
 from ..operators import groups as g
 from ..operators import review as r
 from ..operators.cache import HashCache, cache_lookup, hash_stats
-from ..operators.report import groups_from_report, report_members, report_rows
+from ..operators.report import groups_from_report, invalid_report_groups, report_members, report_rows
 from ..sources import tree
+from ..sources.file_system import root_text
 from ..sources.report_csv import read_report, write_report
 
 # Bytes hashed between two commits to the cache, which is what a broken run can lose: some minutes
@@ -32,7 +33,7 @@ from ..sources.report_csv import read_report, write_report
 COMMIT_BYTES_PER_CORE = 64 << 30
 LEAST_COMMIT_BYTES = 1 << 40
 
-REVIEW_TABLES = ("totals", "summary", "review", "high_priority", "suspicious")
+REVIEW_TABLES = ("totals", "summary", "review", "review_paths", "high_priority", "suspicious")
 
 CANDIDATE_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, is_symlink BOOLEAN"
 WALK_STATS_SCHEMA = "files_found BIGINT, candidates BIGINT, skipped_unique_size BIGINT, unreadable BIGINT"
@@ -115,18 +116,44 @@ def scan_tree(
     extensions: Sequence[str] = DEFAULT_EXTENSIONS,
     decisions: DataFrame | None = None,
     commit_bytes: int | None = None,
+    high_priority_rows: int = r.HIGH_PRIORITY_ROWS,
+    suspicious_rows: int = r.SUSPICIOUS_ROWS,
 ) -> TreeScan:
     """Find duplicate files below ``root`` and write report and review tables below ``out``.
 
-    The scanned files are only read. Every run writes a report, with just a header if there are
-    no duplicates. ``decisions`` (sha256, decision, reviewer, notes) carries earlier answers over.
+    The scanned files are only read. ``root`` is a folder on a mount or a URI. Every run writes a
+    report, with just a header if there are no duplicates. ``decisions`` (sha256, decision, reviewer,
+    notes) carries earlier answers over; it may be the review table of an earlier scan.
     """
-    root, out = os.path.abspath(root), out.rstrip("/")
+    root, out = root_text(root), out.rstrip("/")
+    with workspace.scratch_scope(spark, "scan"):
+        _scan(spark, root, out, extensions, commit_bytes)
+        tables = review_from_report(spark, root, out, decisions, high_priority_rows, suspicious_rows)
+    read = spark.read.parquet
+    return TreeScan(
+        read_report(spark, f"{out}/report"),
+        tables["totals"],
+        tables["summary"],
+        read(f"{out}/stats/walk"),
+        read(f"{out}/stats/hash"),
+    )
+
+
+def _publish(table: DataFrame, path: str) -> None:
+    """Store a table beside ``path`` and put it in place once it is complete."""
+    new = f"{path}.new-{uuid.uuid4().hex}"
+    table.write.parquet(new)
+    workspace.replace(table.sparkSession, new, path)
+
+
+def _scan(spark: SparkSession, root: str, out: str, extensions: Sequence[str], commit_bytes: int | None) -> None:
+    """Everything up to the report."""
     candidates, walk_stats = find_candidates(spark, root, out, extensions)
     walk_stats = workspace.snapshot(walk_stats, "walk-stats")
     cache = HashCache(spark, f"{out}/hash_cache")
     fingerprints = fingerprint_candidates(candidates, cache, commit_bytes)
-    counters = workspace.snapshot(hash_stats(fingerprints), "hash-stats")
+    _publish(hash_stats(fingerprints), f"{out}/stats/hash")
+    _publish(walk_stats, f"{out}/stats/walk")
 
     found = workspace.snapshot(g.duplicate_groups(fingerprints, root), "groups")
     found = workspace.snapshot(g.number_groups(found), "numbered")
@@ -143,30 +170,46 @@ def scan_tree(
         workspace.delete(spark, kept)
         workspace.delete(spark, kept + "-stats")
     cache.compact()
-    tables = review_from_report(spark, root, out, decisions)
-    return TreeScan(
-        read_report(spark, f"{out}/report"), tables["totals"], tables["summary"], walk_stats, counters
-    )
 
 
 def review_from_report(
-    spark: SparkSession, root: str, out: str, decisions: DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    out: str,
+    decisions: DataFrame | None = None,
+    high_priority_rows: int = r.HIGH_PRIORITY_ROWS,
+    suspicious_rows: int = r.SUSPICIOUS_ROWS,
 ) -> dict[str, DataFrame]:
-    """Build the review tables from the CSV report below ``out``; its rows are the raw data table."""
-    root, out = os.path.abspath(root), out.rstrip("/")
+    """Build the review tables from the CSV report below ``out``; its rows are the raw data table.
+
+    The decisions are stored before anything is replaced, as they may come from the very tables. The
+    checks of report and decisions are tables, too: groups without exactly one original or with mixed
+    digests, answers that are not allowed, and digests with different answers.
+    """
+    root, out = root_text(root), out.rstrip("/")
+    checks = {}
+    if decisions is not None:
+        decisions = workspace.snapshot(decisions, "decisions")
+        checks["invalid_decisions"] = r.invalid_decisions(decisions).select("sha256", "decision")
+        checks["conflicting_decisions"] = r.conflicting_decisions(decisions)
     report = workspace.snapshot(read_report(spark, f"{out}/report"), "report")
+    checks["invalid_groups"] = invalid_report_groups(report)
     groups = workspace.snapshot(groups_from_report(report, root), "report-groups")
     members = report_members(report)
     today = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M")
     tables = {
         "totals": g.scan_summary(groups),
         "summary": r.review_summary(groups, r.with_decisions(groups, decisions), root, today).orderBy("row_no"),
-        "review": r.review_queue(groups, members, decisions).orderBy("group_id", "page"),
-        "high_priority": r.high_priority(groups, members, decisions),
-        "suspicious": r.suspicious(groups, members, decisions),
-    }
-    for name in REVIEW_TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{out}/review/{name}")
-    return {
-        name: spark.read.schema(tables[name].schema).parquet(f"{out}/review/{name}") for name in REVIEW_TABLES
+        "review": r.review_queue(groups, members, decisions).orderBy("group_id"),
+        "review_paths": r.review_paths(groups, members),
+        "high_priority": r.high_priority(groups, members, decisions, high_priority_rows),
+        "suspicious": r.suspicious(groups, members, decisions, suspicious_rows),
     }
+    tables |= checks
+    # All tables are complete before the first one of the earlier scan is replaced.
+    new = {name: f"{out}/review/{name}.new-{uuid.uuid4().hex}" for name in tables}
+    for name, table in tables.items():
+        table.write.parquet(new[name])
+    for name, path in new.items():
+        workspace.replace(spark, path, f"{out}/review/{name}")
+    return {name: spark.read.schema(table.schema).parquet(f"{out}/review/{name}") for name, table in tables.items()}

@@ -1,4 +1,4 @@
-from .content import object_store_files, table_fingerprints
+from .content import table_fingerprints
 from .report_csv import read_report, write_report
 from .tree import deal_by_bytes, hash_files, inventory, stat_files
 
@@ -6,7 +6,6 @@ __all__ = [
     "deal_by_bytes",
     "hash_files",
     "inventory",
-    "object_store_files",
     "read_report",
     "stat_files",
     "table_fingerprints",

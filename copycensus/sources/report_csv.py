@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .. import workspace
 from ..operators.report import REPORT_COLUMNS
 
 # Paths may hold quotes, line breaks and spaces at either end; these options bring them back whole.
@@ -22,34 +25,41 @@ ROWS_PER_FILE = 1_000_000
 def write_report(report: DataFrame, path: str) -> dict[str, int]:
     """Write the report in group order and return its ``groups`` and ``rows``.
 
-    A report without rows still gets its header. The totals are taken while writing.
+    A report without rows still gets its header. The totals are taken while writing. It takes the
+    place of an earlier report only when it is complete.
     """
-    totals = Observation("report")
+    totals, new = Observation("report"), f"{path}.new-{uuid.uuid4().hex}"
     (
         report.select(*REPORT_COLUMNS)
         .orderBy("group_id", F.desc("is_original"), "file_path")
         .observe(totals, F.count_if("is_original").alias("groups"), F.count("*").alias("rows"))
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        .write.option("maxRecordsPerFile", ROWS_PER_FILE)
         .options(**CSV_OPTIONS)
-        .csv(path)
+        .csv(new)
     )
+    workspace.replace(report.sparkSession, new, path)
     return totals.get
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Read a report: rows with fewer than six columns are dropped, bad numbers become 0."""
-    schema = ", ".join(f"{c} STRING" for c in REPORT_COLUMNS)
-    raw = spark.read.schema(schema).options(multiLine=True, **CSV_OPTIONS).csv(path)
+    """Read a report: rows with fewer than six cells are dropped, bad numbers become 0.
+
+    A blank last cell is a cell; its row is no original.
+    """
+    # Both a blank and a missing cell are null; the reader sets aside the text of rows with too few cells.
+    schema = ", ".join(f"{c} STRING" for c in (*REPORT_COLUMNS, "_odd_row"))
+    options = CSV_OPTIONS | {"multiLine": True, "columnNameOfCorruptRecord": "_odd_row"}
+    raw = spark.read.schema(schema).options(**options).csv(path)
+    whole = F.col("is_original").isNotNull() | F.col("_odd_row").isNull()
 
     def number(name: str):
         return F.coalesce(F.expr(f"try_cast(trim({name}) AS BIGINT)"), F.lit(0).cast("bigint")).alias(name)
 
-    return raw.filter(F.col("is_original").isNotNull()).select(
+    return raw.filter(whole).select(
         number("group_id"),
         F.trim("sha256").alias("sha256"),
         "file_path",
         number("file_size_bytes"),
         F.trim("last_modified").alias("last_modified"),
-        (F.lower(F.trim("is_original")) == "true").alias("is_original"),
+        F.coalesce(F.lower(F.trim("is_original")) == "true", F.lit(False)).alias("is_original"),
     )

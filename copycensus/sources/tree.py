@@ -1,4 +1,4 @@
-"""File trees on a mount that every executor sees: listing, file attributes and hashing.
+"""File trees: listing, file attributes and hashing, on mounts that every executor sees and on URIs.
 
 The functions that run inside tasks are nested, so they travel to the executors by value.
 """
@@ -6,7 +6,6 @@ The functions that run inside tasks are nested, so they travel to the executors
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from .. import workspace
 from ..functions.scalars import DEFAULT_EXTENSIONS
 from ..operators.candidates import supported_files
+from .file_system import Files, root_text
 
 INVENTORY_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, is_symlink BOOLEAN, error STRING"
 HASHED_SCHEMA = "path STRING, size_bytes BIGINT, modified_ms BIGINT, sha256 STRING, error STRING"
@@ -29,6 +29,9 @@ ROUND_DIRS = 4096
 TASK_BYTES = 1 << 30
 TASK_PATHS = 50_000
 
+# Bytes of a file in memory at a time.
+READ_BYTES = 4 << 20
+
 
 def _path_tasks(spark: SparkSession, paths: int) -> int:
     """Tasks for file calls on ``paths`` paths: all cores, and more if there are many paths.
@@ -43,13 +46,13 @@ def _lister(budget: int):
     """Task function: list the subtrees of the given directories, at most ``budget`` directories."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
         from collections import deque
 
         import pandas as pd
 
         rows: list[tuple] = []
         full = 20_000
+        files = Files()
 
         def table() -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=["kind", "path", "is_symlink", "error"])
@@ -57,11 +60,6 @@ def _lister(budget: int):
             return out
 
         def add(kind, path, is_symlink=False, error=None):
-            try:
-                path.encode("utf-8")
-            except UnicodeEncodeError:
-                path = os.fsencode(path).decode("utf-8", "replace")
-                kind, error = "error", "name is not UTF-8"
             rows.append((kind, path, is_symlink, error))
 
         opened = 0
@@ -74,16 +72,15 @@ def _lister(budget: int):
                 else:
                     opened += 1
                     try:
-                        with os.scandir(folder) as entries:
-                            for entry in entries:
-                                if not entry.is_dir(follow_symlinks=False):
-                                    add("file", entry.path, entry.is_symlink())
-                                elif opened + len(waiting) < budget:
-                                    waiting.append(entry.path)
-                                else:
-                                    add("dir", entry.path)
-                                if len(rows) >= full:
-                                    yield table()
+                        for path, is_folder, is_link in files.of(folder).entries(folder):
+                            if not is_folder:
+                                add("file", path, is_link)
+                            elif opened + len(waiting) < budget:
+                                waiting.append(path)
+                            else:
+                                add("dir", path)
+                            if len(rows) >= full:
+                                yield table()
                     except NotADirectoryError:
                         add("file", folder)
                     except OSError as e:
@@ -100,25 +97,26 @@ def _list_tree(spark: SparkSession, root: str, first_dirs: int, round_dirs: int)
 
     Tasks walk breadth-first. A task that has opened its share of directories returns the ones
     it has not opened, and the next round spreads those over all tasks; a subtree with a third of
-    all directories is so shared out instead of walked by one task.
+    all directories is so shared out instead of walked by one task. A round has as many tasks as it
+    takes to open all directories that wait, so none is handed back unopened, and the number of
+    rounds follows the depth of the tree and not its size.
     """
     slots = spark.sparkContext.defaultParallelism * 4
     schema = "kind STRING, path STRING, is_symlink BOOLEAN, error STRING"
     frontier = spark.createDataFrame([(root,)], "path STRING").coalesce(1)
     rounds, budget = [], first_dirs
     while True:
-        listed = workspace.snapshot(frontier.mapInPandas(_lister(budget), schema), "walk")
-        rounds.append(listed.filter("kind <> 'dir'"))
-        left = listed.filter("kind = 'dir'").select("path")
+        path = workspace.scratch_path(spark, "walk")
+        frontier.mapInPandas(_lister(budget), schema).write.parquet(path)
+        rounds.append(path)
+        left = spark.read.schema(schema).parquet(path).filter("kind = 'dir'").select("path")
         n = left.count()
         if n == 0:
             break
-        frontier = left.repartition(min(n, slots), "path")
+        # Dealt round robin, half of what a task may open: a hash of the path could give one task too many.
+        frontier = left.repartition(max(min(n, slots), math.ceil(2 * n / round_dirs)))
         budget = round_dirs
-    found = rounds[0]
-    for part in rounds[1:]:
-        found = found.union(part)
-    return found
+    return spark.read.schema(schema).parquet(*rounds).filter("kind <> 'dir'")
 
 
 def inventory(
@@ -135,7 +133,7 @@ def inventory(
     a row with ``error``. Listing only reads names; the names are then spread evenly, so the file
     attributes of one huge directory are read by all tasks.
     """
-    listed = _list_tree(spark, os.path.abspath(root), first_dirs, round_dirs)
+    listed = _list_tree(spark, root_text(root), first_dirs, round_dirs)
     wanted = supported_files(listed.filter("kind = 'file'"), extensions).select("path", "is_symlink")
     broken = listed.filter("kind = 'error'").select(
         "path",
@@ -146,19 +144,17 @@ def inventory(
     )
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         import pandas as pd
 
+        files = Files()
         for batch in batches:
             rows = []
             for path, is_symlink in zip(batch["path"], batch["is_symlink"]):
                 size = modified = error = None
                 try:
-                    own = os.lstat(path)
-                    size, modified = own.st_size, own.st_mtime_ns // 1_000_000
+                    size, modified, _ = files.of(path).attributes(path, follow=False)
                     if is_symlink:
-                        modified = os.stat(path).st_mtime_ns // 1_000_000
+                        modified = files.of(path).attributes(path).modified_ms
                 except OSError as e:
                     if size is None:
                         error = e.strerror or str(e)
@@ -182,17 +178,16 @@ def stat_files(files: DataFrame, paths: int) -> DataFrame:
     schema = T.StructType(files.schema.fields + added)
 
     def attributes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
         import pandas as pd
 
+        files = Files()
         for batch in batches:
             sizes, times = [], []
             for path in batch["path"]:
                 try:
-                    now = os.stat(path)
-                    sizes.append(now.st_size)
-                    times.append(now.st_mtime_ns // 1_000_000)
+                    now = files.of(path).attributes(path)
+                    sizes.append(now.size)
+                    times.append(now.modified_ms)
                 except OSError:
                     sizes.append(None)
                     times.append(None)
@@ -236,17 +231,19 @@ def hash_files(files: DataFrame) -> DataFrame:
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
-        import os
-        import stat
 
+        files = Files()
         for batch in batches:
             digests, errors = [], []
             for path in batch["path"]:
                 found = error = None
                 try:
-                    if stat.S_ISREG(os.stat(path).st_mode):
-                        with open(path, "rb", buffering=0) as content:
-                            found = hashlib.file_digest(content, "sha256").hexdigest()
+                    if files.of(path).attributes(path).regular:
+                        sha = hashlib.sha256()
+                        with files.of(path).open(path) as content:
+                            while piece := content.read(READ_BYTES):
+                                sha.update(piece)
+                        found = sha.hexdigest()
                     else:
                         error = "not a regular file"
                 except OSError as e:

@@ -8,11 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scope: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 @lru_cache(maxsize=None)
 def _local_folder(application_id: str) -> str:
     return "file:" + tempfile.mkdtemp(prefix=f"copycensus-{application_id}-")
@@ -30,7 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, in a folder of this application that its end removes."""
+    """A new path below the shared folder, in a folder of this application that its end removes.
+
+    Inside ``scratch_scope`` the path is below the folder of the scope, and goes with it.
+    """
+    if scope := _scope.get():
+        return f"{scope}/{label}-{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
     fs, p = _file_system(spark, folder)
     if not fs.exists(p):
@@ -39,6 +50,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str) -> Iterator[None]:
+    """Intermediate tables made inside are removed at the end, so results must be stored elsewhere."""
+    folder = scratch_path(spark, label)
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, folder)
+
+
 def snapshot(df: DataFrame, label: str) -> DataFrame:
     """Store ``df`` as Parquet in the shared folder and return the stored table.
 
@@ -69,3 +92,20 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _file_system(spark, path)
     fs.delete(p, True)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished folder ``new`` in the place of ``path``; what was there goes last."""
+    fs, p = _file_system(spark, path)
+    source = _file_system(spark, new)[1]
+    old = _file_system(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    fs.mkdirs(p.getParent())
+    had = fs.exists(p)
+    if had and not fs.rename(p, old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(source, p):
+        if had:
+            fs.rename(old, p)
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        fs.delete(old, True)

@@ -113,6 +113,20 @@ SELECT g.group_id, m.sha256, m.path AS file_path, m.size_bytes AS file_size_byte
        {UTC.replace('modified_ms', 'm.modified_ms')} AS last_modified, m.place = 1 AS is_original
 FROM members m JOIN groups g USING (sha256)"""
 
+def paths(page_paths: int) -> str:
+    """All duplicates of all groups, ``page_paths`` to a page on average."""
+    return f"""
+copies AS (
+  SELECT sha256, path,
+         CASE WHEN file_count - 1 <= {page_paths} THEN 1
+              ELSE CAST('0x' || substr(md5(path), 1, 8) AS BIGINT)
+                   % CAST(ceil((file_count - 1) / {page_paths}.0) AS BIGINT) + 1
+         END AS page
+  FROM members WHERE file_count > 1 AND place > 1)
+SELECT sha256, CAST(page AS BIGINT) AS page, string_agg(path, chr(10) ORDER BY path) AS duplicates
+FROM copies GROUP BY ALL"""
+
+
 ORACLE_SQL = {
     "inventory_virtual": f"WITH {FILES} SELECT doc_id, path, size_bytes, modified_ms FROM files",
     "supported_files": f"WITH {CANDIDATES} SELECT path, size_bytes FROM supported",
@@ -175,6 +189,28 @@ SELECT count(coalesce(cached, fresh)) AS hashed, count(*) AS total,
 top AS (SELECT * FROM groups ORDER BY wasted_bytes DESC, group_id LIMIT 500), {review('top', False)}""",
     "suspicious": f"""WITH {GROUPS},
 top AS (SELECT * FROM groups WHERE spanning ORDER BY group_id LIMIT 2000), {review('top', False)}""",
+    "review_paths": f"WITH {GROUPS}, {paths(10000)}",
+    "review_paths_paged": f"WITH {GROUPS}, {paths(2)}",
+    "high_priority_top": f"""WITH {GROUPS},
+top AS (SELECT * FROM groups ORDER BY wasted_bytes DESC, group_id LIMIT 10), {review('top', False)}""",
+    "high_priority_decided": f"""WITH {GROUPS},
+top AS (SELECT * FROM groups ORDER BY wasted_bytes DESC, group_id LIMIT 500), {review('top', True)}""",
+    "suspicious_top": f"""WITH {GROUPS},
+top AS (SELECT * FROM groups WHERE spanning ORDER BY group_id LIMIT 10), {review('top', False)}""",
+    "duplicate_report_split": f"WITH {GROUPS} {REPORT}",
+    "invalid_report_groups": f"""WITH {GROUPS}
+SELECT group_id, count(CASE WHEN place = 1 OR doc_id % 5 = 0 THEN 1 END) AS originals, false AS mixed_digests
+FROM members m JOIN groups g USING (sha256) GROUP BY group_id
+HAVING count(CASE WHEN place = 1 OR doc_id % 5 = 0 THEN 1 END) <> 1""",
+    "cache_compacted": f"""WITH {CACHE}, entries AS (
+  SELECT path, modified_ms, sha256, 1 AS run_id FROM cache
+  UNION ALL SELECT path, modified_ms, fresh, 2 FROM found WHERE NOT cache_hit)
+SELECT path, modified_ms, sha256, CAST(run_id AS BIGINT) AS run_id FROM entries
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC) = 1""",
+    "hash_stats_with_errors": f"""WITH {CACHE}, read AS (
+  SELECT *, NOT cache_hit AND CAST(regexp_extract(path, 'doc_([0-9]+)', 1) AS BIGINT) % 4 = 1 AS broken FROM found)
+SELECT count(CASE WHEN NOT broken THEN 1 END) AS hashed, count(*) AS total,
+       count(CASE WHEN cache_hit THEN 1 END) AS cache_hits, count(CASE WHEN broken THEN 1 END) AS errors FROM read""",
     "invalid_decisions": f"""WITH {GROUPS}
 SELECT sha256, decision FROM decisions
 WHERE decision NOT IN ('Pending', 'Archive duplicates', 'Keep all', 'Escalate', '')""",

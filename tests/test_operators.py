@@ -165,13 +165,21 @@ def test_report_stats_default_when_unreadable(spark):
     assert [(r.file_size_bytes, r.last_modified) for r in got] == [(0, "unknown"), (5, "1970-01-01T00:00:02Z")]
 
 
-SAMPLE = (
-    "group_id,sha256,file_path,file_size_bytes,last_modified,is_original\n"
-    f"1,{'a' * 64},\"/data/vcf/patients/s1.vcf\",2147483648,2024-01-01T00:00:00Z,true\n"
-    f"1,{'a' * 64},\"/data/vcf/backup/s1.vcf\",2147483648,2024-01-02T00:00:00Z,false\n"
-    f"2,{'b' * 64},\"/data/vcf/patients/s2.vcf\",536870912,2024-01-03T00:00:00Z,true\n"
-    f"2,{'b' * 64},\"/data/vcf/archive/s2.vcf\",536870912,2024-01-04T00:00:00Z,false\n"
-)
+HEADER = "group_id,sha256,file_path,file_size_bytes,last_modified,is_original"
+# group, top folder, size, second, original
+LINES = [
+    (7, "lab", 900, 11, "false"), (7, "lab", 900, 12, "true"), (7, "tape", 901, 13, "false"), (7, "lab", 900, 14, "false"),
+    (8, "tape", 0, 15, "true"), (8, "tape", 0, 16, "false"),
+    (9, "old", 3_000_000_007, 17, "true"), (9, "lab", 3_000_000_007, 18, "false"), (9, "tape", 1, 19, "false"),
+]
+
+
+def report_text(lines):
+    rows = (
+        f"{group},{digest(group)},/store/{top}/run {second}.bam,{size},2021-05-06T07:08:{second}Z,{original}"
+        for group, top, size, second, original in lines
+    )
+    return "\n".join([HEADER, *rows]) + "\n"
 
 
 def report_of(spark, tmp_path, text):
@@ -179,41 +187,49 @@ def report_of(spark, tmp_path, text):
     return read_report(spark, str(tmp_path / "report.csv"))
 
 
-def test_read_sample_report(spark, tmp_path):
-    groups = op.groups_from_report(report_of(spark, tmp_path, SAMPLE), "/data/vcf").orderBy("group_id").collect()
+def test_groups_of_a_report(spark, tmp_path):
+    report = report_of(spark, tmp_path, report_text(LINES))
+    groups = op.groups_from_report(report, "/store").orderBy("group_id").collect()
     assert [(g.group_id, g.file_count, g.size_bytes, g.wasted_bytes, g.original_path, g.spanning) for g in groups] == [
-        (1, 2, 2147483648, 2147483648, "/data/vcf/patients/s1.vcf", True),
-        (2, 2, 536870912, 536870912, "/data/vcf/patients/s2.vcf", True),
+        (7, 4, 900, 2700, "/store/lab/run 12.bam", True),
+        (8, 2, 0, 0, "/store/tape/run 15.bam", False),
+        (9, 3, 3_000_000_007, 6_000_000_014, "/store/old/run 17.bam", True),
     ]
 
 
 def test_read_odd_report_lines(spark, tmp_path):
-    text = (
-        SAMPLE.splitlines()[0] + "\n"
-        '1, abc ,"/data/vcf, backup/file.vcf",1024, date , TRUE\n'
-        '1,abc,"/data/vcf""name/file.vcf",many,date,no\n'
-        "1,abc,/short,1\n"
-        "x,abc,/bad number,1,date,false\n"
-    )
+    text = f"""{HEADER}
+ 5 , 0f ,"/store/one, two.bam", 77 , then ,TruE
+5,0f,"/store/say ""ah"".bam",lots,then,
+5,0f,/store/no size.bam,,then,false
+5,0f,/store/five cells.bam,1,then
+five,0f,/store/no number.bam,2,then,yes
+"""
     rows = report_of(spark, tmp_path, text).collect()
     assert sorted(tuple(r) for r in rows) == [
-        (0, "abc", "/bad number", 1, "date", False),
-        (1, "abc", '/data/vcf"name/file.vcf', 0, "date", False),
-        (1, "abc", "/data/vcf, backup/file.vcf", 1024, "date", True),
+        (0, "0f", "/store/no number.bam", 2, "then", False),
+        (5, "0f", "/store/no size.bam", 0, "then", False),
+        (5, "0f", "/store/one, two.bam", 77, "then", True),
+        (5, "0f", '/store/say "ah".bam', 0, "then", False),
     ]
 
 
 def test_report_groups_are_checked(spark, tmp_path):
-    text = SAMPLE.replace("Z,false\n2,", "Z,true\n2,")
-    report = report_of(spark, tmp_path, text)
-    assert [tuple(r) for r in op.invalid_report_groups(report).collect()] == [(1, 2, False)]
-    assert op.invalid_report_groups(report_of(spark, tmp_path, SAMPLE)).count() == 0
+    two = [(g, top, size, second, "true" if second == 16 else original) for g, top, size, second, original in LINES]
+    none = [line for line in two if line[3] != 17]
+    found = op.invalid_report_groups(report_of(spark, tmp_path, report_text(none))).orderBy("group_id").collect()
+    assert [tuple(r) for r in found] == [(8, 2, False), (9, 0, False)]
+    mixed = report_text(LINES).replace(digest(7), digest(6), 1)
+    assert [tuple(r) for r in op.invalid_report_groups(report_of(spark, tmp_path, mixed)).collect()] == [(7, 1, True)]
+    assert op.invalid_report_groups(report_of(spark, tmp_path, report_text(LINES))).count() == 0
 
 
 def test_group_without_original_takes_its_first_path(spark, tmp_path):
-    report = report_of(spark, tmp_path, SAMPLE.replace("true", "false"))
-    groups = op.groups_from_report(report, "/data/vcf").orderBy("group_id").collect()
-    assert [g.original_path for g in groups] == ["/data/vcf/backup/s1.vcf", "/data/vcf/archive/s2.vcf"]
+    report = report_of(spark, tmp_path, report_text(LINES).replace("true", "false"))
+    groups = op.groups_from_report(report, "/store").orderBy("group_id").collect()
+    assert [(g.original_path, g.size_bytes) for g in groups] == [
+        ("/store/lab/run 11.bam", 900), ("/store/tape/run 15.bam", 0), ("/store/lab/run 18.bam", 3_000_000_007)
+    ]
 
 
 def test_report_is_written_in_group_order(spark, hot, tmp_path):
@@ -285,6 +301,20 @@ def test_cache_store(spark, tmp_path):
     cache.append(spark.createDataFrame([("/b", 5, "b")], CACHE))
     cache.compact()
     assert cache.segments() == [5] and entries() == want
+    # Another run may be writing what this cache did not find unfinished when it was opened.
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["seg-00000003", "seg-00000005"]
+    again = HashCache(spark, folder, keep_segments=1)
+    again.append(spark.createDataFrame([("/b", 5, "b")], CACHE))
+    again.compact()
+    assert sorted(p.name for p in (tmp_path / "cache").iterdir()) == ["seg-00000007"] and entries() == want
+
+
+def test_segments_have_few_files(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('/', id) AS path", "id AS modified_ms", "hex(id) AS sha256")
+    cache = HashCache(spark, str(tmp_path / "cache"))
+    cache.append(rows.repartition(2000, "path"))
+    assert len(list((tmp_path / "cache/seg-00000001").glob("part-*"))) < 20
+    assert cache.size().first().entries == 2000
 
 
 def test_hash_stats(spark):
@@ -307,16 +337,35 @@ def test_review_queue(spark, hot):
 
 
 def test_review_pages_hold_every_path(spark, hot):
-    rows = op.review_queue(numbered(spark, hot), spark.createDataFrame(hot, FILES), page_paths=10).collect()
-    found = {}
-    for r in rows:
+    groups, files = numbered(spark, hot), spark.createDataFrame(hot, FILES)
+    number = {sha256: n for n, sha256, _ in expected_groups(hot)}
+    found, pages = {}, {}
+    for r in op.review_paths(groups, files, page_paths=10, hot_rows=5).collect():
         paths = r.duplicates.split("\n")
         assert paths == sorted(paths) and len(paths) < 30
-        found.setdefault(r.group_id, []).extend(paths)
+        found.setdefault(number[r.sha256], []).extend(paths)
+        pages.setdefault(number[r.sha256], []).append((r.page, r.duplicates))
     assert {n: sorted(p) for n, p in found.items()} == duplicates_of(hot)
-    pages = [r.page for r in rows if r.file_count == 100]
-    assert sorted(pages) == list(range(1, 11))
-    assert all(r.page == 1 for r in rows if r.file_count <= 11)
+    rows = op.review_queue(groups, files, page_paths=10, hot_rows=5).collect()
+    assert sorted(r.group_id for r in rows) == sorted(pages)
+    assert {r.group_id: r.duplicates for r in rows} == {n: dict(p)[1] for n, p in pages.items()}
+    for r in rows:
+        assert sorted(page for page, _ in pages[r.group_id]) == list(range(1, max(1, -(-(r.file_count - 1) // 10)) + 1))
+
+
+def test_repeated_decisions_change_no_count(spark, hot):
+    groups, files = numbered(spark, hot), spark.createDataFrame(hot, FILES)
+    first = expected_groups(hot)[0][1]
+    answers = [(s, "Pending", None, None, 5) for _, s, _ in expected_groups(hot)]
+    answers += [(first, "Keep all", "kim", "a", 1), (first, "Escalate", "lee", "b", 3), (first, "Keep all", "kim", "c", 2), (None, "Escalate", None, None, 1)]
+    timed = spark.createDataFrame(answers, DECISIONS + ", updated_at INT")
+    untimed = timed.drop("updated_at")
+    for decisions, want in ((timed, "Pending"), (untimed, "Keep all")):
+        rows = op.review_queue(groups, files, decisions).collect()
+        assert len(rows) == len(expected_groups(hot))
+        assert {r.sha256: r.decision for r in rows}[first] == want
+    assert op.with_decisions(groups, timed).count() == len(expected_groups(hot))
+    assert [(r.sha256, r.answers) for r in op.conflicting_decisions(untimed).collect()] == [(first, ["Escalate", "Keep all"])]
 
 
 def test_high_priority(spark, hot):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from copycensus import functions as fn
+from copycensus.functions.scalars import DEFAULT_EXTENSIONS
 
 
 def values(spark, rows, schema, column):
@@ -42,9 +43,9 @@ def supported(spark, names, *args):
 
 
 def test_default_suffixes(spark):
-    good = ["sample.vcf", "sample.vcf.gz", "sample.g.vcf", "sample.g.vcf.gz", "sample.VCF", "sample.bam",
-            "sample.txt", "sample.fastq", "/deep/er/sample.fastq.gz"]
-    bad = ["sample.pdf", "sample.png", "sample.docx", "vcf", "/dir.vcf/sample.pdf", "samplexvcf", "sample.vcf\n"]
+    good = [f"/lab/run {k}/{name}" for k, x in enumerate(DEFAULT_EXTENSIONS) for name in (f"probe{k}{x}", x, f"Q{x.upper()}")]
+    bad = [f"/lab/probe{x}{tail}" for x in DEFAULT_EXTENSIONS for tail in ("~", "/notes", " ", "\n", ".zip")]
+    bad += ["", "/", "vcf", "/lab.txt/readme", "probe_bam", "probe.vc", "probe.fastq.bz2"]
     assert supported(spark, good) == [True] * len(good)
     assert supported(spark, bad) == [False] * len(bad)
 

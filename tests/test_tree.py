@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from copycensus import operators as op
 from copycensus import scan_tree, sources
 from copycensus.operators.cache import HashCache
 from copycensus.plans import tree_scan
-from copycensus.sources import tree
+from copycensus.sources import file_system, tree
 
 
 def write(root, contents):
@@ -39,22 +41,42 @@ def listed(spark, root, **options):
 # ---- inventory and candidates ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "contents, candidates",
-    [
-        ({}, 0),
-        ({"a.vcf": "content1", "b.vcf": "content22", "c.vcf": "content333"}, 0),
-        ({"a.vcf": "same", "b.vcf": "same", "c.vcf": "unique!"}, 2),
-        ({"a.vcf": "same", "data.pdf": "same"}, 0),
-        ({"a.vcf.gz": "identical", "b.vcf.gz": "identical", "c.vcf.gz": "identical"}, 3),
-        ({"batch1/a.vcf": "content", "batch2/sub/b.vcf": "content", "c.vcf": "", "d.vcf": ""}, 4),
-    ],
-)
-def test_candidates(spark, tmp_path, contents, candidates):
-    files = sources.inventory(spark, str(write(tmp_path / "in", contents)))
-    assert op.size_candidates(files).count() == candidates
-    stats = op.candidate_stats(files).first()
-    assert (stats.candidates, stats.files_found - stats.skipped_unique_size) == (candidates, candidates)
+SUFFIXES = (".vcf", ".g.vcf.gz", ".bam", ".fastq.gz", ".txt", ".TXT", ".pdf", "")
+SUPPORTED = (".vcf", ".g.vcf.gz", ".bam", ".fastq.gz", ".txt", ".TXT")
+
+
+def forest(seed, files=60):
+    """Files of few sizes and contents, at depths 0 to 4; some empty, some not to be scanned."""
+    rng = random.Random(seed)
+    contents = {}
+    for k in range(files):
+        folder = "/".join(f"{rng.choice(['ward', '.night', '_raw', 'Å b'])}{rng.randrange(3)}" for _ in range(rng.randrange(5)))
+        sign = rng.choice("xyz")
+        body = sign * rng.choice([0, 1, 40, 41, 5000]) if rng.random() < 0.7 else f"{sign}{k}" * rng.randrange(1, 50)
+        contents[f"{folder}/probe {k}{rng.choice(SUFFIXES)}".lstrip("/")] = body
+    return contents
+
+
+def brute_force(contents):
+    """Supported files, those of them that share a size, and the members of each group."""
+    files = {n: c for n, c in contents.items() if n.endswith(SUPPORTED)}
+    sizes = [len(c.encode()) for c in files.values()]
+    shared = {n for n, c in files.items() if sizes.count(len(c.encode())) > 1}
+    groups = {}
+    for name in files:
+        groups.setdefault(files[name], []).append(name)
+    return files, shared, sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("files", [0, 1, 60])
+def test_candidates(spark, tmp_path, files):
+    contents = forest(files, files)
+    root = write(tmp_path / "in", contents)
+    supported, shared, _ = brute_force(contents)
+    found = sources.inventory(spark, str(root))
+    assert {os.path.relpath(r.path, root) for r in op.size_candidates(found).collect()} == shared
+    stats = op.candidate_stats(found).first()
+    assert (stats.files_found, stats.candidates) == (len(supported), len(shared))
 
 
 def test_inventory_rows(spark, tmp_path):
@@ -67,12 +89,27 @@ def test_inventory_rows(spark, tmp_path):
     assert found[".hidden/_b.txt"].size_bytes == 0
 
 
-def test_walk_hands_subtrees_back(spark, tmp_path):
+def test_walk_does_not_depend_on_its_budget(spark, tmp_path):
     names = {f"d{i}/e{j}/f{k}.txt": "x" for i in range(4) for j in range(4) for k in range(2)}
     names["d0/" + "deep/" * 12 + "last.txt"] = "x"
     root = write(tmp_path / "in", names)
-    for budget in (3, 1000):
-        assert set(listed(spark, root, first_dirs=budget, round_dirs=budget)) == set(names)
+    for name in (b"\xff\xfe", b"d1/\xc3("):
+        folder = os.fsencode(str(root)) + b"/" + name
+        os.makedirs(folder)
+        for k in range(3):
+            with open(folder + b"/%d\x80.txt" % k, "wb") as f:
+                f.write(b"odd")
+    found = [listed(spark, root, first_dirs=budget, round_dirs=budget) for budget in (1, 2, 64)]
+    assert len(found[0]) == len(names) + 6 and not any(r.error for r in found[0].values())
+    assert found[0] == found[1] == found[2]
+
+
+def test_rounds_of_the_walk_follow_its_depth(spark, tmp_path, monkeypatch):
+    root = write(tmp_path / "in", {f"a{i}/b{j}/f.txt": "x" for i in range(20) for j in range(20)})
+    rounds = []
+    monkeypatch.setattr(tree.workspace, "scratch_path", lambda s, label, f=tree.workspace.scratch_path: rounds.append(label) or f(s, label))
+    assert len(listed(spark, root, first_dirs=1, round_dirs=4)) == 400
+    assert rounds.count("walk") <= 4
 
 
 def test_links(spark, tmp_path):
@@ -94,12 +131,60 @@ def test_missing_root_is_an_error_row(spark, tmp_path):
     assert len(rows) == 1 and rows[0].error and rows[0].size_bytes is None
 
 
-def test_name_that_is_not_utf8(spark, tmp_path):
-    root = write(tmp_path / "in", {"a.vcf": "x"})
+def test_any_name_has_one_text():
+    rng = random.Random(5)
+    names = {bytes(rng.choice(b"ab/\xef\xbf\xbd\xff\x80_f0") for _ in range(rng.randrange(1, 9))) for _ in range(4000)}
+    texts = {file_system.to_text(os.fsdecode(n)): n for n in names}
+    assert len(texts) == len(names)
+    for text, name in texts.items():
+        text.encode("utf-8")
+        assert os.fsencode(file_system.to_path(text)) == name
+
+
+def test_files_of_any_name_are_grouped(spark, tmp_path):
+    root = write(tmp_path / "in", {"plain.vcf": "same", "�.vcf": "same"})
     with open(os.fsencode(str(root)) + b"/\xff.vcf", "wb") as f:
-        f.write(b"x")
-    rows = sources.inventory(spark, str(root)).collect()
-    assert sorted(r.error or "" for r in rows) == ["", "name is not UTF-8"]
+        f.write(b"same")
+    scan = scan_tree(spark, "file://" + str(root), str(tmp_path / "out"))
+    assert totals(scan) == (1, 2)
+    assert {os.path.basename(r.file_path) for r in scan.report.collect()} == {"plain.vcf", "�__.vcf", "�ff.vcf"}
+
+
+def test_uri_gives_the_rows_of_the_mount(spark, tmp_path):
+    root = write(tmp_path / "in", forest(4))
+    with open(root / "sparse.bam", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    mount, uri = (listed(spark, root), {os.path.relpath(r.path, root): r for r in sources.inventory(spark, f"file://{root}").collect()})
+    assert mount == uri and mount["sparse.bam"].size_bytes == (2 << 30) + 5
+
+
+def test_store_calls_agree_with_the_mount(tmp_path):
+    """The calls that other URIs take, on a local folder."""
+    root = write(tmp_path / "in", forest(6))
+    store = file_system.Store(pyarrow.fs.LocalFileSystem(), "far://host", str(root))
+    mount = file_system.Mount()
+    waiting, seen = ["far://host"], set()
+    while waiting:
+        folder = waiting.pop()
+        own = str(root) + folder.removeprefix("far://host")
+        entries = sorted(store.entries(folder))
+        assert [(p.replace("far://host", str(root)), d) for p, d, _ in entries] == sorted((p, d) for p, d, _ in mount.entries(own))
+        for path, is_folder, _ in entries:
+            if is_folder:
+                waiting.append(path)
+                continue
+            local = path.replace("far://host", str(root))
+            seen.add(os.path.relpath(local, root))
+            assert store.attributes(path) == mount.attributes(local)
+            with store.open(path) as a, mount.open(local) as b:
+                assert a.read() == b.read()
+    assert seen == set(forest(6))
+    with pytest.raises(FileNotFoundError):
+        store.attributes("far://host/none")
+    with pytest.raises(FileNotFoundError):
+        list(store.entries("far://host/none"))
+    with pytest.raises(NotADirectoryError):
+        list(store.entries("far://host/" + sorted(seen)[0]))
 
 
 # ---- hashing -----------------------------------------------------------------------------------
@@ -112,17 +197,13 @@ def hashed(spark, paths):
 
 
 def test_hash_files(spark, tmp_path):
-    big = b"A" * (5 * 1024 * 1024)
-    root = write(tmp_path, {"empty.vcf": "", "hello.vcf": "hello world", "big.vcf": big})
-    os.mkfifo(root / "pipe.vcf")
-    names = ["empty.vcf", "hello.vcf", "big.vcf", "none.vcf", "pipe.vcf"]
-    got = hashed(spark, [root / n for n in names] + [root])
-    assert got[str(root / "empty.vcf")].sha256 == (
-        "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-    )
-    assert got[str(root / "hello.vcf")].sha256 == hashlib.sha256(b"hello world").hexdigest()
-    assert got[str(root / "big.vcf")].sha256 == hashlib.sha256(big).hexdigest()
-    for bad in (root / "none.vcf", root / "pipe.vcf", root):
+    contents = {"nothing.bam": b"", "short.bam": b"\x00\xffline\r\n", "pieces.bam": os.urandom(tree.READ_BYTES * 2 + 7)}
+    root = write(tmp_path, contents)
+    os.mkfifo(root / "queue.bam")
+    got = hashed(spark, [root / n for n in (*contents, "gone.bam", "queue.bam")] + [root])
+    for name, content in contents.items():
+        assert got[str(root / name)].sha256 == hashlib.sha256(content).hexdigest()
+    for bad in (root / "gone.bam", root / "queue.bam", root):
         assert got[str(bad)].sha256 is None and got[str(bad)].error
 
 
@@ -139,38 +220,20 @@ def test_deal_by_bytes(spark):
 # ---- whole scan --------------------------------------------------------------------------------
 
 
-# Each case is a directory of one tree: the files, and how many of them form each group.
-CASES = {
-    "none": ({"a.vcf": "unique content A", "b.vcf": "unique content BB", "c.vcf": "unique content CCC"}, []),
-    "pair": ({"original.vcf": "##fileformat=VCFv4.2\n", "duplicate.vcf": "##fileformat=VCFv4.2\n"}, [2]),
-    "three": ({f"{c}.vcf": "##VCF4.2\nCHR1\t100\t.\tA\tT\t100\n" for c in "abc"}, [3]),
-    "two groups": (
-        {
-            "g1a.vcf": "group one content", "g1b.vcf": "group one content",
-            "g2a.vcf": "group two content!", "g2b.vcf": "group two content!",
-            "solo.vcf": "solo file",
-        },
-        [2, 2],
-    ),
-    "nested": ({"patients/batch1/sample.vcf": "patient data", "backup/2024/sample.vcf": "patient data"}, [2]),
-    "same size": ({"a.vcf": "AAAA", "b.vcf": "BBBB"}, []),
-    "zero bytes": ({"a.vcf": "", "b.vcf": ""}, [2]),
-    "unsupported": ({"a.pdf": "portable", "b.pdf": "portable", "c.vcf": "portable"}, []),
-}
-
-
-def test_scan_cases(spark, tmp_path):
-    contents = {f"{case}/{name}": text for case, (files, _) in CASES.items() for name, text in files.items()}
-    root = write(tmp_path / "vcf", contents)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scan_against_brute_force(spark, tmp_path, seed):
+    contents = forest(seed, 90)
+    root = write(tmp_path / "in", contents)
     scan = scan_tree(spark, str(root), str(tmp_path / "out"))
-    found = {case: [] for case in CASES}
-    for row in scan.report.groupBy("group_id").agg(F.min("file_path").alias("path"), F.count("*").alias("n")).collect():
-        found[os.path.relpath(row.path, root).split("/")[0]].append(row.n)
-    assert found == {case: sizes for case, (_, sizes) in CASES.items()}
-    assert totals(scan) == (6, 7)
+    groups = {}
+    for r in scan.report.collect():
+        groups.setdefault(r.group_id, []).append(os.path.relpath(r.file_path, root))
+    want = brute_force(contents)[2]
+    assert len(want) > 3 and sorted(sorted(g) for g in groups.values()) == want
+    assert totals(scan) == (len(want), sum(len(g) - 1 for g in want))
 
 
-@pytest.mark.parametrize("contents", [{}, {"a.vcf": "AAAA", "b.vcf": "BBBB"}])
+@pytest.mark.parametrize("contents", [{}, {"left/one.bam": "0123", "right/two.bam": "3210"}])
 def test_scan_without_duplicates(spark, tmp_path, contents):
     out = tmp_path / "out"
     scan = scan_tree(spark, str(write(tmp_path / "vcf", contents)), str(out))
@@ -180,30 +243,33 @@ def test_scan_without_duplicates(spark, tmp_path, contents):
     parts = [p for p in (out / "report").iterdir() if p.name.startswith("part-")]
     assert [p.read_text() for p in parts] == [header + "\n"]
     assert sorted(p.name for p in (out / "review").iterdir()) == [
-        "high_priority", "review", "summary", "suspicious", "totals"
+        "high_priority", "invalid_groups", "review", "review_paths", "summary", "suspicious", "totals"
     ]
     assert not list((out / "candidates").iterdir())
 
 
 def test_scan_report(spark, tmp_path):
-    content = "fixed content body"
-    root = write(tmp_path / "vcf", {"z/a.vcf": content, "b.vcf": content, "y/c.vcf": content, "d.vcf": "other"})
-    os.utime(root / "b.vcf", ns=(0, 1_704_067_200_000_000_000))
-    scan = scan_tree(spark, str(root), str(tmp_path / "out"))
+    body = "pedigree\t7\n" * 3
+    names = ("mid/two.bam", "early.bam", "zeta/three.bam", "zeta/four.bam")
+    root = write(tmp_path / "in", dict.fromkeys(names, body) | {"zeta/alone.bam": "p"})
+    os.utime(root / "early.bam", ns=(0, 1_234_567_890_987_654_321))
+    out = tmp_path / "out"
+    scan = scan_tree(spark, str(root), str(out))
     rows = scan.report.orderBy("group_id", "file_path").collect()
-    digest = hashlib.sha256(content.encode()).hexdigest()
-    assert [(r.group_id, r.sha256, r.file_size_bytes, r.is_original) for r in rows] == [
-        (1, digest, 18, True), (1, digest, 18, False), (1, digest, 18, False)
+    digest = hashlib.sha256(body.encode()).hexdigest()
+    assert [(r.group_id, r.sha256, r.file_size_bytes, r.file_path) for r in rows] == [
+        (1, digest, 33, str(root / n)) for n in sorted(names)
     ]
-    assert [r.file_path for r in rows] == [str(root / n) for n in ("b.vcf", "y/c.vcf", "z/a.vcf")]
-    assert rows[0].last_modified == "2024-01-01T00:00:00Z"
-    review = spark.read.parquet(str(tmp_path / "out/review/review")).collect()
-    assert [(r.wasted_bytes, r.decision, r.reviewer, r.notes) for r in review] == [(36, "Pending", "", "")]
-    assert review[0].duplicates == f"{root}/y/c.vcf\n{root}/z/a.vcf"
-    suspicious = spark.read.parquet(str(tmp_path / "out/review/suspicious")).collect()
-    assert [r.group_id for r in suspicious] == [1]
-    assert tuple(scan.walk_stats.first()) == (4, 3, 1, 0)
-    assert tuple(scan.totals.first()) == (1, 2, 36, "36 B")
+    assert [r.is_original for r in rows] == [True, False, False, False]
+    assert rows[0].last_modified == "2009-02-13T23:31:30Z"
+    review = spark.read.parquet(str(out / "review/review")).collect()
+    assert [(r.wasted_bytes, r.decision, r.reviewer, r.notes) for r in review] == [(99, "Pending", "", "")]
+    assert review[0].duplicates.split("\n") == [str(root / n) for n in sorted(names)[1:]]
+    assert [r.duplicates for r in spark.read.parquet(str(out / "review/review_paths")).collect()] == [review[0].duplicates]
+    assert [r.group_id for r in spark.read.parquet(str(out / "review/suspicious")).collect()] == [1]
+    assert spark.read.parquet(str(out / "review/invalid_groups")).count() == 0
+    assert tuple(scan.walk_stats.first()) == (5, 4, 1, 0)
+    assert tuple(scan.totals.first()) == (1, 3, 99, "99 B")
 
 
 def test_scan_with_relative_root(spark, tmp_path, monkeypatch):
@@ -310,27 +376,55 @@ def test_unreadable_file_is_counted_and_skipped(spark, tmp_path):
     assert totals(scan) == (1, 1) and hash_counts(scan) == (2, 3, 0, 1)
 
 
-def test_decisions_are_carried_over(spark, tmp_path):
-    root = write(tmp_path / "vcf", {"a.vcf": "same", "b.vcf": "same", "c.vcf": "more", "d.vcf": "more"})
-    digest = hashlib.sha256(b"more").hexdigest()
-    earlier = spark.createDataFrame(
-        [(digest, "Keep all", "kim", "twin runs")], "sha256 STRING, decision STRING, reviewer STRING, notes STRING"
-    )
-    scan = scan_tree(spark, str(root), str(tmp_path / "out"), decisions=earlier)
-    review = {r.sha256: r for r in spark.read.parquet(str(tmp_path / "out/review/review")).collect()}
-    assert (review[digest].decision, review[digest].reviewer, review[digest].notes) == ("Keep all", "kim", "twin runs")
+def test_edited_review_table_goes_into_the_next_scan(spark, tmp_path):
+    root, out = write(tmp_path / "in", {"u/a.bam": "one", "v/b.bam": "one", "u/c.bam": "other", "v/d.bam": "other"}), tmp_path / "out"
+    scan_tree(spark, str(root), str(out))
+    digest = hashlib.sha256(b"other").hexdigest()
+    review = spark.read.parquet(str(out / "review/review"))
+    chosen = F.col("sha256") == digest
+    edited = review.withColumn("decision", F.when(chosen, "Keep all").otherwise(F.col("decision")))
+    edited = edited.withColumn("reviewer", F.when(chosen, "kim").otherwise(F.col("reviewer")))
+    edited.write.parquet(str(tmp_path / "edited"))
+    tree_scan.workspace.replace(spark, str(tmp_path / "edited"), str(out / "review/review"))
+    write(root, {"u/e.bam": "third", "w/f.bam": "third"})
+    scan = scan_tree(spark, str(root), str(out), decisions=spark.read.parquet(str(out / "review/review")))
+    for name in ("review", "high_priority", "suspicious"):
+        rows = {r.sha256: r for r in spark.read.parquet(str(out / "review" / name)).collect()}
+        assert len(rows) == 3 and (rows[digest].decision, rows[digest].reviewer) == ("Keep all", "kim")
     labels = {r.label: r.value for r in scan.summary.collect()}
-    assert (labels["Groups reviewed"], labels["Marked keep all"], labels["Pending"]) == ("1", "1", "1")
+    assert (labels["Groups reviewed"], labels["Marked keep all"], labels["Pending"]) == ("1", "1", "2")
     assert labels["Scan root"] == str(root) and len(labels["Scan date"]) == 16
+    assert {p.name for p in (out / "review").iterdir()} >= {"invalid_decisions", "conflicting_decisions"}
+    assert not [p for p in out.rglob("*") if ".new-" in p.name or ".old-" in p.name]
 
 
-def test_object_store_files(spark, tmp_path):
-    contents = {"x/a.VCF": "same", "b.vcf": "same", "c.vcf": "other", "d.pdf": "same", "e.g[1].txt": "same"}
-    root = write(tmp_path / "in", contents)
-    files = sources.object_store_files(spark, str(root))
-    assert {os.path.relpath(r.path, root) for r in files.select("path").collect()} == set(contents) - {"d.pdf"}
-    groups = op.duplicate_groups(sources.table_fingerprints(files), str(root)).collect()
-    assert [(g.file_count, g.original_path, g.spanning) for g in groups] == [(3, f"{root}/b.vcf", True)]
-    odd = sources.object_store_files(spark, str(root), ["g[1].txt", ""])
-    assert odd.count() == 5
-    assert sources.object_store_files(spark, str(root), ["g[1].txt"]).count() == 1
+def test_failing_write_leaves_the_last_report(spark, tmp_path, monkeypatch):
+    root, out = write(tmp_path / "in", {"a.bam": "one", "b.bam": "one"}), str(tmp_path / "out")
+    scan = scan_tree(spark, str(root), out)
+    before = scan.report.collect()
+    write(root, {"c.bam": "one"})
+
+    def broken(rows):
+        return report_rows(rows).withColumn("sha256", F.raise_error(F.lit("no")).cast("string"))
+
+    report_rows = tree_scan.report_rows
+    monkeypatch.setattr(tree_scan, "report_rows", broken)
+    with pytest.raises(Exception, match="no"):
+        scan_tree(spark, str(root), out)
+    assert sources.read_report(spark, out + "/report").collect() == before
+    assert spark.read.parquet(out + "/review/review").count() == 1
+
+
+def test_lists_have_the_length_asked_for(spark, tmp_path):
+    contents = {f"{top}/{k}.bam": f"body {k}" for top in ("u", "v") for k in range(5)}
+    out = str(tmp_path / "out")
+    scan_tree(spark, str(write(tmp_path / "in", contents)), out, high_priority_rows=3, suspicious_rows=2)
+    assert spark.read.parquet(out + "/review/high_priority").count() == 3
+    assert spark.read.parquet(out + "/review/suspicious").count() == 2
+
+
+def test_scan_leaves_no_scratch_tables(spark, tmp_path):
+    before = tree_scan.workspace.child_names(spark, os.path.dirname(tree_scan.workspace.scratch_path(spark, "x")))
+    scan_tree(spark, str(write(tmp_path / "in", {"a.bam": "one", "b.bam": "one"})), str(tmp_path / "out"))
+    after = tree_scan.workspace.child_names(spark, os.path.dirname(tree_scan.workspace.scratch_path(spark, "x")))
+    assert after == before
