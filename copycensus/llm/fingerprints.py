@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
@@ -224,15 +224,20 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _range_of(key, bounds: list[int]):
+def _numbers(values: list[int]) -> Column:
+    """One constant array, however many numbers it has."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(key: Column, bounds: list[int]) -> Column:
     """The number of the range that holds a key; ``bounds`` has the least key of each, ascending.
 
-    Two steps of at most a few hundred comparisons each: a block of bounds, then the bound in it.
+    Two steps, each with as many comparisons as the root of their number: a block of bounds, then the bound in it.
     """
     step = max(1, int(len(bounds) ** 0.5))
-    every = F.array(*(F.lit(b) for b in bounds[::step]))
+    every = _numbers(bounds[::step])
     block = F.size(F.filter(every, lambda b: b <= key)) - 1
-    inside = F.slice(F.array(*(F.lit(b) for b in bounds)), block * step + 1, F.lit(step))
+    inside = F.slice(_numbers(bounds), block * step + 1, F.lit(step))
     return block * step + F.size(F.filter(inside, lambda b: b <= key)) - 1
 
 
@@ -252,7 +257,7 @@ def next_document_edits(docs: DataFrame, ranges_per_partition: int = 8) -> DataF
     if not bounds:
         bounds = [lowest]
     part = F.col("_part")
-    held = F.array(*(F.lit(b) for b in bounds))
+    held = _numbers(bounds)
     dealt = keyed.withColumn("_part", _range_of(F.col("_key"), bounds))
     own = F.struct(part.alias("part"), F.lit(False).alias("tail"))
     tail = F.struct(F.pmod(part - 1, F.lit(len(bounds))).alias("part"), F.lit(True).alias("tail"))
