@@ -47,12 +47,18 @@ def is_supported(path: str, extensions: Sequence[str] = DEFAULT_EXTENSIONS) -> C
     return F.lower(file_name(path)).rlike(f"(?:{suffixes})\\z")
 
 
+def _quoted(name: str) -> str:
+    """A column name as it stands in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def short_hash(sha256: str) -> Column:
-    return F.expr(f"concat(substring({sha256}, 1, 12), '...')")
+    return F.expr(f"concat(substring({_quoted(sha256)}, 1, 12), '...')")
 
 
 def human_size(n: str) -> Column:
     """1024-based size with one decimal; the unit is picked before rounding."""
+    n = _quoted(n)
     cases = " ".join(
         f"WHEN {n} >= {scale} THEN format_string('%.1f {unit}', {n} / {scale}D)" for unit, scale in SIZE_UNITS
     )
@@ -75,6 +81,6 @@ def last_modified_utc(modified_ms: str) -> Column:
 
     A zone-free timestamp is used, so the session time zone plays no part.
     """
-    seconds = f"CAST(floor({modified_ms} / 1000) AS DECIMAL(18, 6))"
+    seconds = f"CAST(floor({_quoted(modified_ms)} / 1000) AS DECIMAL(18, 6))"
     at = f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})"
     return F.expr(f"coalesce(concat(replace(CAST({at} AS STRING), ' ', 'T'), 'Z'), 'unknown')")

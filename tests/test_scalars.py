@@ -93,3 +93,11 @@ def test_last_modified(spark, zone):
         "1969-12-31T23:59:59Z",
         "unknown",
     ]
+
+
+def test_columns_of_any_name(spark):
+    name = "size in `bytes`"
+    assert values(spark, [(2048,)], "n BIGINT", fn.human_size("n")) == ["2.0 KB"]
+    df = spark.createDataFrame([(2048, "ab" * 32)], "n BIGINT, h STRING").toDF(name, "the hash")
+    row = df.select(fn.human_size(name), fn.short_hash("the hash"), fn.last_modified_utc(name)).first()
+    assert tuple(row) == ("2.0 KB", "abababababab...", "1970-01-01T00:00:02Z")
