@@ -60,7 +60,7 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_brute_force(spark, seed):
     texts = near_copies(seed)
     ids = [k * 3 for k in range(len(texts))]
