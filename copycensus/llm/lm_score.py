@@ -2,9 +2,10 @@
 
 The target model is trained on all documents labelled as good, the background model on all documents.
 Both are interpolated modified Kneser-Ney models of the same order over the same vocabulary, the
-characters of either (``ngrams``), so their losses can be compared. Every whole text becomes counts of
-n-grams; joins with both models give the loss of each token under either, and the score of a document is
-the mean difference per token, target less background, in nats. The lower, the more a text is like the
+characters of either (``ngrams``), so their losses can be compared. Joins with both models
+give the losses of each different n-gram, and a join of the n-grams of every whole text with these gives the
+loss of each token under either. The score of a document is the mean difference per token, target less
+background, in nats. The lower, the more a text is like the
 target and unlike the rest.
 
 Defined results: a null text is empty; an empty text has 0 tokens and no losses. Rows that repeat a
@@ -27,21 +28,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.lit("").alias("lang"), text_or_empty("text").alias("text"))
 
 
-def models(docs: DataFrame, target: DataFrame) -> tuple[ngrams.Model, ngrams.Model]:
-    """Of the target's ids (a column doc_id) and of all documents."""
+def losses(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """The losses of all n-grams of the documents under the models of the target's ids (a column
+    doc_id) and of all documents: lang, key, target, background."""
     texts = _texts(docs)
     ids = target.select(F.col("doc_id").cast("bigint")).distinct()
     wanted = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id")).join(ids, "doc_id", "left_semi")
     counted = ngrams.counts(wanted), ngrams.counts(texts)
     tokens = ngrams.vocabulary(*counted) + 1  # one for what neither saw
-    return ngrams.train(counted[0], tokens), ngrams.train(counted[1], tokens)
+    near, far = (ngrams.train(c, tokens) for c in counted)
+    return ngrams.losses_by_gram(counted[1], target=near, background=far)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, tokens, target_loss, background_loss, score of every document."""
-    near, far = models(docs, workspace.snapshot(target.select("doc_id"), "target"))
-    grams = ngrams.bags(_texts(docs.filter("doc_id IS NOT NULL")))
-    rows = ngrams.with_loss(ngrams.with_loss(grams, near, "target"), far, "background")
+    known = losses(docs, workspace.snapshot(target.select("doc_id"), "target"))
+    rows = ngrams.looked_up(ngrams.bags(_texts(docs.filter("doc_id IS NOT NULL"))), known)
     n = F.sum("n")
     scored = rows.groupBy("doc_id").agg(
         n.alias("tokens"),

@@ -200,3 +200,21 @@ def with_loss(grams: DataFrame, model: Model, name: str) -> DataFrame:
     for k in range(2, ORDER + 1):
         p = F.coalesce(F.col(f"_p{k}"), F.coalesce(F.col(f"_g{k}"), F.lit(1.0)) * p)
     return rows.select(*columns, (-F.log(p)).alias(name))
+
+
+def losses_by_gram(grams: DataFrame, **models: Model) -> DataFrame:
+    """lang, key and the loss under each model, of each different n-gram of a corpus; stored.
+
+    The joins with the tables of the models run over these few rows once, so the n-grams of the
+    documents need a single join.
+    """
+    rows = grams.select("lang", "key")
+    for name, model in models.items():
+        rows = with_loss(rows, model, name)
+    return workspace.snapshot(rows, "losses-by-gram")
+
+
+def looked_up(bag: DataFrame, losses: DataFrame) -> DataFrame:
+    """The n-grams of documents with their losses. The table is broadcast if it has few rows, which are
+    counted first, else both sides are shuffled by language and n-gram."""
+    return bag.join(F.broadcast(losses) if losses.count() <= BROADCAST_ROWS else losses, ["lang", "key"])
