@@ -26,7 +26,7 @@ ORDER = 4
 BITS = 15
 UNKNOWN = (1 << BITS) - 1
 BROADCAST_ROWS = 2_000_000
-FOLD_KEYS = 1 << 22
+FOLD_KEYS = 1 << 20
 
 
 def text_keys(text: str) -> np.ndarray:
