@@ -33,7 +33,10 @@ def losses(docs: DataFrame, target: DataFrame) -> DataFrame:
     doc_id) and of all documents: lang, key, target, background."""
     texts = _texts(docs)
     ids = target.select(F.col("doc_id").cast("bigint")).distinct()
-    wanted = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id")).join(ids, "doc_id", "left_semi")
+    # Only texts that may belong to the target are shuffled, and they are at any size: the target's ids are
+    # a share of all and would not stay small enough to broadcast.
+    wanted = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id"))
+    wanted = wanted.join(ids.hint("merge"), "doc_id", "left_semi")
     counted = ngrams.counts(wanted), ngrams.counts(texts)
     tokens = ngrams.vocabulary(*counted) + 1  # one for what neither saw
     near, far = (ngrams.train(c, tokens) for c in counted)
