@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 BITS_IN_CELL = 32768  # fixed by bitmap_construct_agg: one cell is 4096 bytes
 
 
+#: Rows sent to Python at a time. With Spark's own number a batch of long texts takes a hundred megabytes on
+#: both sides of every task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most ``BATCH_ROWS`` rows from now on, in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, to be sent to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -44,7 +44,7 @@ from copycensus.llm.shingles import mix
 LEVELS = 3
 KEPT = (32, 48, 48)  # least names kept of each level
 ENOUGH = 16  # names on a level, to compare by it
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 
 
 # ---- parsing -----------------------------------------------------------------------------------

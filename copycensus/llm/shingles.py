@@ -15,7 +15,7 @@ import pyarrow as pa
 from copycensus.llm.common import worker_memory
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _MASK = (1 << 64) - 1
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from copycensus import workspace
 from copycensus.llm import exact_dedup, near_dedup, packing, quality, toxicity
-from copycensus.llm.common import table
+from copycensus.llm.common import small_batches, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
