@@ -4,9 +4,9 @@
    bits of a hash pick one of 256 buckets; a bucket keeps the least of the rest as a register of 16
    bits, its number of leading zeros and the 10 bits after the first one.
 2. Equal sets are one class, represented by its least doc_id.
-3. Registers are banded: 36 bands of 7. Empty registers borrow from others for this, by a fixed random
-   order per register, so short texts have full bands too. Two sets at the limit of 0.85 share none
-   with a probability of 1e-6.
+3. Registers are banded, as the limit asks (``band_shape``): 36 bands of 7 for 0.85, 35 of 5 for 0.80.
+   Empty registers borrow from others for this, by a fixed random order per register, so short texts
+   have full bands too. Two sets at the limit share no band with a probability of at most 1e-6.
 4. In a band, each member is first compared with one leader, the member whose bands are shared most.
    That settles most of a large group with one comparison per member. What is not in the leader's
    component then is compared with all members of other components in the band. So no link that
@@ -24,7 +24,8 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ LEAST_PERCENT = 85
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-BANDS, ROWS = 36, 7
+MOST_MISSED = 1e-6  # of pairs at the limit, those that share no band
 SKETCH = (
     "doc_id BIGINT, n_shingles BIGINT, set_key BINARY, bands ARRAY<BIGINT>, registers ARRAY<SMALLINT>, "
     "b0 BIGINT, b1 BIGINT, b2 BIGINT, b3 BIGINT"
@@ -54,15 +55,26 @@ CHANCE = 0.169919487
 # ---- sketches ----------------------------------------------------------------------------------
 
 
-def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def band_shape(percent: int) -> tuple[int, int]:
+    """Bands and rows: the most rows, and for them the fewest bands, that miss at most ``MOST_MISSED`` of the
+    pairs at the limit. Where the registers do not suffice for that, each one is a band."""
+    for rows in range(BUCKETS, 0, -1):
+        miss = 1 - (percent / 100) ** rows  # in one band
+        bands = 1 if miss <= MOST_MISSED else math.ceil(math.log(MOST_MISSED) / math.log(miss)) if miss < 1 else BUCKETS
+        if bands * rows <= BUCKETS:
+            return bands, rows
+    return BUCKETS, 1
+
+
+def _random(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each register the order in which it looks for one to borrow; factors and seeds of bands."""
-    memory = worker_memory()
-    if "bands" not in memory:
+    memory, name = worker_memory(), f"bands-{bands}-{rows}"
+    if name not in memory:
         keys = mix(np.arange(BUCKETS * BUCKETS, dtype=np.uint64) + np.uint64(1)).reshape(BUCKETS, BUCKETS)
-        factors = mix(np.arange(1 << 20, (1 << 20) + BANDS * ROWS, dtype=np.uint64)).reshape(BANDS, ROWS)
-        seeds = mix(np.arange(1 << 21, (1 << 21) + BANDS, dtype=np.uint64))
-        memory["bands"] = (keys.argsort(axis=1), factors | np.uint64(1), seeds)
-    return memory["bands"]
+        factors = mix(np.arange(1 << 20, (1 << 20) + bands * rows, dtype=np.uint64)).reshape(bands, rows)
+        seeds = mix(np.arange(1 << 21, (1 << 21) + bands, dtype=np.uint64))
+        memory[name] = (keys.argsort(axis=1), factors | np.uint64(1), seeds)
+    return memory[name]
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -79,43 +91,48 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    order, factors, seeds = _random()
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    order, factors, seeds = _random(bands, rows)
     used = sketch > 0
     if not used.all():
         sketch = np.where(used, sketch, sketch[order[np.arange(BUCKETS), used[order].argmax(axis=1)]])
-    rows = sketch[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    return mix((mix(rows * factors) * factors).sum(axis=1, dtype=np.uint64) + seeds).view(np.int64)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
+    parts = sketch[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    return mix((mix(parts * factors) * factors).sum(axis=1, dtype=np.uint64) + seeds).view(np.int64)
+
+
+def _sketch(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shape = band_shape(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        names = ["doc_id", "n_shingles", "set_key", "bands", "registers", "b0", "b1", "b2", "b3"]
+        for batch in batches:
+            n, keys, bands, sketches = [], [], [], []
+            for found in shingle_sets(batch.column(1)):
+                n.append(len(found))
+                sketch = registers(found)
+                sketches.append(sketch)
+                keys.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
+                bands.append(band_keys(sketch, *shape) if len(found) else np.zeros(0, np.int64))
+            flat = np.array(sketches, np.uint16).reshape(-1, BUCKETS)
+            bits = np.packbits((flat & 1).astype(np.uint8), axis=1).view(np.int64)
+            stops = np.cumsum([0, *map(len, bands)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.ListArray.from_arrays(stops, np.concatenate([np.zeros(0, np.int64), *bands])),
+                    pa.ListArray.from_arrays(
+                        np.arange(0, flat.size + 1, BUCKETS, dtype=np.int32), flat.ravel().view(np.int16)
+                    ),
+                    *(pa.array(bits[:, k].copy()) for k in range(4)),
+                ],
+                names=names,
+            )
 
-    names = ["doc_id", "n_shingles", "set_key", "bands", "registers", "b0", "b1", "b2", "b3"]
-    for batch in batches:
-        n, keys, bands, sketches = [], [], [], []
-        for found in shingle_sets(batch.column(1)):
-            n.append(len(found))
-            sketch = registers(found)
-            sketches.append(sketch)
-            keys.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
-            bands.append(band_keys(sketch) if len(found) else np.zeros(0, np.int64))
-        flat = np.array(sketches, np.uint16).reshape(-1, BUCKETS)
-        bits = np.packbits((flat & 1).astype(np.uint8), axis=1).view(np.int64)
-        stops = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(n, pa.int64()),
-                pa.array(keys, pa.binary()),
-                pa.ListArray.from_arrays(stops, np.concatenate([np.zeros(0, np.int64), *bands])),
-                pa.ListArray.from_arrays(
-                    np.arange(0, flat.size + 1, BUCKETS, dtype=np.int32), flat.ravel().view(np.int16)
-                ),
-                *(pa.array(bits[:, k].copy()) for k in range(4)),
-            ],
-            names=names,
-        )
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +147,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text")).mapInArrow(_sketch, SKETCH)
+def sketches(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text")).mapInArrow(_sketch(percent), SKETCH)
 
 
 # ---- comparisons -------------------------------------------------------------------------------
@@ -200,9 +217,15 @@ def _rare_shingles(full: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc_id").join(rare.join(once, "doc_id", "left_semi"), "doc_id", "left")
 
 
-def _same_bits() -> Column:
-    """One bit per register: of 256, at most so many differ at the limit (mean 19, six deviations)."""
-    return sum(F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4)) <= 45
+def most_bits(percent: int) -> int:
+    """Of one bit per register, so many differ at the limit: half of the unequal registers, and six deviations."""
+    share = (1 - percent / 100) / 2
+    return math.ceil(BUCKETS * share + 6 * math.sqrt(BUCKETS * share * (1 - share)))
+
+
+def _same_bits(percent: int) -> Column:
+    differ = sum(F.bit_count(F.col(f"a.b{k}").bitwiseXOR(F.col(f"b.b{k}"))) for k in range(4))
+    return differ <= most_bits(percent)
 
 
 def _can_share(percent: int) -> Column:
@@ -221,7 +244,7 @@ def _can_share(percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    known = workspace.snapshot(sketches(docs), "sketches")
+    known = workspace.snapshot(sketches(docs, percent), "sketches")
     classes = workspace.snapshot(
         known.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")),
         "classes",
@@ -261,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
         (F.col("a.band") == F.col("b.band"))
         & (F.col("a.comp") != F.col("b.comp"))
         & ((F.col("b.comp") == F.col("b.led")) | (F.col("a.doc_id") < F.col("b.doc_id")))
-        & _same_bits()
+        & _same_bits(percent)
         & _can_share(percent),
     )
     left = left.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()

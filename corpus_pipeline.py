@@ -12,6 +12,9 @@ from copycensus import workspace
 from copycensus.llm import exact_dedup, near_dedup, packing, quality, toxicity
 from copycensus.llm.common import small_batches, table
 
+#: Texts that share so much of their shingles are near copies. The limit of operator 5's query is its own.
+NEAR_PERCENT = 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +30,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
