@@ -59,6 +59,37 @@ def likely_members(
     return found.select(*wide.columns)
 
 
+def node_id(docs: DataFrame) -> tuple[Column, str]:
+    """The doc_id of a table and its type: a row key (``row_key``) as it is, anything else as BIGINT."""
+    if dict(docs.dtypes)["doc_id"] == "binary":
+        return F.col("doc_id"), "BINARY"
+    return F.col("doc_id").cast("bigint"), "BIGINT"
+
+
+def key_of(sha256: Column) -> Column:
+    """Binary keys that tell rows apart by doc_id and the SHA-256 (hex) of a text. They are in the order of
+    doc_id; those of rows without doc_id come last."""
+    doc_id = F.col("doc_id").cast("bigint")
+    ordered = F.unhex(F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    head = F.when(doc_id.isNull(), F.unhex(F.lit("01"))).otherwise(F.concat(F.unhex(F.lit("00")), ordered))
+    return F.concat(head, F.unhex(sha256))
+
+
+def row_key() -> Column:
+    return key_of(F.sha2(text_or_empty("text"), 256))
+
+
+def ids_tell_rows(docs: DataFrame) -> bool:
+    """Every row has a doc_id, and no other row has it."""
+    rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.filter("n > 1 OR doc_id IS NULL").isEmpty()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their keys in place of doc_id."""
+    return docs.withColumn("doc_id", row_key())
+
+
 def worker_memory() -> dict:
     """What this Python process keeps between tasks, such as a loaded tokenizer."""
     import sys
@@ -77,3 +108,13 @@ def without_documents(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFr
     safe = likely_members(docs, key, ids, key, bits, others=True)
     unsure = likely_members(docs, key, ids, key, bits).join(ids.distinct(), "doc_id", "left_anti")
     return safe.select(*names).unionByName(unsure.select(*names))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, bits: int = 26) -> DataFrame:
+    """As ``without_documents``, for rows whose key (``row_key``) is among ``keys`` (a column doc_id)."""
+    key, names = F.col("_row"), docs.columns
+    rows = docs.withColumn("_row", row_key())
+    safe = likely_members(rows, key, keys, F.col("doc_id"), bits, others=True)
+    gone = keys.select(F.col("doc_id").alias("_row")).distinct()
+    unsure = likely_members(rows, key, keys, F.col("doc_id"), bits).join(gone, "_row", "left_anti")
+    return safe.select(*names).unionByName(unsure.select(*names))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import likely_members, table, text_or_empty, without_documents
+from copycensus.llm.common import ids_tell_rows, key_of, likely_members, table, text_or_empty, without_documents
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -77,15 +77,20 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat doc_id and text, one."""
-    found = workspace.snapshot(exact_duplicates(docs).select("doc_id", "kept"), "exact")
-    stay = without_documents(docs, found.filter("NOT kept").select("doc_id")).filter("doc_id IS NOT NULL")
-    again = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    if again.isEmpty():
-        return stay
+    """One row of each text, with all its columns: one with the least doc_id, or one without where no row
+    of the text has a doc_id. Rows that share a doc_id but not the text are told apart by both."""
+    found = workspace.snapshot(exact_duplicates(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "exact")
+    if ids_tell_rows(found):
+        return without_documents(docs, found.filter("NOT kept").select("doc_id"))
+    goes = F.col("keep_id").isNotNull() & ~F.col("kept")
+    rows = found.select(key_of(F.col("text_sha256")).alias("_row"), goes.alias("goes"))
+    rows = rows.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.max("goes").alias("goes"))
+    odd = workspace.snapshot(rows.filter("n > 1 OR goes"), "odd")
     norm = F.regexp_replace(text_or_empty("text"), WHITE_SPACE, " ")
-    once = stay.join(again, "doc_id", "left_semi").withColumn("_norm", norm).dropDuplicates(["doc_id", "_norm"])
-    return without_documents(stay, again).unionByName(once.select(*docs.columns))
+    wide, key, names = docs.withColumn("_row", key_of(F.sha2(norm, 256))), F.col("_row"), docs.columns
+    once = likely_members(wide, key, odd, key).dropDuplicates(["_row"])
+    once = once.join(odd.filter("goes").select("_row"), "_row", "left_anti")
+    return likely_members(wide, key, odd, key, others=True).select(*names).unionByName(once.select(*names))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@
 
 Defined results: a null text is empty; a text without words has an empty set and is linked with nothing.
 Rows that repeat a doc_id are one node of the graph and all get its component. A row without doc_id
-keeps its n_shingles, has no component and is not marked as kept; ``drop_near_duplicates`` leaves it in. An empty table gives no rows. Further
-columns of the input are ignored.
+keeps its n_shingles, has no component and is not marked as kept. ``drop_near_duplicates`` tells rows
+apart by doc_id and text where doc_id alone does not, so each row is a node of its own there, also one
+without doc_id. An empty table gives no rows. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import likely_members, table, text_or_empty, without_documents, worker_memory
+from copycensus.llm.common import (
+    ids_tell_rows, keyed, likely_members, node_id, table, text_or_empty, without_documents, without_rows, worker_memory
+)
 from copycensus.llm.components import components
 from copycensus.llm.shingles import mix, shingle_sets
 
@@ -44,7 +47,7 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 MOST_MISSED = 1e-6  # of pairs at the limit, those that share no band
 SKETCH = (
-    "doc_id BIGINT, n_shingles BIGINT, set_key BINARY, bands ARRAY<BIGINT>, registers ARRAY<SMALLINT>, "
+    "n_shingles BIGINT, set_key BINARY, bands ARRAY<BIGINT>, registers ARRAY<SMALLINT>, "
     "b0 BIGINT, b1 BIGINT, b2 BIGINT, b3 BIGINT"
 )
 # Expected number of registers equal by chance in 2**p buckets with r bits of mantissa is this times 2**(p - r), times
@@ -148,7 +151,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text")).mapInArrow(_sketch(percent), SKETCH)
+    doc_id, kind = node_id(docs)
+    return docs.select(doc_id, text_or_empty("text")).mapInArrow(_sketch(percent), f"doc_id {kind}, {SKETCH}")
 
 
 # ---- comparisons -------------------------------------------------------------------------------
@@ -167,9 +171,10 @@ def _may_reach(limit: float) -> Column:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, set: the full sets of the documents in ``ids``, and of few others; stored."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text"))
+    doc_id, kind = node_id(docs)
+    texts = docs.select(doc_id.alias("doc_id"), text_or_empty("text"))
     wanted = likely_members(texts, F.col("doc_id"), ids, F.col("doc_id"))
-    return workspace.snapshot(wanted.mapInArrow(_full_sets, "doc_id BIGINT, set ARRAY<BIGINT>"), "sets")
+    return workspace.snapshot(wanted.mapInArrow(_full_sets, f"doc_id {kind}, set ARRAY<BIGINT>"), "sets")
 
 
 def _likely(known: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -303,9 +308,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """One document of each group, the one with the least doc_id, with all its columns."""
-    dropped = near_duplicates(docs, percent).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return without_documents(docs, workspace.snapshot(dropped, "near"))
+    """One document of each group, the one with the least doc_id, with all its columns. Of rows that share
+    a doc_id each is judged by its own text; rows without one come last."""
+    known = ids_tell_rows(docs)
+    dropped = near_duplicates(docs if known else keyed(docs), percent).filter("NOT kept").select("doc_id")
+    return (without_documents if known else without_rows)(docs, workspace.snapshot(dropped, "near"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,8 @@ def bags(texts: DataFrame) -> DataFrame:
                     at += len(rows)
                     rows, held = [], 0
 
-    return texts.select("doc_id", "lang", "text").mapInArrow(run, "doc_id BIGINT, lang STRING, key BIGINT, n BIGINT")
+    kind = dict(texts.dtypes)["doc_id"]
+    return texts.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang STRING, key BIGINT, n BIGINT")
 
 
 # ---- training ----------------------------------------------------------------------------------

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from copycensus import workspace
-from copycensus.llm.common import table, text_or_empty, without_documents
+from copycensus.llm.common import ids_tell_rows, keyed, node_id, table, text_or_empty, without_documents, without_rows
 
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4_000, 10_000, 20_000
 LEAST_TEXTS = 3  # texts that hold a feature, for it to be used
@@ -215,15 +215,16 @@ def toxicity(docs: DataFrame, model: Severity, limit: float = 0.5) -> DataFrame:
                 names=["doc_id", "severity", "chance", "toxic"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), text_or_empty("text"))
-    return texts.mapInArrow(run, "doc_id BIGINT, severity DOUBLE, chance DOUBLE, toxic BOOLEAN")
+    doc_id, kind = node_id(docs)
+    texts = docs.select(doc_id, text_or_empty("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, severity DOUBLE, chance DOUBLE, toxic BOOLEAN")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are not rejected, with all their columns. Rows that share the doc_id of a rejected
-    one go with it; rows without doc_id stay."""
-    found = toxicity(docs, train(docs, labels))
-    return without_documents(docs, workspace.snapshot(found.filter("toxic").select("doc_id").distinct(), "toxic"))
+    """The rows that are not rejected, with all their columns; each is judged by its own text."""
+    known = ids_tell_rows(docs)
+    found = toxicity(docs if known else keyed(docs), train(docs, labels)).filter("toxic").select("doc_id").distinct()
+    return (without_documents if known else without_rows)(docs, workspace.snapshot(found, "toxic"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,45 @@
+"""Stages decide per row, also where rows share a doc_id or have none."""
+
+import random
+
+from copycensus.llm import exact_dedup, near_dedup, quality, toxicity
+
+from .helpers import documents, rows_of, words
+from .test_ngrams import corpus
+
+
+def test_exact_dedup_never_loses_a_text(spark):
+    docs = documents(spark, ["B", "A", "B", "A"], [0, 1, 1, 5], clashing=True)
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.columns == docs.columns
+    assert rows_of(got, "doc_id", "text") == [(0, "B"), (1, "A")]
+
+
+def test_exact_dedup_keeps_texts_without_an_id(spark):
+    texts = ["only here", "twice it is", "twice it is", "known", "known", "twice  it is", "own", "own"]
+    docs = documents(spark, texts, [None, None, None, None, 7, None, -3, -3], clashing=True)
+    got = exact_dedup.drop_exact_duplicates(docs)
+    found = [(r.doc_id, " ".join(r.text.split())) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted([(None, "only here"), (None, "twice it is"), (7, "known"), (-3, "own")], key=repr)
+
+
+def test_near_dedup_judges_rows_of_one_id_apart(spark):
+    rng = random.Random(2)
+    base, other = words(rng, 200, 1 << 30), " ".join(words(rng, 50, 1 << 30))
+    copies = [" ".join([*base, f"end{k}"]) for k in range(4)]
+    docs = documents(spark, [copies[0], copies[1], other, copies[2], other + " x", "alone"], [-4, 1, 1, None, None, None])
+    got = near_dedup.drop_near_duplicates(docs)
+    assert rows_of(got, "doc_id", "text") == rows_of(docs.filter(docs.text.isin(copies[0], other, "alone")), "doc_id", "text")
+
+
+def test_classifiers_judge_rows_of_one_id_apart(spark):
+    rows = [(lang, t if q else f"{t} vile rotten", q) for lang, t, q in corpus(500, 3)]
+    good, junk = ([t for lang, t, q in rows if q == wanted and lang == "en"][0] for wanted in (1, 0))
+    ids = [*range(500), 9000, 9000, None, None]
+    docs = documents(spark, [t for _, t, _ in rows] + [good + " the", junk + " X", good + " of", junk + " Y"], ids,
+                     [lang for lang, _, _ in rows] + ["en"] * 4)
+    labels = spark.createDataFrame([(k, rows[k][2], 1 - rows[k][2]) for k in range(400)], "doc_id BIGINT, quality INT, toxic INT")
+    want = [(9000, good + " the"), (None, good + " of")]
+    for kept in (quality.keep_good(docs, labels), toxicity.drop_toxic(docs, labels)):
+        got = [r for r in rows_of(kept, "doc_id", "text") if r[0] is None or r[0] == 9000]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
