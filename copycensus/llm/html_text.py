@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. The first pass decides each block by itself, from its
 share of stop words, its length and its share of link text, and from where it stands: menus, page
 headers and footers, side bars, notices, adverts, forms and reader comments are told by their element,
-role, class or id. The second pass gives each undecided, mostly short block the label of its nearest
+role, class or id. A class or id says so only if all its words do: ``no-sidebar`` or ``margin-top`` do not.
+It never puts the page's body or main element aside, and an article only beside another one. The second pass gives each undecided, mostly short block the label of its nearest
 decided neighbours. Inside an article the edges of the article count as decided, too, so its headings,
 short paragraphs and lists stay; on a page with an article, what lies outside is not main text.
 
@@ -77,7 +78,7 @@ _TAG = re.compile(
     rf"|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
 _LANGUAGE = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([a-z]+)""", re.I)
 _NOT_LETTERS = re.compile(r"[^a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,28 +92,31 @@ class Block:
     link_chars: int
     heading: bool
     aside: bool
+    held: bool  # in an article that a class, its own or that of an element around it, puts aside
     article: int  # 0: outside; else the number of the outermost article
     label: str = ""
 
 
-def _stands_aside(name: str, rest: str, in_article: bool) -> bool:
-    """The element opens a part that is no main text."""
+def _stands_aside(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+    """The element opens a part that is no main text; its class or id says so."""
     if name in _ASIDE_TAGS or (name == "header" and not in_article):
-        return True
+        return True, False
     if not rest or rest.isspace():
-        return False
+        return False, False
+    named = False
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if key == "role":
             if value in _ASIDE_ROLES:
-                return True
+                return True, False
         elif key in ("class", "id"):
-            words = _NOT_LETTERS.split(value)
-            if not _ASIDE_NAMES.isdisjoint(words) or (not in_article and not _HEADER_NAMES.isdisjoint(words)):
-                return True
-    return False
+            names = _ASIDE_NAMES if in_article else _ASIDE_NAMES | _HEADER_NAMES
+            for one in value.split():
+                words = set(filter(None, _NOT_LETTERS.split(one)))
+                named = named or bool(words) and words <= names
+    return False, named
 
 
 def blocks(page: str) -> list[Block]:
@@ -120,15 +124,15 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # name, aside, article
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, aside, aside by a class, held, article
     opened: Counter[str] = Counter()
-    heading, aside, article, articles = False, False, 0, 0
+    heading, aside, named, held, article, articles = False, False, False, False, 0, 0
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, linked, heading, aside, article))
+                out.append(Block(text, linked, heading, aside or named, held, article))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -173,8 +177,15 @@ def blocks(page: str) -> list[Block]:
             if name in _MAIN_TAGS and not article:
                 articles += 1
                 inside = articles
-            stack.append((name, aside or _stands_aside(name, rest, bool(article)), inside))
-        aside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            here, by_name = _stands_aside(name, rest, bool(article))
+            if name == "article":
+                held, named = held or named or by_name, False
+            elif name in ("main", "body"):
+                held, named = False, False
+            else:
+                named = named or by_name
+            stack.append((name, aside or here, named, held, inside))
+        aside, named, held, article = stack[-1][1:] if stack else (False, False, False, 0)
     say(page[at:])
     close()
     return out
@@ -233,6 +244,9 @@ def classify(page: str) -> list[Block]:
     found = blocks(page)
     language = _LANGUAGE.search(page)
     words = _SETS.get(language[1].lower(), _ANY) if language else _ANY
+    if any(b.article and not b.aside and not b.held for b in found):
+        for b in found:
+            b.aside = b.aside or b.held
     has_article = any(b.article and not b.aside for b in found)
     for b in found:
         b.label = _first_label(b, words, has_article)
