@@ -1,0 +1,136 @@
+"""Files of packed ids against plain arrays, and the word encoder against the library."""
+
+import io
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from copycensus import workspace
+from copycensus.llm import bit_files, word_tokens
+
+from .helpers import documents, rows_of
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+class Stream(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_encoder_is_the_library(library):
+    rng = random.Random(5)
+    alphabet = "abcdeXYZÉéßÿ×÷ªµº²½0189'''srtvemld.,;!?_-()<|>/ \t\n\r\v\f\x1c\x1f\x85\xa0\0" + "é́̀İΣςσΑ漢字가🙂ﬁ½٣ ​"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    texts += ["it's WE'LL don't I'd they've 's 'S", "<|endoftext|>", "a<|startoftext|>b <|EndOfText|> c", "x" * 3000, "Ab1 " * 500, "", "漢" * 900]
+    for chars in (7, 1 << 20):
+        encode = word_tokens.WordEncoder(PATH, piece_chars=chars)
+        for text in texts:
+            assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_forgetful_encoder(library, monkeypatch):
+    monkeypatch.setattr(word_tokens, "REMEMBERED", 2)
+    encode = word_tokens.WordEncoder(PATH)
+    text = "one two three four two one " * 3
+    assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encode.words) == 2
+
+
+@pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 24, 31, 32])
+def test_round_trip_and_random_access(bits):
+    rng = np.random.default_rng(bits)
+    lengths = [*rng.integers(0, 40, 60).tolist(), 500, 0, 0, 1, *rng.integers(0, 3, 80).tolist()]
+    docs = [rng.integers(0, 1 << bits, n, np.uint64).astype("<u4") for n in lengths]
+    ids = [None if k % 9 == 4 else k * 7 - 50 for k in range(len(docs))]
+    out = Stream()
+    writer = bit_files.BitFileWriter(out, bits, block_ids=32)
+    for doc_id, doc in zip(ids, docs):
+        writer.add(doc_id, doc)
+    writer.finish()
+    flat, starts = np.concatenate(docs), np.cumsum([0, *lengths])
+    file = bit_files.BitFile(out)
+    assert (file.n_ids, file.n_docs) == (len(flat), len(docs))
+    assert len(out.getvalue()) < (len(flat) * bits) / 8 + 13 * len(docs) + 40 * file.n_blocks + 100
+    for _ in range(300):
+        a, b = sorted(rng.integers(0, len(flat) + 1, 2).tolist())
+        assert file.ids(a, b).tolist() == flat[a:b].tolist()
+    got = [x for b in range(0, file.n_blocks, 2) for x in file.documents(b, b + 2)]
+    assert [(o, i, s) for o, i, s, _ in got] == list(zip(range(len(docs)), ids, starts.tolist()))
+    assert all(x[3].tolist() == doc.tolist() for x, doc in zip(got, docs))
+    for k in rng.permutation(len(docs)).tolist():
+        doc_id, found = file.document(k)
+        assert doc_id == ids[k] and found.tolist() == docs[k].tolist()
+
+
+def test_empty_and_foreign_files():
+    out = Stream()
+    bit_files.BitFileWriter(out, 16).finish()
+    file = bit_files.BitFile(out)
+    assert file.n_docs == file.n_ids == 0 and list(file.documents(0, 9)) == [] and len(file.ids(0, 5)) == 0
+    with pytest.raises(IndexError):
+        file.document(0)
+    for data in (b"", b"x" * 100):
+        with pytest.raises(ValueError):
+            bit_files.BitFile(Stream(data))
+    with pytest.raises(ValueError):
+        bit_files.pack(np.array([4]), 2)
+
+
+def brute(library, texts, ids):
+    """Rows in file order: null ids last; of one id in any order, so starts are left out for those."""
+    rows, start = [], 0
+    order = sorted(range(len(texts)), key=lambda k: (ids[k] is None, ids[k] or 0))
+    for k in order:
+        tokens = [*library.encode(texts[k] or "", add_special_tokens=False).ids, 1]
+        rows.append((ids[k], start, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())))
+        start += len(tokens)
+    return rows
+
+
+@pytest.mark.parametrize("block_ids, task_blocks", [(8, 1), (50, 3), (1 << 16, 64)])
+def test_files_of_a_table(spark, library, block_ids, task_blocks):
+    rng = random.Random(3)
+    texts = [None, "", 'say "yes" "" !!', "long " * 3000, "漢字 🙂 <|endoftext|>"] + [" ".join(rng.choices(["Alpha", "beta", '"', "Größe", "42"], k=rng.randint(0, 30))) for _ in range(80)]
+    ids = rng.sample(range(-500, 500), len(texts))
+    docs = documents(spark, texts, ids, clashing=True)
+    folder = workspace.scratch_path(spark, "bits")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = workspace.snapshot(bit_files.write_bit_files(docs, folder, block_ids=block_ids), "files")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() == 4
+    got = bit_files.read_bit_files(files, folder, task_blocks)
+    assert rows_of(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(brute(library, texts, ids), key=repr)
+
+
+def test_repeated_and_missing_ids(spark, library):
+    texts = ["same"] * 40 + ["other", "", None, "other"] * 5
+    ids = [None] * 20 + [7] * 30 + list(range(10))
+    docs = documents(spark, texts, ids).repartition(7)
+    folder = workspace.scratch_path(spark, "bits")
+    files = workspace.snapshot(bit_files.write_bit_files(docs, folder), "files")
+    got = sorted(bit_files.read_bit_files(files, folder).collect(), key=lambda r: r.start)
+    want = brute(library, texts, ids)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=repr) == sorted(((i, n, c) for i, _, n, c in want), key=repr)
+    assert [r.doc_id for r in got] == [i for i, *_ in want]
+    place = 0
+    for r in got:
+        assert r.start == place
+        place += r.n_tokens
+
+
+def test_empty_table(spark):
+    folder = workspace.scratch_path(spark, "bits")
+    files = bit_files.write_bit_files(documents(spark, []), folder)
+    assert files.count() == 0 and bit_files.read_bit_files(files, folder).count() == 0
