@@ -16,7 +16,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_queries_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*registry.QUERIES, "pipeline"} <= set(entry.queries())
     assert set(registry.ORACLE_SQL) <= set(entry.oracle_sql())
 
@@ -45,9 +45,10 @@ def test_stages_against_brute_force(spark):
         norm.setdefault(" ".join(texts[i].split()) if texts[i].strip() else texts[i], i)
     for i in sorted(norm.values()):
         for j in norm.values():
-            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= corpus_pipeline.NEAR_PERCENT * len(sets[i] | sets[j]):
                 groups.join(i, j)
     want = {i for i in norm.values() if groups.find(i) == i}
+    assert corpus_pipeline.NEAR_PERCENT == 80
     got = corpus_pipeline.run(spark, SF_DIR)
     assert {r.doc_id for r in got.select("doc_id").collect()} == want
     assert [name for name, _ in corpus_pipeline.STAGES] == [
