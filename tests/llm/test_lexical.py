@@ -1,0 +1,113 @@
+"""Ranked search against scores of every document."""
+
+import math
+import os
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from copycensus.llm import lexical
+
+from .helpers import documents, rows_of, words
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+
+
+def terms(text):
+    return [re.sub("[A-Z]+", lambda m: m[0].lower(), t) for t in TERM.findall(text or "")]
+
+
+def brute(docs, items, top=20):
+    """(item, rank, doc_id, score) with every document scored; docs are (doc_id, text)."""
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    counts = [(i, c, sum(c.values())) for i, c in counts if c]
+    total = sum(n for *_, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    rows = []
+    for item, text in items:
+        scores = []
+        for i, c, n in counts:
+            m = 75 + (25 * n * len(counts)) // total
+            score = sum(
+                math.floor(1000 * math.log((2 * len(counts) + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m))
+                for t in terms(text)
+                if c[t]
+            )
+            if score > 0:
+                scores.append((-score, i is None, i or 0))
+        rows += [(item, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(sorted(scores)[:top])]
+    return sorted(rows, key=repr)
+
+
+def items_of(spark, items):
+    return spark.createDataFrame(items, "item_id BIGINT, text STRING").selectExpr("*", "1 AS score", "'x' AS terms")
+
+
+def test_terms():
+    text = "Ab-c’d É9_x {ÀB} z\0y\x7fq İK"
+    for size in (1, 3, 1000):
+        got = [t.decode() for part in lexical.terms_of(text, size) for t in part]
+        assert got == terms(text) == ["ab", "c’d", "É9", "x", "Àb", "z", "y", "q", "İk"]
+    assert list(lexical.terms_of("", 5)) == []
+
+
+@pytest.mark.parametrize("chunk_docs, block_terms", [(1 << 13, 1 << 20), (7, 60)])
+def test_ranks_are_those_of_all_scores(spark, chunk_docs, block_terms):
+    rng = random.Random(chunk_docs)
+    texts = [" ".join(words(rng, rng.choice([0, 1, 3, 20, 60, 300]), rng.choice([3, 40, 400]))) for _ in range(160)]
+    texts += ["w1 W1 w1", None, "", "...", "w1 " * 5000, *["the same w2 text w3"] * 30]
+    ids = [*range(len(texts) - 3), 5, None, None]
+    items = [(k, " ".join(words(rng, n, v))) for k, (n, v) in enumerate([(1, 3), (5, 40), (200, 400), (40, 30), (12, 400), (90, 90)])]
+    items += [(50, "w1 w1 w1 w2 unheard"), (51, None), (52, ""), (53, "unheard"), (54, "w2 w3"), (None, "w3")]
+    docs = documents(spark, texts, ids, clashing=True).repartition(5)
+    got = lexical.rank_documents(docs, items_of(spark, items), block_terms=block_terms, chunk_docs=chunk_docs)
+    assert rows_of(got, "item_id", "rank", "doc_id", "score") == brute(list(zip(ids, texts)), items)
+
+
+def test_repeated_items(spark):
+    docs = documents(spark, ["a b", "b c", "c d a"])
+    got = lexical.rank_documents(docs, items_of(spark, [(1, "a"), (1, "c"), (2, "a")]), top=1)
+    assert rows_of(got, "item_id", "rank", "doc_id", "score") == brute([(0, "a b"), (1, "b c"), (2, "c d a")], [(1, "a"), (1, "c"), (2, "a")], 1)
+
+
+def test_empty_tables(spark):
+    none, docs, items = documents(spark, []), documents(spark, ["a", None]), items_of(spark, [(1, "a")])
+    for d, i in ((none, items), (docs, items.limit(0)), (documents(spark, [None, "--"]), items), (docs, items_of(spark, [(1, "b")]))):
+        got = lexical.rank_documents(d, i)
+        assert got.columns == ["item_id", "rank", "doc_id", "score"] and got.count() == 0
+
+
+def test_hopeless_masks_are_not_scored():
+    """Of many documents with common terms alone, few are scored."""
+    rng = random.Random(2)
+    texts = [" ".join(["the of and to in"] * 3 + words(rng, 40, 5000)) for _ in range(3000)] + ["the rare of term and here"] * 30
+    vocabulary, keys, numbers, repeats = lexical.read_items([(1, "the rare term of and to")])
+    rows, df = [], Counter()
+    for k, text in enumerate(texts):
+        c = Counter(t for part in lexical.terms_of(text) for t in part)
+        df.update(c.keys())
+        rows.append((k, sum(c.values()), [vocabulary[t] for t in c if t in vocabulary], [c[t] for t in c if t in vocabulary]))
+    total = sum(r[1] for r in rows)
+    weights = np.array([lexical._weight(len(rows), df[t]) for t in vocabulary])
+    search = lexical.Search(keys, numbers, repeats, weights, 20)
+    search.add(lexical.Chunk(*zip(*rows), len(rows), total))
+    assert sorted(search.rows()) == sorted((1, i, s) for _, _, i, s in brute(list(enumerate(texts)), [(1, "the rare term of and to")]))
+    assert search.scored <= 60
+
+
+def test_query_and_sql(spark):
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
+    want = con.execute(lexical.ORACLE_SQL["op12_ranked_search"])
+    assert [d[0] for d in want.description] == ["item_id", "rank", "doc_id", "score"]
+    got = lexical.op12_ranked_search(spark, SF_DIR)
+    assert rows_of(got, "item_id", "rank", "doc_id", "score") == sorted(want.fetchall(), key=repr)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    assert rows_of(got, "item_id", "rank", "doc_id", "score") == brute(docs, items)
