@@ -12,7 +12,7 @@ from copycensus.llm.common import worker_memory
 WORD_BPE = "word_bpe_49k"
 
 #: Words whose ids a worker remembers. Further words are encoded each time they come, with the same result.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 #: Texts are encoded in pieces of about so many characters, cut before a space.
 PIECE_CHARS = 1 << 20
 
