@@ -286,7 +286,9 @@ def read_bit_files(files: DataFrame, folder: str, task_blocks: int = TASK_BLOCKS
 
     shares = files.filter("n_blocks > 0").selectExpr("file", "start", f"explode(sequence(0L, n_blocks - 1, {task_blocks}L)) AS first")
     schema = "doc_id BIGINT, file STRING, ordinal BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT, ids BINARY"
-    return shares.repartition(F.xxhash64("file", "first")).mapInArrow(read, schema)
+    # The number is set outright: Spark would size tasks by the few bytes of a share and not by what they read.
+    tasks = max(shares.count(), 1)
+    return shares.repartition(tasks, F.xxhash64("file", "first")).mapInArrow(read, schema)
 
 
 def op11_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
