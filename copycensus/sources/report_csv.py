@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .. import workspace
+from ..commits import publish, published
 from ..operators.report import REPORT_COLUMNS
+from .csv_blocks import read_records
 
 # Paths may hold quotes, line breaks and spaces at either end; these options bring them back whole.
 CSV_OPTIONS = {
@@ -18,7 +17,6 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
-# A multi-line CSV file is read by one task, so this bounds the work of that task.
 ROWS_PER_FILE = 1_000_000
 
 
@@ -26,30 +24,30 @@ def write_report(report: DataFrame, path: str) -> dict[str, int]:
     """Write the report in group order and return its ``groups`` and ``rows``.
 
     A report without rows still gets its header. The totals are taken while writing. It takes the
-    place of an earlier report only when it is complete.
+    place of an earlier report by a commit, once it is complete.
     """
-    totals, new = Observation("report"), f"{path}.new-{uuid.uuid4().hex}"
-    (
+    totals = Observation("report")
+    rows = (
         report.select(*REPORT_COLUMNS)
         .orderBy("group_id", F.desc("is_original"), "file_path")
         .observe(totals, F.count_if("is_original").alias("groups"), F.count("*").alias("rows"))
-        .write.option("maxRecordsPerFile", ROWS_PER_FILE)
-        .options(**CSV_OPTIONS)
-        .csv(new)
     )
-    workspace.replace(report.sparkSession, new, path)
+    writer = rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).options(**CSV_OPTIONS)
+    publish(report.sparkSession, writer, "csv", path)
     return totals.get
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Read a report: rows with fewer than six cells are dropped, bad numbers become 0.
 
-    A blank last cell is a cell; its row is no original.
+    A blank last cell is a cell; its row is no original. Files of any size are read block by block, also
+    where paths hold line breaks.
     """
     # Both a blank and a missing cell are null; the reader sets aside the text of rows with too few cells.
     schema = ", ".join(f"{c} STRING" for c in (*REPORT_COLUMNS, "_odd_row"))
-    options = CSV_OPTIONS | {"multiLine": True, "columnNameOfCorruptRecord": "_odd_row"}
-    raw = spark.read.schema(schema).options(**options).csv(path)
+    options = CSV_OPTIONS | {"header": False, "multiLine": True, "columnNameOfCorruptRecord": "_odd_row"}
+    options = {name: str(value).lower() if isinstance(value, bool) else value for name, value in options.items()}
+    raw = read_records(spark, published(spark, path)).select(F.from_csv("record", schema, options).alias("row")).select("row.*")
     whole = F.col("is_original").isNotNull() | F.col("_odd_row").isNull()
 
     def number(name: str):
