@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import workspace
@@ -107,9 +109,57 @@ def _path_lists(members: DataFrame, page_paths: int) -> DataFrame:
     return listed.groupBy("sha256", "page").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("duplicates"))
 
 
-def _review_rows(decided: DataFrame, members: DataFrame, page_paths: int) -> DataFrame:
+def _places(members: DataFrame, hot_paths: int, hot_rows: int) -> DataFrame:
+    """sha256, path and place of each duplicate in the path order of its group, from attached members.
+
+    Members of a group of more than ``hot_rows`` files are dealt by ranges of their paths: Spark samples the
+    paths for the bounds, each task ranks a range, and the counts of the ranges before it are added.
+    ``hot_paths`` says how many files such groups hold.
+    """
+    listed = members.filter(~F.col("is_original")).select("sha256", "path", "file_count")
+    in_group = Window.partitionBy("sha256").orderBy("path")
+    usual = listed.filter(F.col("file_count") <= hot_rows)
+    usual = usual.select("sha256", "path", F.row_number().over(in_group).cast("bigint").alias("place"))
+    if not hot_paths:
+        return usual
+    hot = listed.filter(F.col("file_count") > hot_rows).select("sha256", "path")
+    dealt = hot.repartitionByRange(math.ceil(2 * hot_paths / hot_rows), "sha256", "path")
+    # Stored, as the bounds are sampled anew whenever they are computed.
+    dealt = workspace.snapshot(dealt.select("*", F.spark_partition_id().alias("_range")), "ranges")
+    before = Window.partitionBy("sha256").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("sha256", "_range").agg(F.count("*").alias("_n"))
+    # A row for each range, and one more for each border of a group within a range.
+    offsets = counts.select("sha256", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    in_range = Window.partitionBy("sha256", "_range").orderBy("path")
+    ranked = dealt.withColumn("_rank", F.row_number().over(in_range)).join(F.broadcast(offsets), ["sha256", "_range"])
+    return usual.union(ranked.select("sha256", "path", (F.col("_before") + F.col("_rank")).alias("place")))
+
+
+def review_paths_in_order(
+    groups: DataFrame, members: DataFrame, page_paths: int = PAGE_PATHS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """All duplicates of all groups: sha256, page, duplicates, ``page_paths`` to a page but for the last.
+
+    The pages of a group, one after another, are its duplicates in path order. ``groups`` is read
+    repeatedly, so pass a stored table.
+    """
+    counted = groups.select("sha256", "file_count", "original_path")
+    attached = attach_groups(members.select("sha256", "path"), counted, hot_rows)
+    hot_paths = groups.filter(F.col("file_count") > hot_rows).agg(F.sum("file_count")).first()[0] or 0
+    placed = _places(attached, hot_paths, hot_rows)
+    page = (F.floor((F.col("place") - 1) / F.lit(page_paths)) + 1).cast("bigint")
+    paged = placed.select("sha256", page.alias("page"), "path").groupBy("sha256", "page")
+    return paged.agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("duplicates"))
+
+
+def _review_rows(
+    decided: DataFrame, members: DataFrame | None, page_paths: int, pages: DataFrame | None = None
+) -> DataFrame:
     """One row per group of ``decided`` with its first page of paths."""
-    first = _path_lists(members.filter(_page(page_paths) == 1), page_paths)
+    if pages is None:
+        first = _path_lists(members.filter(_page(page_paths) == 1), page_paths)
+    else:
+        first = pages.filter("page = 1").select("sha256", "page", "duplicates")
     return (
         decided.join(first, "sha256", "left")
         .withColumn("page", F.lit(1).cast("bigint"))
@@ -138,18 +188,26 @@ def review_queue(
     decisions: DataFrame | None = None,
     page_paths: int = PAGE_PATHS,
     hot_rows: int = HOT_ROWS,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with its duplicates and a decision.
 
     ``members`` needs ``sha256`` and ``path``; paths outside the groups are ignored. A group with more than
-    ``page_paths`` duplicates shows one page of them; ``review_paths`` has the others.
+    ``page_paths`` duplicates shows one page of them; ``review_paths`` has the others. ``pages``, the
+    stored result of ``review_paths_in_order``, gives the first page if there is one.
     """
+    if pages is not None:
+        return _review_rows(with_decisions(groups, decisions), None, page_paths, pages)
     counted = groups.select("sha256", "file_count", "original_path")
     attached = attach_groups(members.select("sha256", "path"), counted, hot_rows)
     return _review_rows(with_decisions(groups, decisions), attached, page_paths)
 
 
-def _short_list(top: DataFrame, rows: int, members: DataFrame, page_paths: int, hot_rows: int) -> DataFrame:
+def _short_list(
+    top: DataFrame, rows: int, members: DataFrame, page_paths: int, hot_rows: int, pages: DataFrame | None
+) -> DataFrame:
+    if pages is not None:
+        return _review_rows(top, None, page_paths, pages)
     counted = top.select("sha256", "file_count", "original_path")
     members = members.select("sha256", "path")
     if rows <= BROADCAST_ROWS:
@@ -167,11 +225,12 @@ def high_priority(
     rows: int = HIGH_PRIORITY_ROWS,
     page_paths: int = PAGE_PATHS,
     hot_rows: int = HOT_ROWS,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """The groups that waste most, greatest first; ties stay in group order."""
     order = [F.desc("wasted_bytes"), F.asc("group_id")]
     top = with_decisions(groups.orderBy(*order).limit(rows), decisions)
-    return _short_list(top, rows, members, page_paths, hot_rows).orderBy(*order)
+    return _short_list(top, rows, members, page_paths, hot_rows, pages).orderBy(*order)
 
 
 def suspicious(
@@ -181,10 +240,11 @@ def suspicious(
     rows: int = SUSPICIOUS_ROWS,
     page_paths: int = PAGE_PATHS,
     hot_rows: int = HOT_ROWS,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """The first groups, in group order, whose copies span top-level directories."""
     top = with_decisions(spanning_groups(groups).orderBy("group_id").limit(rows), decisions)
-    return _short_list(top, rows, members, page_paths, hot_rows).orderBy("group_id")
+    return _short_list(top, rows, members, page_paths, hot_rows, pages).orderBy("group_id")
 
 
 def invalid_decisions(decisions: DataFrame) -> DataFrame:
