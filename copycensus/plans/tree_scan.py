@@ -22,6 +22,8 @@ from ..functions.scalars import DEFAULT_EXTENSIONS
 from ..operators import candidates as c
 from ..operators import groups as g
 from ..operators import review as r
+from ..commits import Commits
+from ..operators.bucket_cache import BucketCache
 from ..operators.cache import HashCache, cache_lookup, hash_stats
 from ..operators.report import groups_from_report, invalid_report_groups, report_members, report_rows
 from ..sources import tree
@@ -62,17 +64,20 @@ def candidates_path(out: str, root: str, extensions: Sequence[str]) -> str:
 def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The files to hash, and the walk's counters.
 
-    A finished candidate table of an earlier, broken run spares the walk. Its files may have
-    changed since, so their times are read again before they are compared with the cache.
+    A finished candidate table of an earlier, broken run spares the walk, and finished rounds of a broken
+    walk are not repeated. The files may have changed since, so their times are read again before they are
+    compared with the cache.
     """
     path = candidates_path(out, root, extensions)
     resumed = workspace.is_committed(spark, path) and workspace.is_committed(spark, path + "-stats")
     if not resumed:
-        listed = workspace.snapshot(tree.inventory(spark, root, extensions), "inventory")
+        listed = workspace.snapshot(tree.inventory(spark, root, extensions, keep=path + "-walk"), "inventory")
         files = listed.filter(F.col("error").isNull())
         unreadable = listed.filter(F.col("error").isNotNull()).agg(F.count("*").alias("n")).scalar()
         c.candidate_stats(files).withColumn("unreadable", unreadable).write.mode("overwrite").parquet(path + "-stats")
-        c.size_candidates(files).drop("error").write.mode("overwrite").parquet(path)
+        prune = c.mapped_size_candidates if files.count() >= c.MAP_ROWS else c.size_candidates
+        prune(files).drop("error").write.mode("overwrite").parquet(path)
+        workspace.delete(spark, path + "-walk")
     candidates = spark.read.schema(CANDIDATE_SCHEMA).parquet(path)
     if resumed:
         now = F.coalesce("stat_ms", F.lit(0).cast("bigint"))
@@ -81,7 +86,16 @@ def find_candidates(spark: SparkSession, root: str, out: str, extensions: Sequen
     return candidates, spark.read.schema(WALK_STATS_SCHEMA).parquet(path + "-stats")
 
 
-def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes: int | None = None) -> DataFrame:
+def open_cache(spark: SparkSession, folder: str, buckets: int | None = None) -> HashCache | BucketCache:
+    """The cache below ``folder``: by bucket if it is stored so, or if a number of buckets is given."""
+    if buckets or Commits(spark, folder).number():
+        return BucketCache(spark, folder, buckets)
+    return HashCache(spark, folder)
+
+
+def fingerprint_candidates(
+    candidates: DataFrame, cache: HashCache | BucketCache, commit_bytes: int | None = None
+) -> DataFrame:
     """Digests of ``candidates``: from the cache where path and time match, else by reading files.
 
     Files are read in rounds of about ``commit_bytes``. Each round is committed to the cache on
@@ -101,8 +115,13 @@ def fingerprint_candidates(candidates: DataFrame, cache: HashCache, commit_bytes
     written = []
     for i in range(rounds):
         share = misses.filter(F.pmod(F.xxhash64("path"), F.lit(rounds)) == i)
-        number = cache.append(tree.hash_files(tree.deal_by_bytes(share)))
-        written.append(f"{cache.folder}/seg-{number:08d}")
+        fresh = tree.hash_files(tree.deal_by_bytes(share))
+        if isinstance(cache, BucketCache):
+            written.append(workspace.scratch_path(spark, "hashed"))
+            fresh.hint("rebalance").write.parquet(written[-1])
+            cache.append(spark.read.schema(tree.HASHED_SCHEMA).parquet(written[-1]))
+        else:
+            written.append(f"{cache.folder}/seg-{cache.append(fresh):08d}")
     if written:
         fresh = spark.read.schema(tree.HASHED_SCHEMA).parquet(*written)
         hashed = hashed.union(fresh.withColumn("cache_hit", F.lit(False)))
@@ -118,16 +137,18 @@ def scan_tree(
     commit_bytes: int | None = None,
     high_priority_rows: int = r.HIGH_PRIORITY_ROWS,
     suspicious_rows: int = r.SUSPICIOUS_ROWS,
+    cache_buckets: int | None = None,
 ) -> TreeScan:
     """Find duplicate files below ``root`` and write report and review tables below ``out``.
 
     The scanned files are only read. ``root`` is a folder on a mount or a URI. Every run writes a
     report, with just a header if there are no duplicates. ``decisions`` (sha256, decision, reviewer,
-    notes) carries earlier answers over; it may be the review table of an earlier scan.
+    notes) carries earlier answers over; it may be the review table of an earlier scan. ``cache_buckets`` stores
+    the hash cache by so many buckets from now on, for caches that are too large to shuffle in each run.
     """
     root, out = root_text(root), out.rstrip("/")
     with workspace.scratch_scope(spark, "scan"):
-        _scan(spark, root, out, extensions, commit_bytes)
+        _scan(spark, root, out, extensions, commit_bytes, cache_buckets)
         tables = review_from_report(spark, root, out, decisions, high_priority_rows, suspicious_rows)
     read = spark.read.parquet
     return TreeScan(
@@ -146,11 +167,18 @@ def _publish(table: DataFrame, path: str) -> None:
     workspace.replace(table.sparkSession, new, path)
 
 
-def _scan(spark: SparkSession, root: str, out: str, extensions: Sequence[str], commit_bytes: int | None) -> None:
+def _scan(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    extensions: Sequence[str],
+    commit_bytes: int | None,
+    cache_buckets: int | None,
+) -> None:
     """Everything up to the report."""
     candidates, walk_stats = find_candidates(spark, root, out, extensions)
     walk_stats = workspace.snapshot(walk_stats, "walk-stats")
-    cache = HashCache(spark, f"{out}/hash_cache")
+    cache = open_cache(spark, f"{out}/hash_cache", cache_buckets)
     fingerprints = fingerprint_candidates(candidates, cache, commit_bytes)
     _publish(hash_stats(fingerprints), f"{out}/stats/hash")
     _publish(walk_stats, f"{out}/stats/walk")
@@ -196,14 +224,15 @@ def review_from_report(
     checks["invalid_groups"] = invalid_report_groups(report)
     groups = workspace.snapshot(groups_from_report(report, root), "report-groups")
     members = report_members(report)
+    pages = workspace.snapshot(r.review_paths_in_order(groups, members), "pages")
     today = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M")
     tables = {
         "totals": g.scan_summary(groups),
         "summary": r.review_summary(groups, r.with_decisions(groups, decisions), root, today).orderBy("row_no"),
-        "review": r.review_queue(groups, members, decisions).orderBy("group_id"),
-        "review_paths": r.review_paths(groups, members),
-        "high_priority": r.high_priority(groups, members, decisions, high_priority_rows),
-        "suspicious": r.suspicious(groups, members, decisions, suspicious_rows),
+        "review": r.review_queue(groups, members, decisions, pages=pages).orderBy("group_id"),
+        "review_paths": pages,
+        "high_priority": r.high_priority(groups, members, decisions, high_priority_rows, pages=pages),
+        "suspicious": r.suspicious(groups, members, decisions, suspicious_rows, pages=pages),
     }
     tables |= checks
     # All tables are complete before the first one of the earlier scan is replaced.

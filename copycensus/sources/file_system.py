@@ -35,6 +35,8 @@ def to_text(path: str) -> str:
 
 
 def to_path(text: str) -> str:
+    if "�" not in text:
+        return text
     return _WRITTEN.sub(lambda m: "�" if m[1] == "__" else chr(0xDC00 + int(m[1], 16)), text)
 
 
@@ -54,6 +56,18 @@ class Mount:
     def open(self, path: str):
         return open(to_path(path), "rb", buffering=0)
 
+    def open_regular(self, path: str):
+        """The open file, or None if it is not a regular one. A pipe is not waited for."""
+        number = os.open(to_path(path), os.O_RDONLY | os.O_NONBLOCK | os.O_CLOEXEC)
+        try:
+            if stat.S_ISREG(os.fstat(number).st_mode):
+                return os.fdopen(number, "rb", buffering=0)
+        except BaseException:
+            os.close(number)
+            raise
+        os.close(number)
+        return None
+
 
 class Store:
     """A store behind a URI, such as ``hdfs://`` or ``s3://``; it has no links."""
@@ -86,6 +100,9 @@ class Store:
     def open(self, path: str):
         return self.system.open_input_stream(self._inner(path), compression=None)
 
+    def open_regular(self, path: str):
+        return self.open(path) if self.attributes(path).regular else None
+
 
 class Files:
     """The file system of each path, opened once per task."""

@@ -29,8 +29,8 @@ ROUND_DIRS = 4096
 TASK_BYTES = 1 << 30
 TASK_PATHS = 50_000
 
-# Bytes of a file in memory at a time.
-READ_BYTES = 4 << 20
+# Bytes of a file in memory at a time; they are read into the same place again and again.
+READ_BYTES = 1 << 20
 
 
 def _path_tasks(spark: SparkSession, paths: int) -> int:
@@ -92,7 +92,9 @@ def _lister(budget: int):
     return run
 
 
-def _list_tree(spark: SparkSession, root: str, first_dirs: int, round_dirs: int) -> DataFrame:
+def _list_tree(
+    spark: SparkSession, root: str, first_dirs: int, round_dirs: int, keep: str | None = None
+) -> DataFrame:
     """All entries below ``root`` as kind, path, is_symlink, error.
 
     Tasks walk breadth-first. A task that has opened its share of directories returns the ones
@@ -100,14 +102,18 @@ def _list_tree(spark: SparkSession, root: str, first_dirs: int, round_dirs: int)
     all directories is so shared out instead of walked by one task. A round has as many tasks as it
     takes to open all directories that wait, so none is handed back unopened, and the number of
     rounds follows the depth of the tree and not its size.
+
+    With ``keep``, rounds are stored in that folder. What a finished round there has opened is not opened
+    again: the walk goes on with the directories that the last one left.
     """
     slots = spark.sparkContext.defaultParallelism * 4
     schema = "kind STRING, path STRING, is_symlink BOOLEAN, error STRING"
     frontier = spark.createDataFrame([(root,)], "path STRING").coalesce(1)
     rounds, budget = [], first_dirs
     while True:
-        path = workspace.scratch_path(spark, "walk")
-        frontier.mapInPandas(_lister(budget), schema).write.parquet(path)
+        path = f"{keep}/round-{len(rounds):04d}" if keep else workspace.scratch_path(spark, "walk")
+        if not keep or not workspace.is_committed(spark, path):
+            frontier.mapInPandas(_lister(budget), schema).write.mode("overwrite").parquet(path)
         rounds.append(path)
         left = spark.read.schema(schema).parquet(path).filter("kind = 'dir'").select("path")
         n = left.count()
@@ -125,15 +131,17 @@ def inventory(
     extensions: Sequence[str] = DEFAULT_EXTENSIONS,
     first_dirs: int = FIRST_ROUND_DIRS,
     round_dirs: int = ROUND_DIRS,
+    keep: str | None = None,
 ) -> DataFrame:
     """The supported files below ``root``, in schema INVENTORY_SCHEMA.
 
     Links are not followed while walking: a link counts as a file with its own length. Its time
     is that of its target, which is what hashing will read. What cannot be listed or read becomes
     a row with ``error``. Listing only reads names; the names are then spread evenly, so the file
-    attributes of one huge directory are read by all tasks.
+    attributes of one huge directory are read by all tasks. ``keep`` names a folder for the rounds of the
+    walk, so that one that broke off goes on after its last finished round.
     """
-    listed = _list_tree(spark, root_text(root), first_dirs, round_dirs)
+    listed = _list_tree(spark, root_text(root), first_dirs, round_dirs, keep)
     wanted = supported_files(listed.filter("kind = 'file'"), extensions).select("path", "is_symlink")
     broken = listed.filter("kind = 'error'").select(
         "path",
@@ -232,20 +240,22 @@ def hash_files(files: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        files = Files()
+        files, buffer = Files(), bytearray(READ_BYTES)
+        view = memoryview(buffer)
         for batch in batches:
             digests, errors = [], []
             for path in batch["path"]:
                 found = error = None
                 try:
-                    if files.of(path).attributes(path).regular:
+                    content = files.of(path).open_regular(path)
+                    if content is None:
+                        error = "not a regular file"
+                    else:
                         sha = hashlib.sha256()
-                        with files.of(path).open(path) as content:
-                            while piece := content.read(READ_BYTES):
-                                sha.update(piece)
+                        with content:
+                            while n := content.readinto(buffer):
+                                sha.update(view[:n])
                         found = sha.hexdigest()
-                    else:
-                        error = "not a regular file"
                 except OSError as e:
                     error = e.strerror or str(e)
                 digests.append(found)
