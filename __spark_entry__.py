@@ -20,7 +20,9 @@ from copycensus import operators as op
 from copycensus import sources, workspace
 from copycensus.operators.cache import HashCache
 from copycensus.plans.table_scan import scan_groups, scan_table
+from copycensus.plans.tree_scan import find_candidates, scan_tree
 from copycensus.sources import read_report, table_fingerprints, write_report
+from copycensus.sources.report_csv import CSV_OPTIONS
 from oracle_queries import ORACLE_SQL
 
 ROOT = "/data"
@@ -128,6 +130,15 @@ def q_size_candidates(spark, sf_dir):
     return op.size_candidates(stored_listing(spark, sf_dir)).select("path", "size_bytes", "modified_ms")
 
 
+def q_mapped_size_candidates(spark, sf_dir):
+    return op.mapped_size_candidates(stored_listing(spark, sf_dir)).select("path", "size_bytes", "modified_ms")
+
+
+def q_full_map_size_candidates(spark, sf_dir):
+    """The same with a map so small that all its bits are set."""
+    return op.mapped_size_candidates(stored_listing(spark, sf_dir), bits=4).select("path", "size_bytes", "modified_ms")
+
+
 def q_candidate_snapshot(spark, sf_dir):
     found = op.size_candidates(stored_listing(spark, sf_dir))
     return workspace.snapshot(found, "candidates").select("path")
@@ -176,6 +187,76 @@ def q_file_fingerprints(spark, sf_dir):
     return sources.hash_files(dealt).select(below(root), "size_bytes", "sha256", "error")
 
 
+#: Every so many documents one is a dangling link in the tree, with a target of this length.
+BROKEN_EVERY, BROKEN_LINK = 97, "missing-file"
+
+
+def documents_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files in a tree below the shared folder, with their times; some are dangling links.
+
+    Tasks write them; the shared folder must be on a mount.
+    """
+    root = workspace.scratch_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc_id, path, content, modified_ms in zip(*(c.to_pylist() for c in batch.columns)):
+                place = root + path.removeprefix(ROOT)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                if doc_id % BROKEN_EVERY == 0:
+                    if not os.path.islink(place):
+                        os.symlink(BROKEN_LINK, place)
+                    continue
+                with open(place, "wb") as f:
+                    f.write((content or "").encode())
+                os.utime(place, ns=(0, modified_ms * 1_000_000))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    dealt = files(spark, sf_dir).select("doc_id", "path", "content", "modified_ms")
+    dealt.mapInArrow(write, "n BIGINT").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def tree_scan_of(spark: SparkSession, sf_dir: str, scans: int = 1, **options):
+    """The scan of that tree, after ``scans`` scans with one output folder."""
+    root, out = documents_tree(spark, sf_dir), workspace.scratch_path(spark, "scan-out")
+    if options.pop("resumed", False):
+        find_candidates(spark, root, out, fn.scalars.DEFAULT_EXTENSIONS)
+    for _ in range(scans):
+        found = scan_tree(spark, root, out, **options)
+    return root, out, found
+
+
+def q_tree_report(spark, sf_dir):
+    """The report of a scan of the documents as a file tree, with its paths below the root of the other queries."""
+    root, _, found = tree_scan_of(spark, sf_dir)
+    return found.report.withColumn("file_path", F.replace("file_path", F.lit(root), F.lit(ROOT)))
+
+
+def q_tree_report_resumed(spark, sf_dir):
+    """The same after a run that broke off once its candidates were stored, with the cache by bucket."""
+    root, _, found = tree_scan_of(spark, sf_dir, resumed=True, cache_buckets=4)
+    return found.report.withColumn("file_path", F.replace("file_path", F.lit(root), F.lit(ROOT)))
+
+
+def q_tree_walk_stats(spark, sf_dir):
+    return tree_scan_of(spark, sf_dir)[2].walk_stats
+
+
+def q_tree_hash_stats(spark, sf_dir):
+    """Counters of a first scan: dangling links fail and go no further."""
+    return tree_scan_of(spark, sf_dir)[2].hash_stats
+
+
+def q_tree_hash_stats_again(spark, sf_dir):
+    """Counters of a second scan: all but the failed ones are hits."""
+    return tree_scan_of(spark, sf_dir, scans=2, cache_buckets=4)[2].hash_stats
+
+
 # ---- groups and report -------------------------------------------------------------------------
 
 
@@ -183,6 +264,19 @@ def q_duplicate_groups(spark, sf_dir):
     return scan_groups(files(spark, sf_dir), ROOT)
 
 
+def q_group_index(spark, sf_dir):
+    """Groups kept up to date: an index of earlier files takes in the files that came, changed and went."""
+    known = fingerprints(spark, sf_dir)
+    doc = F.regexp_extract("path", "doc_([0-9]+)", 1).cast("bigint")
+    changed, came = doc % 7 == 3, doc % 5 == 0
+    earlier = known.filter(~came).withColumn("sha256", F.when(changed, F.sha2("path", 256)).otherwise(F.col("sha256")))
+    gone = known.filter(doc % 3 == 0).withColumn("path", F.replace("path", F.lit("/doc_"), F.lit("/a_doc_")))
+    index = op.GroupIndex(spark, workspace.scratch_path(spark, "group-index"), ROOT, buckets=8)
+    index.update(earlier.unionByName(gone))
+    index.update(known.filter(came | changed).unionByName(gone.withColumn("sha256", F.lit(None).cast("string"))))
+    return index.groups()
+
+
 def q_spanning_groups(spark, sf_dir):
     found = op.duplicate_groups(table_fingerprints(files(spark, sf_dir)), ROOT)
     return op.spanning_groups(found).select("sha256", "file_count")
@@ -226,6 +320,28 @@ def q_groups_from_report(spark, sf_dir):
     return op.groups_from_report(read_report(spark, path), ROOT)
 
 
+def odd_path(path: str):
+    """Paths with quotes, a comma and a line break of two characters."""
+    return F.replace(path, F.lit("/doc_"), F.lit('/"doc",\r\n_'))
+
+
+def q_groups_from_one_file(spark, sf_dir):
+    """Groups of a report that another tool wrote: one file, and cells that hold quotes and line breaks."""
+    report = scan_table(files(spark, sf_dir), ROOT).report().withColumn("file_path", odd_path("file_path"))
+    path = workspace.scratch_path(spark, "one-file")
+    report.coalesce(1).write.options(**CSV_OPTIONS).csv(path)
+    return op.groups_from_report(read_report(spark, path), ROOT)
+
+
+def q_report_committed_twice(spark, sf_dir):
+    """What a reader finds after a report has taken the place of another."""
+    report = workspace.snapshot(scan_table(files(spark, sf_dir), ROOT).report(), "report")
+    path = workspace.scratch_path(spark, "report")
+    write_report(report.withColumn("group_id", F.col("group_id") + 1), path)
+    write_report(report, path)
+    return read_report(spark, path)
+
+
 # ---- hash cache --------------------------------------------------------------------------------
 
 
@@ -283,6 +399,36 @@ def q_cache_compacted(spark, sf_dir):
     return cache.load()
 
 
+def bucket_cache(spark: SparkSession, fingerprinted: DataFrame) -> op.BucketCache:
+    """The earlier cache, stored by bucket."""
+    cache = op.BucketCache(spark, workspace.scratch_path(spark, "bucket-cache"), buckets=8, fanout=2)
+    cache.append(earlier_cache(spark, fingerprinted))
+    return cache
+
+
+def q_bucket_cache_lookup(spark, sf_dir):
+    known = fingerprints(spark, sf_dir)
+    candidates = op.size_candidates(known.drop("sha256"))
+    return bucket_cache(spark, known).lookup(candidates).select("path", "cache_hit", "sha256")
+
+
+def q_bucket_cache_upsert(spark, sf_dir):
+    """The cache after the misses were added and its segments merged."""
+    known = fingerprints(spark, sf_dir)
+    cache = bucket_cache(spark, known)
+    fresh = incremental(known, cache.load()).filter("NOT cache_hit").select("path", "modified_ms", "sha256")
+    cache.append(fresh)
+    cache.compact(everything=True)
+    return cache.load()
+
+
+def q_incremental_table(spark, sf_dir):
+    """Digests of all supported files: those of the cache where path and time are known, others from the scan."""
+    cache = bucket_cache(spark, fingerprints(spark, sf_dir)).load()
+    found = op.incremental_fingerprints(files(spark, sf_dir), cache)
+    return found.select("path", "size_bytes", "modified_ms", "sha256", "cache_hit")
+
+
 def q_hash_stats_with_errors(spark, sf_dir):
     """Every fourth file that the cache lacks cannot be read."""
     known = fingerprints(spark, sf_dir)
@@ -327,6 +473,17 @@ def q_review_paths_paged(spark, sf_dir):
     return op.review_paths(scan.groups, scan.fingerprints, page_paths=2, hot_rows=3)
 
 
+def q_review_paths_in_order(spark, sf_dir):
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.review_paths_in_order(scan.groups, scan.fingerprints, page_paths=2)
+
+
+def q_review_paths_in_order_split(spark, sf_dir):
+    """The same with the members of every group of more than two files dealt by ranges of their paths."""
+    scan = scan_table(files(spark, sf_dir), ROOT)
+    return op.review_paths_in_order(scan.groups, scan.fingerprints, page_paths=2, hot_rows=2)
+
+
 def q_high_priority_top(spark, sf_dir):
     scan = scan_table(files(spark, sf_dir), ROOT)
     return op.high_priority(scan.groups, scan.fingerprints, rows=10)

@@ -127,6 +127,20 @@ SELECT sha256, CAST(page AS BIGINT) AS page, string_agg(path, chr(10) ORDER BY p
 FROM copies GROUP BY ALL"""
 
 
+# The documents as a tree in which some files are dangling links; those count by the length of the link.
+def broken(sql: str) -> str:
+    sql = sql.replace("CAST(strlen(text) AS BIGINT) AS size_bytes",
+                      "CASE WHEN doc_id % 97 = 0 THEN 12 ELSE CAST(strlen(text) AS BIGINT) END AS size_bytes")
+    sql = sql.replace("sha256(text) AS sha256", "CASE WHEN doc_id % 97 <> 0 THEN sha256(text) END AS sha256")
+    return sql.replace("FROM candidates c)", "FROM candidates c WHERE sha256 IS NOT NULL)")
+
+
+IN_ORDER = """
+SELECT sha256, CAST((place - 2) // 2 + 1 AS BIGINT) AS page, string_agg(path, chr(10) ORDER BY path) AS duplicates
+FROM members WHERE file_count > 1 AND place > 1 GROUP BY ALL"""
+
+ODD_PATH = """replace(original_path, '/doc_', '/"doc",' || chr(13) || chr(10) || '_')"""
+
 ORACLE_SQL = {
     "inventory_virtual": f"WITH {FILES} SELECT doc_id, path, size_bytes, modified_ms FROM files",
     "supported_files": f"WITH {CANDIDATES} SELECT path, size_bytes FROM supported",
@@ -135,6 +149,8 @@ SELECT path, size_bytes FROM files
 WHERE regexp_matches(lower(split_part(path, '/', -1)), '(\\.vcf|\\.VCF|\\.bam)$')""",
     "size_candidates": f"WITH {CANDIDATES} SELECT path, size_bytes, modified_ms FROM candidates",
     "candidate_snapshot": f"WITH {CANDIDATES} SELECT path FROM candidates",
+    "mapped_size_candidates": f"WITH {CANDIDATES} SELECT path, size_bytes, modified_ms FROM candidates",
+    "full_map_size_candidates": f"WITH {CANDIDATES} SELECT path, size_bytes, modified_ms FROM candidates",
     "size_histogram": f"""WITH {CANDIDATES}
 SELECT size_bytes, count(*) AS file_count FROM supported GROUP BY size_bytes""",
     "candidate_stats": f"""WITH {CANDIDATES}
@@ -152,6 +168,8 @@ FROM files""",
 SELECT path, CASE WHEN doc_id % 5 = 2 THEN 'unknown' ELSE {UTC} END AS last_modified FROM files""",
     "duplicate_groups": f"""WITH {GROUPS}
 SELECT group_id, sha256, file_count, size_bytes, wasted_bytes, original_path, spanning FROM groups""",
+    "group_index": f"""WITH {GROUPS}
+SELECT sha256, file_count, size_bytes, wasted_bytes, original_path, spanning FROM groups""",
     "spanning_groups": f"WITH {GROUPS} SELECT sha256, file_count FROM groups WHERE spanning",
     "scan_summary": f"WITH {GROUPS}, {TOTALS} SELECT * FROM summary",
     "pages_scan_summary": f"""WITH copies AS (
@@ -171,6 +189,30 @@ SELECT g.group_id, m.sha256, m.path AS file_path,
 FROM members m JOIN groups g USING (sha256)""",
     "groups_from_report": f"""WITH {GROUPS}
 SELECT group_id, sha256, file_count, size_bytes, wasted_bytes, original_path, spanning FROM groups""",
+    "groups_from_one_file": f"""WITH {GROUPS}
+SELECT group_id, sha256, file_count, size_bytes, wasted_bytes, {ODD_PATH} AS original_path, spanning FROM groups""",
+    "report_committed_twice": f"WITH {GROUPS} {REPORT}",
+    "tree_report": broken(f"WITH {GROUPS} {REPORT}"),
+    "tree_report_resumed": broken(f"WITH {GROUPS} {REPORT}"),
+    "tree_walk_stats": broken(f"""WITH {CANDIDATES}
+SELECT (SELECT count(*) FROM supported) AS files_found, (SELECT count(*) FROM candidates) AS candidates,
+       (SELECT count(*) FROM supported) - (SELECT count(*) FROM candidates) AS skipped_unique_size,
+       CAST(0 AS BIGINT) AS unreadable"""),
+    "tree_hash_stats": broken(f"""WITH {CANDIDATES}
+SELECT count(sha256) AS hashed, count(*) AS total, CAST(0 AS BIGINT) AS cache_hits,
+       count(*) - count(sha256) AS errors FROM candidates"""),
+    "tree_hash_stats_again": broken(f"""WITH {CANDIDATES}
+SELECT count(sha256) AS hashed, count(*) AS total, count(sha256) AS cache_hits,
+       count(*) - count(sha256) AS errors FROM candidates"""),
+    "bucket_cache_lookup": f"WITH {CACHE} SELECT path, cache_hit, cached AS sha256 FROM found",
+    "bucket_cache_upsert": f"""WITH {CACHE}, entries AS (
+  SELECT path, modified_ms, sha256, 1 AS run_id FROM cache
+  UNION ALL SELECT path, modified_ms, fresh, 2 FROM found WHERE NOT cache_hit)
+SELECT path, modified_ms, sha256, CAST(run_id AS BIGINT) AS run_id FROM entries
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY run_id DESC) = 1""",
+    "incremental_table": f"""WITH {CACHE}
+SELECT s.path, s.size_bytes, s.modified_ms, coalesce(h.sha256, s.sha256) AS sha256, h.sha256 IS NOT NULL AS cache_hit
+FROM supported s LEFT JOIN cache h ON h.path = s.path AND h.modified_ms = s.modified_ms""",
     "hash_cache_size": f"WITH {CACHE} SELECT count(*) AS entries FROM cache",
     "cache_lookup": f"WITH {CACHE} SELECT path, cache_hit, cached AS sha256 FROM found",
     "incremental_misses": f"WITH {CACHE} SELECT path, size_bytes, modified_ms FROM found WHERE NOT cache_hit",
@@ -191,6 +233,8 @@ top AS (SELECT * FROM groups ORDER BY wasted_bytes DESC, group_id LIMIT 500), {r
 top AS (SELECT * FROM groups WHERE spanning ORDER BY group_id LIMIT 2000), {review('top', False)}""",
     "review_paths": f"WITH {GROUPS}, {paths(10000)}",
     "review_paths_paged": f"WITH {GROUPS}, {paths(2)}",
+    "review_paths_in_order": f"WITH {GROUPS} {IN_ORDER}",
+    "review_paths_in_order_split": f"WITH {GROUPS} {IN_ORDER}",
     "high_priority_top": f"""WITH {GROUPS},
 top AS (SELECT * FROM groups ORDER BY wasted_bytes DESC, group_id LIMIT 10), {review('top', False)}""",
     "high_priority_decided": f"""WITH {GROUPS},
