@@ -20,8 +20,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import workspace
-
 PART_SCHEMA = "file STRING, block BIGINT, place INT, header BOOLEAN, record BINARY"
 
 # Places of the parts of a record within a block: what closes a record comes before what opens the next one.
@@ -125,30 +123,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
     last = F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()
-    unpaired = last & ((F.col("quotes") + inside.cast("int")) % 2 == 1)
-    blocks = counted.select("file", "block", inside.alias("inside"), unpaired.alias("unpaired"))
-    blocks = workspace.snapshot(blocks, "csv-blocks")
-    found = blocks.agg(
-        F.count_if("inside").alias("inside"), F.min(F.when(F.col("unpaired"), F.col("file"))).alias("unpaired")
-    ).first()
-    if found.unpaired is not None:
-        raise ValueError(f"the quotes in {found.unpaired} do not pair up")
-
-    def parts(of: DataFrame) -> DataFrame:
-        # A row for each block: bytes of the files by the size of a block.
-        placed = lines.join(F.broadcast(of), ["file", "block"])
-        binary = F.col("line").cast("binary").alias("line")
-        return placed.select("file", "block", "inside", binary).mapInArrow(_records, PART_SCHEMA)
+    ends_inside = ((F.col("quotes") + inside.cast("int")) % 2 == 1).alias("ends_inside")
+    blocks = counted.select("file", "block", inside.alias("inside"), ends_inside, last.alias("last"))
+    # At most the blocks at whose borders a cell is open; the report's other blocks are of no concern.
+    cut = blocks.filter("inside OR ends_inside").collect()
+    for r in cut:
+        if r.last and r.ends_inside:
+            raise ValueError(f"the quotes in {r.file} do not pair up")
+    schema = "file STRING, block BIGINT, inside BOOLEAN"
+    known = F.broadcast(spark.createDataFrame([(r.file, r.block, r.inside) for r in cut], schema))
+    binary = F.col("line").cast("binary").alias("line")
 
     # Spark keeps the rows of a scan in order through a broadcast join.
-    whole = parts(blocks.select("file", "block", "inside"))
+    placed = lines.join(known, ["file", "block"], "left") if cut else lines.withColumn("inside", F.lit(False))
+    placed = placed.select("file", "block", F.coalesce("inside", F.lit(False)).alias("inside"), binary)
+    whole = placed.mapInArrow(_records, PART_SCHEMA)
     records = whole.filter("place IS NULL AND NOT coalesce(header, false)").select("record")
-    if found.inside:
+    if cut:
         # Only blocks with a part of a record are read again.
-        by_block = Window.partitionBy("file").orderBy("block")
-        cut = blocks.withColumn("ends_inside", F.coalesce(F.lead("inside").over(by_block), F.lit(False)))
-        cut = cut.filter("inside OR ends_inside").select("file", "block", "inside")
-        pieces = parts(cut).filter("place IS NOT NULL")
+        again = lines.join(known, ["file", "block"]).select("file", "block", "inside", binary)
+        pieces = again.mapInArrow(_records, PART_SCHEMA).filter("place IS NOT NULL")
         in_order = Window.partitionBy("file").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, 0)
         pieces = pieces.withColumn("number", F.sum((F.col("place") == OPENS).cast("int")).over(in_order))
         joined = pieces.groupBy("file", "number").agg(

@@ -105,6 +105,19 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, path: str, new: str) -> None:
+    """Give a file a new name that nothing has."""
+    fs, p = _file_system(spark, path)
+    if not fs.rename(p, _file_system(spark, new)[1]):
+        raise OSError(f"cannot move {path} to {new}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, p = _file_system(spark, path)
+    fs.create(p, True).close()
+
+
 def replace(spark: SparkSession, new: str, path: str) -> None:
     """Put the finished folder ``new`` in the place of ``path``; what was there goes last."""
     fs, p = _file_system(spark, path)
