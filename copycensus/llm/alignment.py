@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,18 @@ from copycensus.llm.word_tokens import printable_bytes
 
 PIECES = "piece_bpe_32k"
 #: Pairs of ids that are broadcast at most.
-BROADCAST_PAIRS = 1_000_000
-#: Words and windows that a worker remembers; others are encoded or aligned whenever they come.
-REMEMBERED = 100_000
+BROADCAST_pairS = 1_000_000
+#: Windows that a worker remembers; others are aligned whenever they come.
+REMEMBERED = 250_000
 PART_CHARS = 1 << 20
+#: Characters of documents that are encoded and aligned together.
+SHARE_CHARS = 1 << 21
 #: Windows put together at a time.
 SLICE = 1 << 17
 
 _SPACE = "▁"
-_WORDS = re.compile(" +[^ ]*")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_BETWEEN = b"\xff\xff\xff\xff"
+_OF_B = 1 << 31
 
 
 def _parts(text: str, chars: int) -> Iterator[str]:
@@ -60,6 +62,13 @@ def _parts(text: str, chars: int) -> Iterator[str]:
         start = stop
 
 
+def _taken(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of several ranges one after another, and the number of the range of each."""
+    sizes = last - first
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    return values[np.arange(len(number)) + (first - (np.cumsum(sizes) - sizes))[number]], number
+
+
 class Aligner:
     """Both tokenizers of a worker, and what it remembers."""
 
@@ -88,106 +97,119 @@ class Aligner:
             bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace(_SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
-        # If no piece has a space after another character, words can be encoded one by one.
-        self.by_words = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-        self.lengths_a = np.array([*map(len, self.bytes_a)])
-        self.lengths_b = np.array([*map(len, self.bytes_b)])
+        # Texts can be cut before a space if no piece has one after another character.
+        self.by_parts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        # Ids as text with what may follow: another token, those of B, another group, or the end of a window.
+        ids = range(max(len(self.bytes_a), len(pieces)))
+        self.shown = np.array([[f"{i}{after}" for i in ids] for after in (",", "|", ";", "\n")], object)
+        self.lengths_a, self.lengths_b = np.array([*map(len, self.bytes_a)]), np.array([*map(len, self.bytes_b)])
         self.spaced_a = np.array([t.startswith(b" ") for t in self.bytes_a])
         self.spaced_b = np.array([t.startswith(b" ") for t in self.bytes_b])
-        self.words: dict[str, bytes | None] = {}
-        if self.by_words:  # the library adds no space to an empty text
-            self.words[" "] = np.array([self.library.piece_to_id(_SPACE)], "<u4").tobytes()
         self.windows: dict[bytes, tuple[str, bytes]] = {}
 
-    def _checked(self, text: str, ids: list[int]) -> bytes | None:
-        """The ids if they give back the text."""
-        if b"".join(map(self.bytes_b.__getitem__, ids)) != text.encode():
-            return None
-        return np.array(ids, "<u4").tobytes()
-
-    def _ids_b(self, part: str) -> bytes | None:
-        """The ids of B for a part that begins with the space that the library adds."""
-        if not self.by_words:
-            return self._checked(part, self.library.encode(part[1:]))
-        words = _WORDS.findall(part)
-        new = [*{w for w in words if w not in self.words}]
-        if new:
-            found = dict(zip(new, map(self._checked, new, self.library.encode([w[1:] for w in new]))))
-            ids = [found[w] if w in found else self.words[w] for w in words]
-            for w in new[: max(0, self.remembered - len(self.words))]:
-                self.words[w] = found[w]
-        else:
-            ids = [*map(self.words.__getitem__, words)]
-        return None if None in ids else b"".join(ids)
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of A and B; none if either does not give back the bytes."""
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of A and B of each text; none if either does not give back the bytes.
+
+        One tokenizer after the other, as each needs the processor's caches for itself.
+        """
+        parts = [(k, p) for k, t in enumerate(texts) if t for p in _parts(" " + t, self.part_chars if self.by_parts else len(t))]
+        all_a = [self.encode_a(p) for _, p in parts]
+        all_b = self.library.encode([p[1:] for _, p in parts], num_threads=1) if parts else []
+        found: list[tuple[list, list]] = [([], []) for _ in texts]
+        broken = set()
+        for (k, part), a, b in zip(parts, all_a, all_b):
+            data = part.encode()
+            if any(b"".join(map(of.__getitem__, ids)) != data for of, ids in ((self.bytes_b, b), (self.bytes_a, a))):
+                broken.add(k)
+            # An array takes a list in half the time that numpy needs.
+            found[k][0].append(np.frombuffer(array("I", a), "<u4"))
+            found[k][1].append(np.frombuffer(array("I", b), "<u4"))
         none = np.empty(0, "<u4")
-        all_a, all_b = [none], [none]
-        for part in _parts(" " + text, self.part_chars) if text else ():
-            a, b = self.encode_a(part), self._ids_b(part)
-            if b is None or b"".join(map(self.bytes_a.__getitem__, a)) != part.encode():
-                return none, none
-            all_a.append(np.array(a, "<u4"))
-            all_b.append(np.frombuffer(b, "<u4"))
-        return np.concatenate(all_a), np.concatenate(all_b)
-
-    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Where windows begin, and the ends, as places in ``a`` and in ``b``."""
+        return [(none, none) if k in broken or not x else (np.concatenate(x), np.concatenate(y)) for k, (x, y) in enumerate(found)]
+
+    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows begin, and the ends, as places in ``a`` and in ``b``: the ids of one document, or of
+        several one after another, as each begins with a space."""
         starts_a = np.cumsum(self.lengths_a[a]) - self.lengths_a[a]
         starts_b = np.cumsum(self.lengths_b[b]) - self.lengths_b[b]
         # Tokens before a space-marked one at the same byte of both end there together.
-        shared = np.intersect1d(starts_a[self.spaced_a[a]], starts_b[self.spaced_b[b]], assume_unique=True)
-        shared = shared[shared > 0]
+        marks_a, marks_b = starts_a[self.spaced_a[a]], starts_b[self.spaced_b[b]]
+        place = np.minimum(np.searchsorted(marks_b, marks_a), len(marks_b) - 1)
+        shared = marks_a[marks_b[place] == marks_a]
         at_a, at_b = np.searchsorted(starts_a, shared), np.searchsorted(starts_b, shared)
-        return [0, *at_a.tolist(), len(a)], [0, *at_b.tolist(), len(b)]
-
-    def _align(self, window: bytes, cut: int) -> tuple[str, bytes]:
-        """Groups of a window as text, and its links as pairs of ids."""
-        a = np.frombuffer(window, "<u4", cut // 4).tolist()
-        b = np.frombuffer(window, "<u4", offset=cut + 4).tolist()
-        groups, links, i, j, left, right, first_a, first_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if left <= right:
-                left += len(self.bytes_a[a[i]])
-                i += 1
-            else:
-                right += len(self.bytes_b[b[j]])
-                j += 1
-            if left == right:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links += (a[i - 1], b[j - 1])
-                first_a, first_b = i, j
-        return ";".join(groups), np.array(links, "<u4").tobytes()
-
-    def _window(self, window: bytes, cut: int) -> tuple[str, bytes]:
-        found = self.windows.get(window)
-        if found is None:
-            found = self._align(window, cut)
-            if len(self.windows) < self.remembered:
-                self.windows[window] = found
-        return found
-
-    def align(self, text: str) -> tuple[int, int, str, np.ndarray]:
-        """Number of tokens of A and of B, SHA-256 of the groups, and the links as rows of two ids."""
+        return np.append(at_a, len(a)), np.append(at_b, len(b))
+
+    def _align(self, a: np.ndarray, b: np.ndarray, at: list[np.ndarray]) -> list[tuple[str, bytes]]:
+        """Groups as text, and links as pairs of ids, of windows given by their first and last places in ``a`` and
+        ``b``."""
+        a, window = _taken(a, at[0], at[1])
+        b, _ = _taken(b, at[2], at[3])
+        # A window has as many bytes of A as of B, so ends can be compared over all windows at once.
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        last_a = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a
+        last_b = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        shown_a = self.shown[np.where(last_a, 1, 0), a]
+        closes = np.append(window[last_a][1:] != window[last_a][:-1], True)
+        shown_b = self.shown[np.where(last_b, 2, 0), b]
+        shown_b[np.flatnonzero(last_b)[closes]] = self.shown[3, b[last_b][closes]]
+        # Of each group the tokens of A come before those of B.
+        shown = np.empty(len(a) + len(b), object)
+        shown[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = shown_a
+        shown[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = shown_b
+        texts = "".join(shown.tolist()).split("\n")
+        links = np.column_stack([a[last_a], b[last_b]]).astype("<u4").tobytes()
+        ends = (8 * np.cumsum(np.bincount(window[last_a], minlength=len(at[0])))).tolist()
+        return [(t, links[low:high]) for t, low, high in zip(texts, [0, *ends], ends)]
+
+    def _windows(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[tuple, tuple]:
+        """Texts and links of the windows between the given places. A window's key is its ids."""
+        # Those of B have their highest bit set, which keeps the two apart.
+        a4, b4 = a[at_a[0] : at_a[-1]].tobytes(), (b[at_b[0] : at_b[-1]] | np.uint32(_OF_B)).tobytes()
+        ends_a, ends_b = (4 * (at_a - at_a[0])).tolist(), (4 * (at_b - at_b[0])).tolist()
+        keys = [a4[w:x] + b4[y:z] for w, x, y, z in zip(ends_a, ends_a[1:], ends_b, ends_b[1:])]
+        found = [*map(self.windows.get, keys)]
+        new: dict[bytes, list[int]] = {}
+        for k in [k for k, known in enumerate(found) if known is None]:
+            new.setdefault(keys[k], []).append(k)
+        if new:
+            first = np.array([places[0] for places in new.values()])
+            aligned = self._align(a, b, [at_a[first], at_a[first + 1], at_b[first], at_b[first + 1]])
+            for (key, places), one in zip(new.items(), aligned):
+                for k in places:
+                    found[k] = one
+                if len(self.windows) < self.remembered:
+                    self.windows[key] = one
+        return tuple(zip(*found))
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray]]:
+        """For each text the number of tokens of A and of B, SHA-256 of the groups, and the links as rows of two ids."""
         import hashlib
 
-        a, b = self.tokens(text)
-        if not len(a):
-            return 0, 0, "", np.empty((0, 2), "<u4")
+        found = [(0, 0, "", np.empty((0, 2), "<u4"))] * len(texts)
+        tokens = self.tokens(texts)
+        docs = [k for k, (a, _) in enumerate(tokens) if len(a)]
+        if not docs:
+            return found
+        a, b = (np.concatenate([tokens[k][side] for k in docs]) for side in (0, 1))
         at_a, at_b = self.anchors(a, b)
-        a4, b4, sha, links = a.tobytes(), b.tobytes(), hashlib.sha256(), []
+        # The windows of each document; its first token of A begins one.
+        begins = np.searchsorted(at_a, np.cumsum([0, *(len(tokens[k][0]) for k in docs)])).tolist()
+        shas, links, d = [hashlib.sha256() for _ in docs], [[] for _ in docs], 0
         for low in range(0, len(at_a) - 1, SLICE):
-            ends_a, ends_b = at_a[low : low + SLICE + 1], at_b[low : low + SLICE + 1]
-            cuts = [4 * (y - x) for x, y in zip(ends_a, ends_a[1:])]
-            keys = [
-                a4[4 * w : 4 * x] + _BETWEEN + b4[4 * y : 4 * z]
-                for w, x, y, z in zip(ends_a, ends_a[1:], ends_b, ends_b[1:])
-            ]
-            found = [self._window(k, c) if v is None else v for v, k, c in zip(map(self.windows.get, keys), keys, cuts)]
-            sha.update(((";" if low else "") + ";".join([v[0] for v in found])).encode())
-            links += [v[1] for v in found]
-        return len(a), len(b), sha.hexdigest(), np.frombuffer(b"".join(links), "<u4").reshape(-1, 2)
+            high = min(low + SLICE, len(at_a) - 1)
+            shown, pairs = self._windows(a, b, at_a[low : high + 1], at_b[low : high + 1])
+            while d < len(docs) and begins[d] < high:
+                first, last = max(low, begins[d]), min(high, begins[d + 1])
+                shas[d].update(((";" if first > begins[d] else "") + ";".join(shown[first - low : last - low])).encode())
+                links[d].append(b"".join(pairs[first - low : last - low]))
+                if begins[d + 1] > high:
+                    break
+                d += 1
+        for k, sha, of in zip(docs, shas, links):
+            pairs = np.frombuffer(b"".join(of), "<u4").reshape(-1, 2)
+            found[k] = (len(tokens[k][0]), len(tokens[k][1]), sha.hexdigest(), pairs)
+        return found
 
 
 def aligner(folder: str | None = None) -> Aligner:
@@ -197,6 +219,19 @@ def aligner(folder: str | None = None) -> Aligner:
     return memory[key]
 
 
+def _shares(batch: pa.RecordBatch, chars: int) -> Iterator[list[list]]:
+    """The rows of a batch in shares of about so many characters, by column."""
+    share, held = [], 0
+    for row in zip(*batch.columns):
+        share.append([x.as_py() for x in row])
+        held += len(share[-1][-1])
+        if held >= chars:
+            yield [*map(list, zip(*share))]
+            share, held = [], 0
+    if share:
+        yield [*map(list, zip(*share))]
+
+
 def align_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """row (a number), doc_id, n_a, n_b, n_groups, groups_sha256, and the different links: a, b, times."""
 
@@ -207,14 +242,14 @@ def align_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
         kinds += [(name, pa.list_(pa.int32())) for name in ("a", "b")] + [("times", pa.list_(pa.int64()))]
         schema = pa.schema(kinds)
         for batch in batches:
-            rows = []
-            for row, doc_id, text in zip(*batch.columns):
-                n_a, n_b, sha, links = both.align(text.as_py())
-                pairs, times = np.unique(links[:, 0].astype(np.int64) << 32 | links[:, 1], return_counts=True)
-                different = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)
-                rows.append((row.as_py(), doc_id.as_py(), n_a, n_b, len(links), sha, *different))
-            columns = [*zip(*rows)] or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for rows, ids, texts in _shares(batch, SHARE_CHARS):
+                found = []
+                for row, doc_id, (n_a, n_b, sha, links) in zip(rows, ids, both.align(texts)):
+                    pairs, times = np.unique(links[:, 0].astype(np.int64) << 32 | links[:, 1], return_counts=True)
+                    different = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)
+                    found.append((row, doc_id, n_a, n_b, len(links), sha, *different))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*found), schema)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), text_or_empty("text")
@@ -237,7 +272,7 @@ def _links(aligned: DataFrame) -> DataFrame:
     return each.select("row", "link.a", "link.b", "link.times")
 
 
-def weigh_links(aligned: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def weigh_links(aligned: DataFrame, counts: DataFrame, broadcast_pairs: int = BROADCAST_pairS) -> DataFrame:
     """row, n_best, count_sum of each document with links. ``aligned`` and ``counts`` are read repeatedly, so
     pass stored tables.
 
@@ -260,7 +295,7 @@ def weigh_links(aligned: DataFrame, counts: DataFrame, broadcast_pairs: int = BR
     )
 
 
-def align_tokenizers(docs: DataFrame, vocabulary: str | None = None, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def align_tokenizers(docs: DataFrame, vocabulary: str | None = None, broadcast_pairs: int = BROADCAST_pairS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     aligned = workspace.snapshot(align_documents(docs, vocabulary), "aligned")
     counts = workspace.snapshot(link_counts(aligned), "pairs")

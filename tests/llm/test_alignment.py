@@ -92,34 +92,34 @@ def odd_texts(n, seed=4):
 def test_tokens_are_those_of_the_libraries(libraries, part_chars, remembered, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE", 3)
     both = alignment.Aligner(part_chars=part_chars, remembered=remembered)
-    assert both.by_words
-    for text in odd_texts(2500):
-        a, b = both.tokens(text)
+    assert both.by_parts
+    texts = odd_texts(2500)
+    for text, (a, b), found in zip(texts, both.tokens(texts), both.align(texts)):
         want = groups_of(libraries, text)
         if want is None:
             assert not len(a) and not len(b) and "▁" in text, repr(text)
             continue
         assert a.tolist() == [i for g, _ in want for i in g] and b.tolist() == [i for _, g in want for i in g], repr(text)
-        n_a, n_b, sha, links = both.align(text)
+        n_a, n_b, sha, links = found
         shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
         assert sha == hashlib.sha256(shown.encode()).hexdigest(), repr(text)
         assert links.tolist() == [[x[-1], y[-1]] for x, y in want]
-    assert len(both.words) <= remembered + 1 and len(both.windows) <= remembered
+    assert len(both.windows) <= remembered
 
 
 def test_whole_encoding_where_pieces_cross_words(libraries):
-    both = alignment.Aligner()
-    both.by_words = False
+    both = alignment.Aligner(part_chars=1)
+    both.by_parts = False
     for text in odd_texts(300, 9):
         want = groups_of(libraries, text)
-        assert both.tokens(text)[1].tolist() == ([i for _, g in want for i in g] if want else [])
+        assert both.tokens([text])[0][1].tolist() == ([i for _, g in want for i in g] if want else [])
 
 
 def test_windows_are_remembered_by_ids():
     both = alignment.Aligner()
-    both.align("one two three one two three")
+    both.align(["one two three one two three"])
     assert len(both.windows) == 3
-    assert both.anchors(*both.tokens("one two"))[0] == [0, 1, 2]
+    assert both.anchors(*both.tokens(["one two"])[0])[0].tolist() == [0, 1, 2]
 
 
 @pytest.mark.parametrize("broadcast_pairs", [1_000_000, 40, 1])
