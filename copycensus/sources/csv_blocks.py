@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART_SCHEMA = "file STRING, block BIGINT, place INT, header BOOLEAN, record BINARY"
@@ -106,6 +106,26 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batch_of([*current.end()])
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block and line of the files at ``path``, in order within a block."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"),
+    )
+
+
+def _quotes() -> Column:
+    return F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
+
+
+def lines_are_records(spark: SparkSession, path: str) -> bool:
+    """Whether every line is a record: no cell is open at the end of one, and no carriage return is anywhere. Then
+    Spark's own reader cuts files into blocks."""
+    odd = (_quotes() % 2 == 1) | F.contains("line", F.lit("\r"))
+    return not _lines(spark, path).agg(F.max(odd)).first()[0]
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One column ``record``: the records of the CSV files at ``path``, without the first one of each file.
 
@@ -113,13 +133,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     up in a file are an error, as nothing could tell where its records end. ``spark.sql.files.maxPartitionBytes``
     sets the size of a block.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").alias("line"),
-    )
-    quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"'), F.lit("")))
-    counted = lines.groupBy("file", "block").agg(F.sum(quotes).alias("quotes"))
+    lines = _lines(spark, path)
+    counted = lines.groupBy("file", "block").agg(F.sum(_quotes()).alias("quotes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
     last = F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()

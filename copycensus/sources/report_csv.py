@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..commits import publish, published
 from ..operators.report import REPORT_COLUMNS
-from .csv_blocks import read_records
+from .csv_blocks import lines_are_records, read_records
 
 # Paths may hold quotes, line breaks and spaces at either end; these options bring them back whole.
 CSV_OPTIONS = {
@@ -45,9 +45,13 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     """
     # Both a blank and a missing cell are null; the reader sets aside the text of rows with too few cells.
     schema = ", ".join(f"{c} STRING" for c in (*REPORT_COLUMNS, "_odd_row"))
-    options = CSV_OPTIONS | {"header": False, "multiLine": True, "columnNameOfCorruptRecord": "_odd_row"}
-    options = {name: str(value).lower() if isinstance(value, bool) else value for name, value in options.items()}
-    raw = read_records(spark, published(spark, path)).select(F.from_csv("record", schema, options).alias("row")).select("row.*")
+    path, options = published(spark, path), CSV_OPTIONS | {"columnNameOfCorruptRecord": "_odd_row"}
+    if lines_are_records(spark, path):
+        raw = spark.read.schema(schema).options(**options).csv(path)
+    else:
+        options |= {"header": False, "multiLine": True}
+        options = {name: str(value).lower() if isinstance(value, bool) else value for name, value in options.items()}
+        raw = read_records(spark, path).select(F.from_csv("record", schema, options).alias("row")).select("row.*")
     whole = F.col("is_original").isNotNull() | F.col("_odd_row").isNull()
 
     def number(name: str):
