@@ -33,8 +33,7 @@ def sizes(n, seed):
     return [(f"/f{k}", rng.choice(kinds) if k % 3 else 10**13 + k, k) for k in range(n)] + [("/none", None, 0), ("/none2", None, 0)]
 
 
-@pytest.mark.parametrize("bits", [1, 4, 9, 15, 18, None])
-@pytest.mark.parametrize("n", [0, 1, 400])
+@pytest.mark.parametrize("n, bits", [(0, None), (1, 4), (400, 1), (400, 9), (400, 15), (400, None)])
 def test_candidates_do_not_depend_on_the_map(spark, bits, n):
     files = spark.createDataFrame(sizes(n, n), LISTING).repartition(5)
     files = workspace.snapshot(files, "files")
@@ -148,8 +147,7 @@ def test_empty_tables(spark):
 # ---- pages in path order -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot_rows", [1, 7, 10**6])
-@pytest.mark.parametrize("page_paths", [1, 2, 10, 10**4])
+@pytest.mark.parametrize("page_paths, hot_rows", [(1, 1), (2, 7), (10, 7), (2, 10**6), (10**4, 1)])
 def test_pages_are_the_sorted_paths(spark, hot_rows, page_paths):
     rng = random.Random(hot_rows + page_paths)
     rows = [(f"/{'abé Z'[rng.randrange(5)]}{k}.vcf", 5, k, f"{(0 if k % 3 == 0 else rng.randrange(1, 40)):064x}") for k in range(300)]
