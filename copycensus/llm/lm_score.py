@@ -30,7 +30,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def losses(docs: DataFrame, target: DataFrame) -> DataFrame:
     """The losses of all n-grams of the documents under the models of the target's ids (a column
-    doc_id) and of all documents: lang, key, target, background."""
+    doc_id) and of all documents: lang, ctx, token, target, background."""
     texts = _texts(docs)
     ids = target.select(F.col("doc_id").cast("bigint")).distinct()
     # Only texts that may belong to the target are shuffled, and they are at any size: the target's ids are

@@ -144,3 +144,25 @@ def test_scores_without_target_and_documents(spark):
     none = spark.createDataFrame([], "doc_id BIGINT")
     assert rows_of(lm_score.cross_entropy_difference(documents(spark, ["a b"]), none), "doc_id", "score") == [(0, None)]
     assert lm_score.cross_entropy_difference(documents(spark, []), none).count() == 0
+
+
+@pytest.mark.parametrize("texts", [["한국어 문장", "한국어", "a"], ["🙂🙂 ab", "ab", "\U0010ffff"], ["", "abab"]])
+def test_each_code_point_is_a_token(texts):
+    ctx, token, n = ngrams.distinct_grams([ngrams._codes(t) for t in texts])
+    got = {}
+    for x, last, c in zip(ctx.tolist(), token.tolist(), n.tolist(), strict=True):
+        before = [x >> ngrams.BITS * k & (1 << ngrams.BITS) - 1 for k in range(ORDER - 2, -1, -1)]
+        got["".join(map(chr, [*before, last]))] = c
+    assert got == Counter(g for t in texts for g in grams(t))
+
+
+def test_shuffled_hangul_is_rejected(spark):
+    rng = random.Random(4)
+    words = ["한국어", "문장은", "좋은", "사람이", "오늘", "학교에서", "공부를", "했다", "그리고", "친구와", "이야기를", "나누었다"]
+    good = [" ".join(rng.choices(words, k=40)) for _ in range(300)]
+    bad = ["".join(rng.sample(t, len(t))) for t in good[:60]]
+    docs = documents(spark, good + bad, langs=["ko"] * 360)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(250)], "doc_id BIGINT, quality INT, toxic INT")
+    got = {r.doc_id: r.accepted for r in quality.quality(docs, labels).collect()}
+    assert sum(got[k] for k in range(250, 300)) >= 48
+    assert not any(got[k] for k in range(300, 360))
