@@ -3,15 +3,22 @@
 A page is cut into blocks at block-level tags. The first pass decides each block by itself, from its
 share of stop words, its length and its share of link text, and from where it stands: menus, page
 headers and footers, side bars, notices, adverts, forms and reader comments are told by their element,
-role, class or id. A class or id says so only if all its words do: ``no-sidebar`` or ``margin-top`` do not.
-It never puts the page's body or main element aside, and an article only beside another one. The second pass gives each undecided, mostly short block the label of its nearest
-decided neighbours. Inside an article the edges of the article count as decided, too, so its headings,
-short paragraphs and lists stay; on a page with an article, what lies outside is not main text.
+role, class or id, hidden parts by their attributes. A class or id says so if one of its words does and
+all others do too or are neutral: ``comment-list`` and ``adContainer`` do, ``no-sidebar`` and ``ad-free`` do not.
+It never puts the page's body or main element aside, and an article only beside another one. The second
+pass gives each undecided, mostly short block the label of its nearest decided neighbours. Inside an
+article the edges of the article count as decided, too, so its headings, short paragraphs and lists stay.
+On a page whose articles hold more text than the good blocks outside, the latter are not main text.
+
+Stop words are listed for four languages. On a page in another language, or with hardly any of its
+language's, they are the page's own most frequent short words, and single characters in scripts that
+write no spaces.
 
 The text of a block has its character references decoded and each run of white space turned into one
 space; blocks are joined by one space in page order. Nothing is cut or capped.
 
-Defined results: null, empty and markup-only pages have an empty text. Unclosed elements end with
+Defined results: null, empty and markup-only pages have an empty text. Pages and attribute values may
+be of any length; a tag is scanned in linear time. Equal pages have equal texts. Unclosed elements end with
 their parents, an unclosed comment, script or style at the end of the page. Repeated rows come back
 repeated. An empty table gives no rows. Further columns are ignored.
 """
@@ -51,7 +58,7 @@ MUCH_LINK = 0.2
 MUCH_LINK_IN_ARTICLE = 0.5
 
 _ASIDE_TAGS = frozenset("nav footer aside form button select textarea dialog fieldset menu label option".split())
-_SKIPPED = "script|style|title|noscript|template|iframe|object|svg|canvas|audio|video|math|xmp"
+_SKIPPED = "script|style|title|noscript|template|iframe|object|svg|canvas|audio|video|annotation-xml|annotation|xmp"
 _MAIN_TAGS = frozenset(("article", "main"))
 _TRACKED = _ASIDE_TAGS | _MAIN_TAGS | frozenset("header div section ul ol dl table span a center body".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -68,21 +75,40 @@ _ASIDE_NAMES = frozenset(
     "recommended newsletter subscribe subscription signup login search pagination pager widget toolbar masthead topbar "
     "copyright disclaimer".split()
 )
+# Words that say nothing by themselves beside one of these.
+_NEUTRAL_NAMES = frozenset(
+    "area bar block box btn button buttons container content group holder icons inner label link links "
+    "list module outer panel post posts section slot thread title unit wrap wrapper zone".split()
+)
+_JOINED_NAMES = frozenset("commentlist commentform commentarea adbox adsbygoogle sharebar".split())
 _HEADER_NAMES = frozenset(("header", "head", "top"))
+# Looked at for their attributes; kept open only where they stand aside.
+_INLINE_TAGS = frozenset(("span", "a"))  # what stands aside in one is left out of its block
+_SELF_ENDING = frozenset("p li td th tr dd dt".split())
+_PLAIN_TAGS = frozenset("p li figure figcaption td th tr blockquote dd dt pre details address".split())
 
+# A quote opens a value only after an equals sign, and the value ends at the next such quote.
+_REST = r"""(?>[^<>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+"""
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{_SKIPPED})\b[^<>]*+>.*?(?:</(?P=raw)\b[^<>]*+>|\Z)"
-    rf"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)"
-    rf"(?P<rest>(?>[^<>\"']++|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}'|[\"'])*+)>"
+    rf"|<svg(?=[\s/]){_REST}(?<=/)>"
+    rf"|<(?P<raw>{_SKIPPED})(?=[\s/>]){_REST}>.*?(?:</(?P=raw)(?=[\s/>])[^<>]*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<rest>{_REST})>"
     rf"|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""")
 _LANGUAGE = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([a-z]+)""", re.I)
 _NOT_LETTERS = re.compile(r"[^a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+_WORD_OR_CHARACTER = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W\d_])+")
+FEW_OF_LANGUAGE = 0.1  # a page with a smaller share of its language's stop words gets its own
+OWN_WORDS, OWN_LETTERS = 50, 4
 
+NOWHERE = (False, False, False, 0, False)
 GOOD, BAD, NEAR, BRIEF = "good", "bad", "near", "short"
 
 
@@ -94,55 +120,74 @@ class Block:
     aside: bool
     held: bool  # in an article that a class, its own or that of an element around it, puts aside
     article: int  # 0: outside; else the number of the outermost article
+    code: bool  # preformatted
     label: str = ""
 
 
-def _stands_aside(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
+def _stands_aside(name: str, rest: str, header_names: bool) -> tuple[bool, bool]:
     """The element opens a part that is no main text; its class or id says so."""
-    if name in _ASIDE_TAGS or (name == "header" and not in_article):
+    if name in _ASIDE_TAGS or (name == "header" and header_names):
         return True, False
     if not rest or rest.isspace():
         return False, False
     named = False
     for key, value in _ATTRIBUTE.findall(rest):
-        key, value = key.lower(), value.strip("\"'").lower()
+        key, written = key.lower(), value.strip("\"'")
+        value = written.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True, False
+        if key == "style" and _UNSEEN.search(value):
+            return True, False
         if key == "role":
             if value in _ASIDE_ROLES:
                 return True, False
         elif key in ("class", "id"):
-            names = _ASIDE_NAMES if in_article else _ASIDE_NAMES | _HEADER_NAMES
-            for one in value.split():
-                words = set(filter(None, _NOT_LETTERS.split(one)))
-                named = named or bool(words) and words <= names
+            names = _ASIDE_NAMES | _HEADER_NAMES if header_names else _ASIDE_NAMES
+            for one in written.split():
+                words = set(filter(None, _NOT_LETTERS.split(_CAMEL.sub(" ", one).lower())))
+                whole = not words.isdisjoint(_ASIDE_NAMES) and words <= _ASIDE_NAMES | _NEUTRAL_NAMES
+                named = named or whole or bool(words) and words <= names or one.lower() in _JOINED_NAMES
     return False, named
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, without labels."""
+def blocks(page: str, header_names: bool = True) -> list[Block]:
+    """The blocks of a page in order, without labels. Outside articles, header elements and names put their
+    text aside, unless ``header_names`` is false."""
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, aside, aside by a class, held, article
+    # name, aside, aside by a class, held, article, within an inline element that stands aside
+    stack: list[tuple[str, bool, bool, bool, int, bool]] = []
     opened: Counter[str] = Counter()
-    heading, aside, named, held, article, articles = False, False, False, False, 0, 0
+    heading, code, aside, named, held, article, mute, articles = False, False, False, False, False, 0, False, 0
 
     def close() -> None:
         nonlocal parts, linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, linked, heading, aside or named, held, article))
+                out.append(Block(text, linked, heading, aside or named, held, article, code))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not mute:
             text = references.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if opened["a"]:
                 linked += len(text.strip())
 
+    def end_implied(name: str) -> None:
+        """A block ends an open paragraph, and an item, row or cell the one before it in the same list."""
+        nonlocal aside, named, held, article, mute
+        for ended in ("p", name):
+            if ended in _SELF_ENDING and opened[ended]:
+                k = max(k for k, entry in enumerate(stack) if entry[0] == ended)
+                if not any(entry[0] in ("ul", "ol", "dl", "table") for entry in stack[k + 1 :]):
+                    for entry in stack[k:]:
+                        opened[entry[0]] -= 1
+                    del stack[k:]
+        aside, named, held, article, mute = stack[-1][1:] if stack else NOWHERE
+
     at = 0
     for tag in _TAG.finditer(page):
         say(page[at : tag.start()])
@@ -157,7 +202,14 @@ def blocks(page: str) -> list[Block]:
         if name in _BLOCK_TAGS:
             close()
             heading = name in _HEADINGS and not tag["end"]
-        if name not in _TRACKED:
+            code = name == "pre" and not tag["end"]
+            if not tag["end"] and (opened["p"] or opened[name] and name in _PLAIN_TAGS):
+                end_implied(name)
+        if name in _PLAIN_TAGS and not tag["end"]:
+            # Only one that stands aside matters, and what may hold another of its name.
+            if not opened[name] and not any(_stands_aside(name, tag["rest"], header_names and not article)):
+                continue
+        elif name not in _TRACKED and not (name in _PLAIN_TAGS and opened[name]):
             continue
         if tag["end"]:
             while opened[name]:
@@ -177,21 +229,36 @@ def blocks(page: str) -> list[Block]:
             if name in _MAIN_TAGS and not article:
                 articles += 1
                 inside = articles
-            here, by_name = _stands_aside(name, rest, bool(article))
-            if name == "article":
+            here, by_name = _stands_aside(name, rest, header_names and not article and name not in _INLINE_TAGS)
+            if name in _INLINE_TAGS:
+                mute = mute or here or by_name
+            elif name == "article":
                 held, named = held or named or by_name, False
             elif name in ("main", "body"):
                 held, named = False, False
             else:
                 named = named or by_name
-            stack.append((name, aside or here, named, held, inside))
-        aside, named, held, article = stack[-1][1:] if stack else (False, False, False, 0)
+            stack.append((name, aside or (here and name not in _INLINE_TAGS), named, held, inside, mute))
+        aside, named, held, article, mute = stack[-1][1:] if stack else NOWHERE
     say(page[at:])
     close()
     return out
 
 
-def _first_label(block: Block, words: frozenset[str], has_article: bool) -> str:
+def _shares(found: list[Block], page: str) -> list[float]:
+    """The share of stop words in each block."""
+    language = _LANGUAGE.search(page)
+    stops = _SETS.get(language[1].lower()) if language else _ANY
+    words = [_WORD.findall(b.text.lower()) for b in found]
+    if stops is None or sum(w in stops for ws in words for w in ws) < FEW_OF_LANGUAGE * sum(map(len, words)):
+        words = [_WORD_OR_CHARACTER.findall(b.text.lower()) for b in found]
+        short = Counter(w for b, ws in zip(found, words, strict=True) if not b.aside for w in ws if len(w) <= OWN_LETTERS)
+        often = sorted((w for w, n in short.items() if n > 1), key=lambda w: (-short[w], w))
+        stops = frozenset(often[:OWN_WORDS])
+    return [sum(w in stops for w in ws) / max(1, len(ws)) for ws in words]
+
+
+def _first_label(block: Block, share: float, has_article: bool) -> str:
     n = len(block.text)
     if block.aside or (has_article and not block.article):
         return BAD
@@ -202,8 +269,8 @@ def _first_label(block: Block, words: frozenset[str], has_article: bool) -> str:
         return BAD
     if n < SHORT:
         return BAD if block.link_chars and not block.article else BRIEF
-    found = _WORD.findall(block.text.lower())
-    share = sum(w in words for w in found) / max(1, len(found))
+    if block.code:
+        return BRIEF
     if share >= MANY_STOP_WORDS:
         return GOOD if n > LONG else NEAR
     if share >= FEW_STOP_WORDS or block.article:
@@ -239,21 +306,28 @@ def _second_pass(found: list[Block]) -> None:
             block.label = GOOD if block.label == NEAR or block.heading else BAD
 
 
-def classify(page: str) -> list[Block]:
-    """The blocks of a page with their labels, good or bad."""
-    found = blocks(page)
-    language = _LANGUAGE.search(page)
-    words = _SETS.get(language[1].lower(), _ANY) if language else _ANY
+def _classified(page: str, header_names: bool) -> list[Block]:
+    found = blocks(page, header_names)
     if any(b.article and not b.aside and not b.held for b in found):
         for b in found:
             b.aside = b.aside or b.held
-    has_article = any(b.article and not b.aside for b in found)
-    for b in found:
-        b.label = _first_label(b, words, has_article)
+    shares = _shares(found, page)
+    labels = [_first_label(b, share, False) for b, share in zip(found, shares, strict=True)]
+    within = sum(len(b.text) for b in found if b.article and not b.aside)
+    outside = sum(len(b.text) for b, label in zip(found, labels, strict=True) if label == GOOD and not b.article)
+    has_article = within > outside
+    for b, share in zip(found, shares, strict=True):
+        b.label = _first_label(b, share, has_article)
     _second_pass(found)
     return found
 
 
+def classify(page: str) -> list[Block]:
+    """The blocks of a page with their labels, good or bad. A header that holds all text is none."""
+    found = _classified(page, True)
+    return found if any(b.label == GOOD for b in found) else _classified(page, False)
+
+
 def main_text(page: str | None) -> str:
     return " ".join(b.text for b in classify(page) if b.label == GOOD) if page else ""
 
