@@ -78,7 +78,8 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each text, with all its columns: one with the least doc_id, or one without where no row
-    of the text has a doc_id. Rows that share a doc_id but not the text are told apart by both."""
+    of the text has a doc_id. Rows that share a doc_id but not the text are told apart by both; of rows that share
+    both the least by all columns stays."""
     found = workspace.snapshot(exact_duplicates(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "exact")
     if ids_tell_rows(found):
         return without_documents(docs, found.filter("NOT kept").select("doc_id"))
@@ -88,9 +89,11 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     odd = workspace.snapshot(rows.filter("n > 1 OR goes"), "odd")
     norm = F.regexp_replace(text_or_empty("text"), WHITE_SPACE, " ")
     wide, key, names = docs.withColumn("_row", key_of(F.sha2(norm, 256))), F.col("_row"), docs.columns
-    once = likely_members(wide, key, odd, key).dropDuplicates(["_row"])
-    once = once.join(odd.filter("goes").select("_row"), "_row", "left_anti")
-    return likely_members(wide, key, odd, key, others=True).select(*names).unionByName(once.select(*names))
+    once = likely_members(wide, key, odd, key).join(odd.filter("goes").select("_row"), "_row", "left_anti")
+    # The least by all columns that have an order, so that a task run again keeps the same row.
+    order = F.struct(*(F.col(f"`{n}`") for n, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))))
+    once = once.groupBy("_row").agg(F.min_by(F.struct(*(F.col(f"`{n}`") for n in names)), order).alias("_kept"))
+    return likely_members(wide, key, odd, key, others=True).select(*names).unionByName(once.select("_kept.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_empty_table(spark):
 def test_only_built_in_functions_run(spark):
     plan = exact_dedup.exact_duplicates(documents(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_least_of_rows_that_share_id_and_text_stays(spark):
+    rows = [(7, "a  b", "zz", "s"), (7, "a b", "de", "t"), (7, "a b", "de", "s"), (None, "c", "fr", "u"), (None, "c", "en", "u")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    docs = docs.selectExpr("*", "map('k', source) AS extra")
+    for parts in (1, 5):
+        got = exact_dedup.drop_exact_duplicates(docs.repartition(parts))
+        assert got.columns == docs.columns
+        assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == [(7, "a  b", "zz", "s"), (None, "c", "en", "u")]
