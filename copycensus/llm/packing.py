@@ -313,12 +313,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return stored.mapInArrow(place, schema)
 
 
-def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
-    """The packed ids: sequence_id, length, ids. A sequence has at most ``capacity`` tokens."""
-    placed = places.select("doc_id", "piece", "sequence_id", "offset").join(pieces, ["doc_id", "piece"])
+def sequences(pieces: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """The packed ids: sequence_id, length, ids. A sequence has at most ``capacity`` tokens.
+
+    ``pieces`` are packed ones that kept their ids; then every row is in exactly one sequence, whatever
+    its doc_id. Where each piece has a doc_id of its own, they may also be given as they were before, with
+    ``places`` apart from them.
+    """
+    if places is not None:
+        pieces = places.select("doc_id", "piece", "sequence_id", "offset").join(pieces, ["doc_id", "piece"])
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     whole = F.aggregate(parts, F.lit(b""), lambda done, part: F.concat(done, part["ids"]))
-    return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), whole.alias("ids"))
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), whole.alias("ids"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:

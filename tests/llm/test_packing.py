@@ -119,6 +119,21 @@ def test_sequences_hold_the_ids_of_their_pieces(spark):
     assert all(r.length * 4 == len(r.ids) for r in got)
 
 
+def test_sequences_hold_rows_with_repeated_and_no_ids(spark):
+    texts = [f"text number {k} " * (k % 5) for k in range(30)] + ["again and again"] * 6
+    docs = documents(spark, texts, [None if k % 3 == 0 else k % 4 for k in range(36)])
+    pieces = workspace.snapshot(packing.token_pieces(docs, 32), "pieces")
+    packed = workspace.snapshot(packing.pack(pieces, 32), "packed")
+    rows = packed.collect()
+    assert sorted(bytes(r.ids) for r in rows) == sorted(bytes(r.ids) for r in pieces.collect())
+    want = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        want[r.sequence_id] = want.get(r.sequence_id, b"") + bytes(r.ids)
+    got = packing.sequences(packed).collect()
+    assert {r.sequence_id: bytes(r.ids) for r in got} == want
+    assert all(r.length * 4 == len(r.ids) and r.length <= 32 for r in got)
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
     assert packing.token_pieces(documents(spark, [])).filter(F.lit(True)).count() == 0
