@@ -1,7 +1,8 @@
 """Quality classifier: perplexity under a language model of trusted text, against its quantiles.
 
-1. Trusted documents are those labelled as good. Of each language one half by a hash of the id, but only
-   about ``max_trusted / 2``, train its model (``ngrams``). All others set the thresholds.
+1. Trusted documents are those labelled as good. Of each language one half by a hash of the id trains its
+   model (``ngrams``), whole and however large. The other half sets the thresholds, for a model tells nothing
+   of the losses of unseen texts by those it has seen. So each trusted document is used, and for one of both.
 2. The different n-grams of all texts are joined with the tables of the model. Every whole text is turned
    into counts of its n-grams, and a join with those losses gives its loss per character.
 3. A document is rejected if its loss is above the threshold of its language and length: a high
@@ -26,8 +27,6 @@ from copycensus import workspace
 from copycensus.llm import ngrams
 from copycensus.llm.common import ids_tell_rows, keyed, likely_members, node_id, row_key, table, text_or_empty, without_documents, without_rows
 
-MAX_TRUSTED = 20_000
-BROADCAST_IDS = 200_000  # more ids of training texts than this are joined by a shuffle
 QUANTILE = 0.99
 MARGIN = 0.03
 #: A quantile of a band or a language needs so many documents.
@@ -95,13 +94,18 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MA
     return above(["lang", "band"], LEAST_IN_BAND), above(["lang"], LEAST_IN_LANGUAGE), above([], 1)
 
 
-def split_trusted(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """doc_id, lang, trains of all trusted documents; stored. Those that do not train set thresholds."""
+def split_trusted(docs: DataFrame, labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
+    """doc_id, lang, trains of all trusted documents; stored. Those that do not train set thresholds.
+
+    Only a caller who names ``max_trusted`` gets a smaller model, of about half as many texts a language.
+    """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(node_id(labels)[0].alias("doc_id")).distinct()
     known = docs.select(node_id(docs)[0].alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"))
     known = likely_members(known, F.col("doc_id"), good, F.col("doc_id")).join(good, "doc_id", "left_semi").distinct()
     order = F.xxhash64("doc_id")
     half = F.pmod(order, F.lit(2)) == 0
+    if max_trusted is None:
+        return workspace.snapshot(known.withColumn("trains", half), "split")
     halves = known.withColumn("half", half).withColumn("at", F.pmod(F.shiftright(order, 1), F.lit(1 << 30)))
     halves = workspace.snapshot(halves, "trusted")
     # By the hash, the share of a language's half that makes up the sample; no task sorts a language.
@@ -111,12 +115,19 @@ def split_trusted(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRU
     return workspace.snapshot(split.select("doc_id", "lang", trains.alias("trains")), "split")
 
 
-def quality(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def training_texts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, text of the documents that train. Their ids grow with the corpus and are never
+    broadcast; of the texts only those that may be among them are shuffled."""
+    train = trusted.filter("trains").select("doc_id", "lang")
+    texts = likely_members(_texts(docs), F.col("doc_id"), train, F.col("doc_id"))
+    # No semi-join: Spark would put it before the bit map and shuffle all texts. The ids are different ones.
+    return texts.join(train.hint("merge"), ["doc_id", "lang"])
+
+
+def quality(docs: DataFrame, labels: DataFrame, max_trusted: int | None = None) -> DataFrame:
     """One row per document: doc_id, lang, tokens, perplexity, threshold, accepted."""
     trusted = split_trusted(docs, labels, max_trusted)
-    train = trusted.filter("trains").select("doc_id", "lang")
-    train = F.broadcast(train) if train.count() <= BROADCAST_IDS else train.hint("merge")
-    model = ngrams.train(ngrams.counts(_texts(docs).join(train, ["doc_id", "lang"], "left_semi")))
+    model = ngrams.train(ngrams.counts(training_texts(docs, trusted)))
     scored = workspace.snapshot(losses(docs.filter("doc_id IS NOT NULL"), model), "losses")
     others = trusted.filter("NOT trains").select("doc_id", "lang")
     held_out = likely_members(scored, F.col("doc_id"), others, F.col("doc_id"))

@@ -1,6 +1,7 @@
-"""Thresholds of the quality classifier rest on all trusted documents that do not train it."""
+"""The quality classifier is trained on one half of all trusted documents; the others set its thresholds."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from copycensus.llm import quality
 
 from .helpers import documents
-from .test_ngrams import corpus
+from .test_ngrams import BruteForce, corpus
 
 
 def test_thresholds_cover_all_trusted_documents(spark):
@@ -55,3 +56,17 @@ def test_quantiles_equal_those_of_sorted_losses(spark, quantile):
     of_all = quality.thresholds(scored, quantile, 0.0)[2].collect()
     assert of_all[0].threshold == pytest.approx(np.quantile([r[2] for r in rows], quantile), rel=1e-12)
     assert quality.thresholds(scored.limit(0), quantile)[2].count() == 0
+
+
+def test_the_model_rests_on_the_whole_half(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randint(4, 12))) for _ in range(26_000)]
+    docs = documents(spark, texts, langs=["en"] * 25_000 + ["fr"] * 1000)
+    labels = spark.range(26_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    split = {r.doc_id: r.trains for r in quality.split_trusted(docs, labels).collect()}
+    assert sorted(split) == list(range(26_000))
+    trains = [t for k, t in enumerate(texts) if k < 25_000 and split[k]]
+    assert abs(len(trains) - 12_500) < 500 and abs(sum(split[k] for k in range(25_000, 26_000)) - 500) < 100
+    model = BruteForce(trains)
+    for r in quality.quality(docs, labels).filter("doc_id < 20").collect():
+        assert math.log(r.perplexity) == pytest.approx(model.loss(texts[r.doc_id]), rel=1e-9)
